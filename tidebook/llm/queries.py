@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm.common import table
+from tidebook.llm.decontamination import contamination
 from tidebook.llm.sharding import shard_documents
 from tidebook.llm.simhash import near_duplicates
 
@@ -19,8 +20,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op3_simhash_near_dedup, op5_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
