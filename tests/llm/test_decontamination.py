@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+from tests.llm import cases
+from tidebook.llm.decontamination import contamination, drop_contaminated, remove_spans, scan
+
+
+def words_of(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+
+
+def brute(docs, items):
+    windows = []
+    for item, text in items:
+        w = words_of(text)
+        n = min(10, len(w))
+        windows += [(str(item), tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n]
+    windows = sorted(set(windows))
+    out = []
+    for doc, text in docs:
+        w, hit, ids = words_of(text), set(), set()
+        places = {}
+        for i, x in enumerate(w):
+            places.setdefault(x, []).append(i)
+        for item, key in windows:
+            for i in places.get(key[0], ()):
+                if tuple(w[i : i + len(key)]) == key:
+                    ids.add(item)
+                    hit |= set(range(i, i + len(key)))
+        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=repr)
+
+
+def test_as_brute_force(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    wanted = brute(*([tuple(r) for r in df.collect()] for df in (docs.select("doc_id", "text"), bench.select("item_id", "text"))))
+    assert cases.rows_of(contamination(docs, bench)) == wanted
+    assert any(r[5] for r in wanted)
+
+
+ITEMS = [(1, cases.PASSAGE), (2, "One, two!"), (10, "one"), (3, None), (4, ""), (5, "!!"), (6, "same same same"), (6, "same same same"), (7, "été ÉTÉ"), (None, "four")]
+
+
+def test_messy_items_in_one_block_and_in_many(spark):
+    docs = cases.documents(spark)
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    wanted = brute([(r.doc_id, r.text) for r in docs.collect()], [("" if i is None else i, t) for i, t in ITEMS])
+    assert cases.rows_of(contamination(docs, bench)) == wanted
+    digest = lambda df: sorted((r.doc_id, r.n_words, [tuple(x) for x in r.hit_spans], r.hit_items) for r in df.collect())
+    assert digest(scan(docs, bench)) == digest(scan(docs, bench, block_words=20))
+
+
+def test_documents_and_spans_go(spark):
+    docs = cases.documents(spark)
+    bench = spark.createDataFrame([(1, cases.PASSAGE)], "item_id long, text string")
+    clean = drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert docs.count() - clean.count() == 4
+    cut = remove_spans(docs, bench)
+    assert {r.text for r in cut.where("removed_spans > 0").collect()} == {f"start {i}  stop {i * 3}" for i in range(4)}
+    assert cut.where("text is null").count() == docs.where("text is null").count()
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert contamination(cases.empty(spark), none).count() == 0
+    assert {r.contaminated for r in contamination(cases.documents(spark), none).collect()} == {False}
+    assert drop_contaminated(cases.documents(spark), none).count() == cases.documents(spark).count()
