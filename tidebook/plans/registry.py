@@ -3,8 +3,492 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidebook.functions import columns as C
+from tidebook.functions.params import INTERVAL_MINUTES
+from tidebook.operators import candles as candle
+from tidebook.operators import catalogue, indicators, mutations, portfolio, quotes
+from tidebook.operators import news as feed
+from tidebook.sources import market
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+AS_OF = datetime(2026, 3, 9, 12, 0, 0)
+
+# Views that the SQL shares.
+TICKS = "ticks AS (SELECT event_id, upper(event_type) AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume FROM events)"
+ASSETS = """traded AS (SELECT l_partkey, sum(l_quantity) AS volume_24h, sum(l_extendedprice) AS paid FROM lineitem GROUP BY 1),
+assets AS (SELECT p_partkey AS id, upper(concat('p', p_partkey)) AS symbol, p_name AS name, p_retailprice AS current_price,
+  round(p_retailprice * volume_24h, 2) AS market_cap, volume_24h,
+  round(100 * (p_retailprice - paid / volume_24h) / (paid / volume_24h), 4) AS price_change_24h FROM part LEFT JOIN traded ON p_partkey = l_partkey)"""
+LOTS = "lots AS (SELECT o_custkey AS user_id, l_partkey AS asset_id, l_quantity AS quantity, l_extendedprice AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+POSITIONS = f"{LOTS}, positions AS (SELECT user_id, asset_id, sum(quantity) AS quantity, sum(cost) AS purchase_value, sum(quantity) * any_value(p_retailprice) AS current_value FROM lots LEFT JOIN part ON asset_id = p_partkey GROUP BY 1, 2)"
+NEWS = "news AS (SELECT d.doc_id, d.text AS title, d.source, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
+USERS = """users AS (SELECT c_custkey AS id, c_name AS username, concat(CASE WHEN c_custkey % 3 = 0 THEN replace(lower(c_name), '#', '.') ELSE lower(c_name) END,
+  CASE WHEN c_custkey % 5 = 0 THEN '@example' ELSE '@example.com' END) AS email, c_acctbal >= 0 AS is_active FROM customer)"""
+
+
+def candles_sql(interval: str) -> str:
+    return f"SELECT symbol, time_bucket(INTERVAL '{INTERVAL_MINUTES[interval]} minutes', ts) AS open_time, arg_min(price, ts) AS open, max(price) AS high, min(price) AS low, arg_max(price, ts) AS close, CAST(sum(volume) AS BIGINT) AS volume FROM ticks GROUP BY 1, 2"
+
+
+CANDLES = f"{TICKS}, candles AS ({candles_sql('1h')})"
+
+
+def register(name: str, sql: str | None = None):
+    def add(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = query
+        if sql:
+            ORACLE_SQL[name] = sql
+        return query
+
+    return add
+
+
+def _candles(spark: SparkSession, sf_dir: str, interval: str = "1h") -> DataFrame:
+    return candle.candles(market.ticks(spark, sf_dir), interval)
+
+
+# Candles
+for _interval in INTERVAL_MINUTES:
+    register(f"candles_{_interval}", f"WITH {TICKS} {candles_sql(_interval)}")(lambda spark, sf_dir, i=_interval: _candles(spark, sf_dir, i))
+
+
+@register("last_n_candles", f"WITH {CANDLES} SELECT * FROM candles QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) <= 120")
+def last_n_candles(spark, sf_dir):
+    return candle.last_candles(_candles(spark, sf_dir))
+
+
+@register("asset_candles", f"WITH {TICKS} SELECT open_time, open, high, low, close, volume FROM ({candles_sql('4h')}) WHERE symbol = 'CLICK' ORDER BY open_time DESC LIMIT 50")
+def asset_candles(spark, sf_dir):
+    return candle.asset_candles(market.ticks(spark, sf_dir), "click", "4h", 50)
+
+
+# Catalogue and screen
+@register("asset_scan", f"WITH {ASSETS} SELECT * FROM assets ORDER BY symbol")
+def asset_scan(spark, sf_dir):
+    return catalogue.scan(market.assets(spark, sf_dir))
+
+
+@register("asset_by_symbol", f"WITH {ASSETS} SELECT * FROM assets WHERE symbol = 'P17'")
+def asset_by_symbol(spark, sf_dir):
+    return catalogue.by_symbol(market.assets(spark, sf_dir), "p17")
+
+
+@register("asset_by_id", f"WITH {ASSETS} SELECT * FROM assets WHERE id = 42")
+def asset_by_id(spark, sf_dir):
+    return catalogue.by_key(market.assets(spark, sf_dir), id=42)
+
+
+@register("user_active_by_email", f"WITH {USERS} SELECT * FROM users WHERE email = 'customer.000000003@example.com' AND is_active")
+def user_active_by_email(spark, sf_dir):
+    return catalogue.by_key(market.users(spark, sf_dir), email="customer.000000003@example.com", is_active=True)
+
+
+@register("user_first_inactive", f"WITH {USERS} SELECT * FROM users WHERE NOT is_active ORDER BY id LIMIT 1")
+def user_first_inactive(spark, sf_dir):
+    return catalogue.first_or_none(catalogue.by_key(market.users(spark, sf_dir), is_active=False), "id")
+
+
+@register("market_search", f"WITH {ASSETS} SELECT * FROM assets WHERE contains(lower(symbol), 'red') OR contains(lower(name), 'red')")
+def market_search(spark, sf_dir):
+    return catalogue.search(market.assets(spark, sf_dir), "  RED ")
+
+
+for _field, _column in (("price", "coalesce(current_price, 0)"), ("change", "coalesce(price_change_24h, 0)"), ("marketCap", "coalesce(market_cap, 0)"), ("symbol", "symbol")):
+    for _direction in ("desc", "asc"):
+        _name = f"market_sort_{'cap' if _field == 'marketCap' else _field}" + ("_asc" if _direction == "asc" else "")
+        register(_name, f"WITH {ASSETS} SELECT * FROM assets ORDER BY {_column} {_direction}, symbol, id")(lambda spark, sf_dir, f=_field, d=_direction: catalogue.sort(market.assets(spark, sf_dir), f, d))
+
+
+@register("market_page", f"WITH {ASSETS} SELECT * FROM assets ORDER BY symbol, id LIMIT 25 OFFSET 50")
+def market_page(spark, sf_dir):
+    return catalogue.page(market.assets(spark, sf_dir), ["symbol", "id"], 50, 25)
+
+
+@register("market_counts", f"WITH {ASSETS} SELECT count(*) AS total, count(*) FILTER (price_change_24h > 0) AS bullish, count(*) - count(*) FILTER (price_change_24h > 0) AS bearish FROM assets")
+def market_counts(spark, sf_dir):
+    return catalogue.counts(market.assets(spark, sf_dir))
+
+
+@register("bullish_flag", f"WITH {ASSETS} SELECT id, symbol, coalesce(price_change_24h > 0, false) AS is_bullish_24h FROM assets")
+def bullish_flag(spark, sf_dir):
+    return market.assets(spark, sf_dir).select("id", "symbol", C.is_bullish(F.col("price_change_24h")).alias("is_bullish_24h"))
+
+
+@register("bullish_assets", f"WITH {ASSETS} SELECT * FROM assets WHERE price_change_24h > 0")
+def bullish_assets(spark, sf_dir):
+    return market.assets(spark, sf_dir).where(C.is_bullish(F.col("price_change_24h")))
+
+
+@register("bearish_assets", f"WITH {ASSETS} SELECT * FROM assets WHERE NOT coalesce(price_change_24h > 0, false)")
+def bearish_assets(spark, sf_dir):
+    return market.assets(spark, sf_dir).where(~C.is_bullish(F.col("price_change_24h")))
+
+
+@register("ui_sign", f"WITH {ASSETS} SELECT id, coalesce(price_change_24h, 0) >= 0 AS is_up FROM assets")
+def ui_sign(spark, sf_dir):
+    return market.assets(spark, sf_dir).select("id", C.is_up(F.col("price_change_24h")).alias("is_up"))
+
+
+@register(
+    "asset_contract",
+    f"""WITH {ASSETS} SELECT id, symbol, name, CAST(CAST(current_price AS DECIMAL(20,8)) AS VARCHAR) AS current_price, CAST(CAST(nullif(market_cap, 0) AS DECIMAL(30,2)) AS VARCHAR) AS market_cap,
+CAST(CAST(nullif(volume_24h, 0) AS DECIMAL(30,2)) AS VARCHAR) AS volume_24h, CAST(CAST(nullif(price_change_24h, 0) AS DECIMAL(10,4)) AS VARCHAR) AS price_change_24h, coalesce(price_change_24h > 0, false) AS is_bullish_24h,
+CAST(NULL AS VARCHAR) AS coingecko_id, CAST(NULL AS VARCHAR) AS logo_url, CAST(NULL AS VARCHAR) AS asset_address, CAST(NULL AS INTEGER) AS decimals FROM assets""",
+)
+def asset_contract(spark, sf_dir):
+    return catalogue.contract(market.assets(spark, sf_dir))
+
+
+@register(
+    "asset_json",
+    f"""WITH {ASSETS} SELECT concat('{{"id":', id, ',"symbol":"', symbol, '","name":"', name, '"}}') AS value FROM assets""",
+)
+def asset_json(spark, sf_dir):
+    return mutations.as_json(market.assets(spark, sf_dir).select("id", "symbol", "name"))
+
+
+@register(
+    "billions_fmt",
+    f"""WITH {TICKS}, caps AS (SELECT symbol, arg_max(price, ts) * sum(volume) * 1000 AS cap FROM ticks GROUP BY 1)
+SELECT symbol, substr(symbol, 1, 2) AS badge, printf('$%.2fB', cap / 1e9) AS cap_2dp, printf('$%.1fB', cap / 1e9) AS cap_1dp FROM caps""",
+)
+def billions_fmt(spark, sf_dir):
+    rows = quotes.market_quotes(market.ticks(spark, sf_dir)).withColumn("cap", F.col("market_cap") * 1000)
+    return rows.select("symbol", C.badge(F.col("symbol")).alias("badge"), C.billions(F.col("cap")).alias("cap_2dp"), C.billions(F.col("cap"), 1).alias("cap_1dp"))
+
+
+@register(
+    "numeric_parse",
+    r"""SELECT event_id, coalesce(TRY_CAST(nullif(regexp_extract(raw, '^\s*([+-]?(?:\d+\.?\d*|\.\d+))', 1), '') AS DOUBLE), 0) AS number FROM (
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat(' ', value, 'usd') WHEN 1 THEN props WHEN 2 THEN CAST(value AS VARCHAR) END AS raw FROM events)""",
+)
+def numeric_parse(spark, sf_dir):
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit("usd"))).when(k == 1, F.col("props")).when(k == 2, F.col("value").cast("string"))
+    return market.table(spark, sf_dir, "events").select("event_id", C.number_or_zero(raw).alias("number"))
+
+
+# Quotes
+@register("latest_quote", f"WITH {TICKS} SELECT symbol, max(ts) AS ts, arg_max(price, ts) AS price, arg_max(volume, ts) AS volume FROM ticks GROUP BY 1")
+def latest_quote(spark, sf_dir):
+    return quotes.latest(market.ticks(spark, sf_dir))
+
+
+def change_sql(hours: int) -> str:
+    return f"""changes AS (SELECT event_id, symbol, ts, price, earlier, round(100 * (price - earlier) / earlier, 6) AS change_pct FROM (SELECT *, last_value(price) OVER
+(PARTITION BY symbol ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{hours} hours' PRECEDING) AS earlier FROM ticks))"""
+
+
+CHANGE_COLUMNS = "event_id, symbol, ts, price, earlier, change_pct"
+for _label, _hours in (("24h", 24), ("7d", 168), ("30d", 720)):
+    register(f"change_{_label}", f"WITH {TICKS}, {change_sql(_hours)} SELECT {CHANGE_COLUMNS} FROM changes")(lambda spark, sf_dir, h=_hours: quotes.change(market.ticks(spark, sf_dir), h))
+
+
+@register(
+    "ath_atl",
+    f"WITH {TICKS}, x AS (SELECT symbol, max(price) AS ath, min(price) AS atl FROM ticks GROUP BY 1) SELECT x.symbol, ath, min(ts) FILTER (price = ath) AS ath_date, atl, min(ts) FILTER (price = atl) AS atl_date FROM x JOIN ticks t ON t.symbol = x.symbol GROUP BY ALL",
+)
+def ath_atl(spark, sf_dir):
+    return quotes.extremes(market.ticks(spark, sf_dir))
+
+
+@register(
+    "market_overview",
+    f"""WITH {TICKS}, quotes AS (SELECT symbol, arg_max(price, ts) * sum(volume) AS market_cap, sum(volume) AS volume FROM ticks GROUP BY 1)
+SELECT round(sum(market_cap), 2) AS total_market_cap_usd, CAST(sum(volume) AS BIGINT) AS total_volume_24h_usd, round(100 * sum(CASE WHEN symbol = 'PURCHASE' THEN market_cap ELSE 0 END) / sum(market_cap), 4) AS dominance_pct FROM quotes""",
+)
+def market_overview(spark, sf_dir):
+    return quotes.overview(quotes.market_quotes(market.ticks(spark, sf_dir)), "PURCHASE")
+
+
+@register(
+    "price_as_of",
+    f"""WITH {TICKS}, probes AS (SELECT event_id AS probe_id, upper(event_type) AS symbol, ts + INTERVAL '90 minutes' AS at FROM events WHERE user_id % 7 = 0)
+SELECT p.probe_id, p.symbol, p.at, t.price FROM probes p ASOF LEFT JOIN ticks t ON p.symbol = t.symbol AND p.at >= t.ts""",
+)
+def price_as_of(spark, sf_dir):
+    later = (F.col("ts") + F.expr("interval 90 minutes")).alias("at")
+    probes = market.table(spark, sf_dir, "events").where("user_id % 7 = 0").select(F.col("event_id").alias("probe_id"), F.upper("event_type").alias("symbol"), later)
+    return quotes.as_of(probes, market.ticks(spark, sf_dir), "at", "price")
+
+
+@register(
+    "price_alerts",
+    f"WITH {TICKS}, {change_sql(24)} SELECT event_id, symbol, price, change_pct, CASE WHEN price >= 300 THEN 'target' ELSE 'change' END AS reason FROM changes WHERE abs(change_pct) >= 500 OR price >= 300",
+)
+def price_alerts(spark, sf_dir):
+    return quotes.alerts(quotes.change(market.ticks(spark, sf_dir), 24), 500, 300)
+
+
+# Portfolio
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prices = market.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset_id"), F.col("p_retailprice").alias("price"))
+    return portfolio.marked(portfolio.positions(market.lots(spark, sf_dir)), prices)
+
+
+@register("positions", f"WITH {LOTS} SELECT user_id, asset_id, sum(quantity) AS quantity, round(sum(cost), 2) AS purchase_value FROM lots GROUP BY 1, 2")
+def positions(spark, sf_dir):
+    return portfolio.positions(market.lots(spark, sf_dir)).withColumn("purchase_value", F.round("purchase_value", 2))
+
+
+@register("mark_to_market", f"WITH {POSITIONS} SELECT user_id, asset_id, round(current_value, 2) AS current_value FROM positions")
+def mark_to_market(spark, sf_dir):
+    return _marked(spark, sf_dir).select("user_id", "asset_id", F.round("current_value", 2).alias("current_value"))
+
+
+@register("avg_buy_price", f"WITH {POSITIONS} SELECT user_id, asset_id, round(purchase_value / nullif(quantity, 0), 9) AS avg_buy_price FROM positions")
+def avg_buy_price(spark, sf_dir):
+    rows = portfolio.positions(market.lots(spark, sf_dir))
+    return rows.select("user_id", "asset_id", F.round(C.avg_buy_price(F.col("purchase_value"), F.col("quantity")), 9).alias("avg_buy_price"))
+
+
+@register("pnl", f"WITH {POSITIONS} SELECT user_id, asset_id, round(current_value - purchase_value, 2) AS unrealized_pnl FROM positions")
+def pnl(spark, sf_dir):
+    return portfolio.with_pnl(_marked(spark, sf_dir)).select("user_id", "asset_id", F.round("unrealized_pnl", 2).alias("unrealized_pnl"))
+
+
+@register("pnl_pct", f"WITH {POSITIONS} SELECT user_id, asset_id, round(100 * (current_value - purchase_value) / nullif(purchase_value, 0), 6) AS unrealized_pnl_pct FROM positions")
+def pnl_pct(spark, sf_dir):
+    return portfolio.with_pnl(_marked(spark, sf_dir)).select("user_id", "asset_id", F.round("unrealized_pnl_pct", 6).alias("unrealized_pnl_pct"))
+
+
+SHIFTED = f"{LOTS}, shifted AS (SELECT user_id, asset_id, quantity - 10 AS quantity, cost FROM lots)"
+
+
+def _shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.lots(spark, sf_dir).withColumn("quantity", F.col("quantity") - 10)
+
+
+@register("position_lot_rejects", f"WITH {SHIFTED} SELECT user_id, asset_id, quantity, cost FROM shifted WHERE NOT quantity > 0")
+def position_lot_rejects(spark, sf_dir):
+    return portfolio.split_lots(_shifted(spark, sf_dir))[1]
+
+
+@register("positions_of_valid_lots", f"WITH {SHIFTED} SELECT user_id, asset_id, sum(quantity) AS quantity, round(sum(cost), 2) AS purchase_value FROM shifted WHERE quantity > 0 GROUP BY 1, 2")
+def positions_of_valid_lots(spark, sf_dir):
+    return portfolio.positions(portfolio.split_lots(_shifted(spark, sf_dir))[0]).withColumn("purchase_value", F.round("purchase_value", 2))
+
+
+@register("positions_cube", f"WITH {LOTS} SELECT user_id % 10 AS desk, asset_id % 10 AS class, sum(quantity) AS quantity, count(*) AS lots FROM lots GROUP BY CUBE (user_id % 10, asset_id % 10)")
+def positions_cube(spark, sf_dir):
+    rows = market.lots(spark, sf_dir).select((F.col("user_id") % 10).alias("desk"), (F.col("asset_id") % 10).alias("class"), "quantity")
+    return rows.cube("desk", "class").agg(F.sum("quantity").alias("quantity"), F.count("*").alias("lots"))
+
+
+# News
+@register("news_filter", f"WITH {NEWS} SELECT * FROM news WHERE contains(lower(title), 'the') AND sentiment = 'positive'")
+def news_filter(spark, sf_dir):
+    return feed.filtered(market.news(spark, sf_dir), " The ", "positive")
+
+
+@register("news_sentiment_counts", f"WITH {NEWS} SELECT sentiment, count(*) AS items FROM news GROUP BY 1")
+def news_sentiment_counts(spark, sf_dir):
+    return feed.sentiment_counts(market.news(spark, sf_dir))
+
+
+@register("news_limit", f"WITH {NEWS} SELECT * FROM news WHERE sentiment = 'negative' ORDER BY doc_id LIMIT 20")
+def news_limit(spark, sf_dir):
+    return feed.feed(market.news(spark, sf_dir), "doc_id", sentiment="negative")
+
+
+# Generated and literal relations
+@register(
+    "ohlcv_synthetic",
+    """SELECT TIMESTAMP '2026-03-09 12:00:00' - to_minutes(CAST(60 * (120 - i) AS BIGINT)) AS open_time, CAST(61965 + 10 * (120 - i) AS VARCHAR) AS open, CAST(62065 + 10 * (120 - i) AS VARCHAR) AS high,
+CAST(61925 + 10 * (120 - i) AS VARCHAR) AS low, CAST(62000 + 10 * (120 - i) AS VARCHAR) AS close, CAST(1200 + 8 * (120 - i) AS VARCHAR) AS volume FROM range(120) t(i)""",
+)
+def ohlcv_synthetic(spark, sf_dir):
+    return market.synthetic_candles(spark, "btc", "1h", None, AS_OF)
+
+
+for _metric, _start, _step in (("active_addresses", 900000, 1300), ("hashrate", 550, 2)):
+    register(
+        f"onchain_synthetic_{_metric}",
+        f"SELECT '{_metric}' AS metric, 'BTC' AS symbol, TIMESTAMP '2026-03-09 12:00:00' - to_days(CAST(30 - i AS INTEGER)) AS timestamp, CAST({_start} + {_step} * i AS VARCHAR) AS value, 'coinmetrics-community' AS source FROM range(30) t(i)",
+    )(lambda spark, sf_dir, m=_metric: market.synthetic_onchain(spark, "btc", m, None, AS_OF))
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    literal = lambda v: str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) t({names})"
+
+
+@register("mock_assets", f"SELECT CAST(id AS BIGINT) AS id, symbol, name, current_price, market_cap, volume_24h, price_change_24h, is_bullish_24h FROM {values_sql(market.MOCK_ASSETS, 'id, symbol, name, current_price, market_cap, volume_24h, price_change_24h, is_bullish_24h')}")
+def mock_assets(spark, sf_dir):
+    return market.mock_assets(spark)
+
+
+@register("news_builtin", f"SELECT title, url, source, TIMESTAMP '2026-03-09 12:00:00' AS published_at, sentiment, relevance_score FROM {values_sql(market.NEWS_ITEMS, 'title, url, source, sentiment, relevance_score')} WHERE contains(lower(title), '24h')")
+def news_builtin(spark, sf_dir):
+    return feed.filtered(market.news_items(spark, AS_OF), "24H")
+
+
+@register("overview_builtin", f"SELECT total_market_cap_usd, total_volume_24h_usd, btc_dominance_pct, fear_greed_index, TIMESTAMP '2026-03-09 12:00:00' AS updated_at FROM {values_sql([market.OVERVIEW], 'total_market_cap_usd, total_volume_24h_usd, btc_dominance_pct, fear_greed_index')}")
+def overview_builtin(spark, sf_dir):
+    return market.fixed_overview(spark, AS_OF)
+
+
+# Indicators over hourly candles
+LAST_20 = "OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+
+
+@register("sma_20", f"WITH {CANDLES} SELECT symbol, open_time, CASE WHEN count(close) {LAST_20} = 20 THEN round(avg(close) {LAST_20}, 6) END AS sma FROM candles")
+def sma_20(spark, sf_dir):
+    return indicators.sma(_candles(spark, sf_dir))
+
+
+@register(
+    "bollinger_20_2",
+    f"""WITH {CANDLES}, x AS (SELECT symbol, open_time, count(close) {LAST_20} AS n, avg(close) {LAST_20} AS m, stddev_pop(close) {LAST_20} AS s FROM candles)
+SELECT symbol, open_time, CASE WHEN n = 20 THEN round(m - 2 * s, 6) END AS lower_band, CASE WHEN n = 20 THEN round(m, 6) END AS middle_band, CASE WHEN n = 20 THEN round(m + 2 * s, 6) END AS upper_band FROM x""",
+)
+def bollinger_20_2(spark, sf_dir):
+    return indicators.bollinger(_candles(spark, sf_dir))
+
+
+RECURSION = f"""WITH RECURSIVE {CANDLES}, c AS (SELECT symbol, open_time, close, row_number() OVER w AS n, close - lag(close) OVER w AS move FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY open_time)),
+seed AS (SELECT symbol, sum(greatest(move, 0)) / 14 AS gain, sum(greatest(-move, 0)) / 14 AS loss FROM c WHERE n BETWEEN 2 AND 15 GROUP BY 1),
+r AS (SELECT symbol, open_time, n, close AS e12, close AS e26, CAST(0 AS DOUBLE) AS signal, CAST(NULL AS DOUBLE) AS gain, CAST(NULL AS DOUBLE) AS loss FROM c WHERE n = 1
+UNION ALL SELECT symbol, open_time, n, e12, e26, 0.2 * (e12 - e26) + 0.8 * signal, gain, loss FROM (
+SELECT c.symbol, c.open_time, c.n, 2.0 / 13 * c.close + 11.0 / 13 * r.e12 AS e12, 2.0 / 27 * c.close + 25.0 / 27 * r.e26 AS e26, r.signal,
+CASE WHEN c.n = 15 THEN seed.gain WHEN c.n > 15 THEN (r.gain * 13 + greatest(c.move, 0)) / 14 END AS gain, CASE WHEN c.n = 15 THEN seed.loss WHEN c.n > 15 THEN (r.loss * 13 + greatest(-c.move, 0)) / 14 END AS loss
+FROM r JOIN c ON c.symbol = r.symbol AND c.n = r.n + 1 JOIN seed ON seed.symbol = c.symbol))"""
+
+
+@register("ema_12", f"{RECURSION} SELECT symbol, open_time, round(e12, 6) AS ema FROM r")
+def ema_12(spark, sf_dir):
+    return indicators.ema(_candles(spark, sf_dir))
+
+
+@register("macd_12_26_9", f"{RECURSION} SELECT symbol, open_time, round(e12 - e26, 6) AS macd, round(signal, 6) AS signal, round(e12 - e26 - signal, 6) AS histogram FROM r")
+def macd_12_26_9(spark, sf_dir):
+    return indicators.macd(_candles(spark, sf_dir))
+
+
+@register("rsi_14", f"{RECURSION} SELECT symbol, open_time, round(CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END, 6) AS rsi FROM r")
+def rsi_14(spark, sf_dir):
+    return indicators.rsi(_candles(spark, sf_dir))
+
+
+@register("analysis_runs")
+def analysis_runs(spark, sf_dir):
+    """A job record of every kind of analysis for one symbol."""
+    candles = _candles(spark, sf_dir)
+    first, *rest = (indicators.run_analysis(candles, "click", kind) for kind in indicators.INDICATORS)
+    for row in rest:
+        first = first.union(row)
+    return first
+
+
+# Integrity and new states
+@register("symbol_valid", r"SELECT DISTINCT candidate, regexp_matches(candidate, '^\p{L}+$') AS is_valid FROM (SELECT p_name AS candidate FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT '')")
+def symbol_valid(spark, sf_dir):
+    part = market.table(spark, sf_dir, "part")
+    names = part.select(F.explode(F.array("p_name", "p_type", "p_brand")).alias("candidate")).union(spark.createDataFrame([("",)], "candidate string")).distinct()
+    return names.select("candidate", C.symbol_valid(F.col("candidate")).alias("is_valid"))
+
+
+@register("email_valid", rf"WITH {USERS} SELECT id, email, regexp_matches(email, '^[\w.+-]+@([\w-]+\.)+[a-zA-Z]{{2,}}$') AS is_valid FROM users")
+def email_valid(spark, sf_dir):
+    return market.users(spark, sf_dir).select("id", "email", C.email_valid(F.col("email")).alias("is_valid"))
+
+
+@register("user_valid", f"WITH {USERS} SELECT id, contains(email, '@') AND length(username) >= 3 AS is_valid FROM users")
+def user_valid(spark, sf_dir):
+    return market.users(spark, sf_dir).select("id", C.user_valid(F.col("email"), F.col("username")).alias("is_valid"))
+
+
+@register("asset_rejects", "SELECT c_custkey AS id, c_mktsegment AS symbol, c_acctbal AS price FROM customer WHERE NOT (c_mktsegment <> '' AND c_acctbal >= 0)")
+def asset_rejects(spark, sf_dir):
+    rows = market.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("symbol"), F.col("c_acctbal").alias("price"))
+    return rows.where(~C.asset_valid(F.col("symbol"), F.col("price")))
+
+
+@register("dup_keys", f"WITH {LOTS} SELECT user_id, asset_id, count(*) AS n_rows FROM lots GROUP BY 1, 2 HAVING count(*) > 1")
+def dup_keys(spark, sf_dir):
+    return mutations.duplicate_keys(market.lots(spark, sf_dir), "user_id", "asset_id")
+
+
+@register("semi_exists", "SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def semi_exists(spark, sf_dir):
+    known = market.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
+    return mutations.existing(market.table(spark, sf_dir, "events").select("user_id").distinct(), known, "user_id")
+
+
+@register("anti_available", f"WITH {USERS} SELECT concat('customer.', lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '@example.com') AS email FROM part WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.email = concat('customer.', lpad(CAST(p_partkey AS VARCHAR), 9, '0'), '@example.com'))")
+def anti_available(spark, sf_dir):
+    wanted = market.table(spark, sf_dir, "part").select(F.concat(F.lit("customer."), F.lpad(F.col("p_partkey").cast("string"), 9, "0"), F.lit("@example.com")).alias("email"))
+    return mutations.available(wanted, market.users(spark, sf_dir), "email")
+
+
+@register(
+    "upsert_assets",
+    """SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN round(p_retailprice * 2, 2) ELSE p_retailprice END AS current_price FROM part
+UNION ALL SELECT p_partkey + 100000000, p_name, round(p_retailprice * 2, 2) FROM part WHERE p_partkey % 7 = 0""",
+)
+def upsert_assets(spark, sf_dir):
+    part = market.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("current_price"))
+    priced = lambda df, k: df.withColumns({"current_price": F.round(F.col("current_price") * k, 2), "seq": F.lit(k)})
+    old, new = part.where("id % 3 = 0"), part.where("id % 7 = 0").withColumn("id", F.col("id") + 100000000)
+    return mutations.upsert(part, priced(old, 1).union(priced(old, 2)).union(priced(new, 2)), "id", "seq")
+
+
+@register("set_column", f"WITH {USERS} SELECT id, username, email, is_active OR id % 10 = 0 AS is_active FROM users")
+def set_column(spark, sf_dir):
+    return mutations.set_column(market.users(spark, sf_dir), F.col("id") % 10 == 0, "is_active", F.lit(True))
+
+
+@register(
+    "delete_cascade",
+    """SELECT 'customer' AS name, count(*) AS n FROM customer WHERE c_acctbal >= 0
+UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
+UNION ALL SELECT 'events', count(*) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""",
+)
+def delete_cascade(spark, sf_dir):
+    customer, orders, events = (market.table(spark, sf_dir, t) for t in ("customer", "orders", "events"))
+    left = mutations.delete_cascade(customer, {"orders": (orders, "o_custkey"), "events": (events, "user_id")}, customer.where("c_acctbal < 0"), "c_custkey")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name or "customer").alias("name"), "n") for name, df in left.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@register("fallback_if_empty", f"SELECT CAST(id AS BIGINT) AS id, symbol FROM {values_sql([r[:2] for r in market.MOCK_ASSETS], 'id, symbol')}")
+def fallback_if_empty(spark, sf_dir):
+    real = market.assets(spark, sf_dir).where("symbol = '-'").select("id", "symbol")
+    return mutations.or_fallback(real, market.mock_assets(spark).select("id", "symbol"))
+
+
+@register("fallback_unused", f"WITH {ASSETS} SELECT id, symbol FROM assets")
+def fallback_unused(spark, sf_dir):
+    return mutations.or_fallback(market.assets(spark, sf_dir).select("id", "symbol"), market.mock_assets(spark).select("id", "symbol"))
+
+
+@register(
+    "job_status",
+    """WITH log AS (SELECT user_id AS job_id, ts, value, CASE event_type WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' END AS state FROM events)
+SELECT job_id, coalesce(arg_max(state, ts) FILTER (state IS NOT NULL), 'pending') AS status, arg_max(value, ts) FILTER (state = 'completed') AS result FROM log GROUP BY 1""",
+)
+def job_status(spark, sf_dir):
+    kind = F.col("event_type")
+    action = F.when(kind == "view", "start").when(kind == "purchase", "complete").when(kind == "error", "fail")
+    log = market.table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), action.alias("action"), F.col("value").alias("result"), F.struct("ts", "event_id").alias("order"))
+    return mutations.job_states(log)
+
+
+@register(
+    "stream_candles_1h",
+    f"WITH {CANDLES}, late AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events) SELECT candles.* FROM candles, late WHERE open_time + INTERVAL '1 hour' <= mark",
+)
+def stream_candles_1h(spark, sf_dir):
+    """Hourly candles by the streaming path: those whose end the watermark has passed."""
+    from tidebook.streaming import prices
+
+    out = market.scratch_path(spark, "candles")
+    prices.run_to_parquet(prices.live_candles(prices.tick_stream(spark, sf_dir, "events.parquet")), out, f"{out}-state")
+    return spark.read.schema("symbol string, open_time timestamp_ntz, open double, high double, low double, close double, volume long").parquet(out)
