@@ -19,7 +19,9 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, size: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[1], np.full(size - 1, base, np.uint64)]).astype(np.uint64))
+    factors = np.full(size, base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
 class Roller:
