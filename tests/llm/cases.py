@@ -36,3 +36,7 @@ def rows_of(df: DataFrame) -> list[tuple]:
     """All rows, sorted, with doubles rounded."""
     plain = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()]
     return sorted(plain, key=repr)
+
+
+def rows_of_list(rows) -> list[tuple]:
+    return sorted(map(tuple, rows), key=repr)

@@ -112,7 +112,7 @@ def count_of(level: np.ndarray, least: int) -> np.ndarray:
 
 
 def _probe(h: np.ndarray, level: int, bits: np.ndarray, k: int) -> np.ndarray:
-    a = mixed(h + _U(level) * _U(0xA0761D6478BD642F))
+    a = mixed(h + _U(level * 0xA0761D6478BD642F % (1 << 64)))
     return (a + _U(k) * (mixed(a ^ _U(0xE7037ED1A0B428DB)) | _U(1))) % bits.astype(np.uint64)
 
 
