@@ -139,6 +139,15 @@ def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c).cast(FIELDS[n]) for n, c in zip(names, columns, strict=True)], names=names)
 
 
+def _same_as_before(*columns: np.ndarray) -> np.ndarray:
+    """Which rows are equal to the row before in all columns."""
+    same = np.ones(len(columns[0]), bool)
+    same[:1] = False
+    for c in columns:
+        same[1:] &= c[1:] == c[:-1]
+    return same
+
+
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts of each slice of the documents, once each; those that the slice itself repeats are told as repeats."""
     for batch in slices(batches, "text", 2 * PIECE):
@@ -149,9 +158,9 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             row = np.array(rows)[piece]
             key, crc = keys[row], crcs[row]
             order = np.lexsort((pos, crc, key, context, bucket))
+            order = order[~_same_as_before(*(x[order] for x in (bucket, context, key, crc, pos)))]  # rows alike in doc_id and text are one document
             b, c = bucket[order], context[order]
-            again = np.zeros(len(order), bool)
-            again[1:] = (b[1:] == b[:-1]) & (c[1:] == c[:-1])
+            again = _same_as_before(b, c)
             yield _batch([*FIELDS], np.where(again, REPEAT, np.where(periodic[order], PERIODIC, SINGLE)).astype(np.int8), b, c, key[order], crc[order], pos[order], n[order])
 
 
@@ -165,7 +174,7 @@ def _repeated_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     Only the last row's bucket and hash are remembered, so a bucket may be of any size.
     """
-    bucket = context = None
+    bucket = context = place = None
     waiting: pa.RecordBatch | None = None  # the one context so far of the last bucket
     for batch in batches:
         told = batch.filter(pc.equal(batch.column("kind"), REPEAT))
@@ -174,6 +183,14 @@ def _repeated_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         batch = batch.filter(pc.not_equal(batch.column("kind"), REPEAT))
         if not batch.num_rows:
             continue
+        rows = [batch.column(n).to_numpy() for n in ("bucket", "context", "key", "crc", "pos")]
+        twice = _same_as_before(*rows)
+        twice[0] = place == [r[0] for r in rows]
+        place = [r[-1] for r in rows]
+        if twice.any():  # rows alike in doc_id and text are one document
+            batch = batch.filter(pa.array(~twice))
+            if not batch.num_rows:
+                continue
         b, c = batch.column("bucket").to_numpy(), batch.column("context").to_numpy()
         new_b = np.append(b[0] != bucket or bucket is None, b[1:] != b[:-1])
         new_c = new_b | np.append(c[0] != context, c[1:] != c[:-1])
@@ -272,6 +289,7 @@ def _sort_buckets(rows: pa.Table) -> pa.Table:
     out = [_batch(SPANS, *(np.zeros(0, np.int64),) * 4)]
     columns = [rows.column(c).to_numpy() for c in ("bucket", "key", "crc", "pos", "n")]
     order = np.lexsort((*columns[3:0:-1], columns[0]))
+    order = order[~_same_as_before(*(c[order] for c in columns[:4]))]  # rows alike in doc_id and text are one document
     bucket, key, crc, pos, n = (c[order] for c in columns)
     data = rows.column("data").to_pylist()
     edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
@@ -412,8 +430,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of its bytes to a span becomes U+FFFD. Columns stay as they are, and so do rows."""
 
     @F.udf("string")
-    def cut(text: str, starts: list[int], stops: list[int]) -> str:
-        return kept_bytes(text.encode(), starts, stops).decode(errors="replace")
+    def cut(text: str | None, starts: list[int] | None, stops: list[int] | None) -> str | None:
+        return kept_bytes(text.encode(), starts, stops).decode(errors="replace") if text and starts else text
 
     names = [c for c in docs.columns if c not in ("key", "start", "stop")]
     rows = replacing(docs, "key", "start", "stop").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
