@@ -1,0 +1,71 @@
+import numpy as np
+import pytest
+
+from tests.llm import cases
+from tidebook.llm import ordinal as O
+
+
+def test_gradient_as_differences():
+    rng = np.random.default_rng(0)
+    place, grade, free = rng.normal(size=50), rng.integers(0, 3, 50), np.array([-0.7, 0.4])
+    loss, slope, by_free = O.loss_and_slopes(place, grade, free)
+    probability = np.diff(np.hstack([np.ones((50, 1)), O.tails(place, free), np.zeros((50, 1))]), axis=1) * -1
+    assert loss == pytest.approx(-np.log(probability[np.arange(50), grade]).sum())
+    for i in range(5):
+        moved = place.copy()
+        moved[i] += 1e-6
+        assert (O.loss_and_slopes(moved, grade, free)[0] - loss) / 1e-6 == pytest.approx(slope[i], abs=1e-4)
+    for k in range(2):
+        moved = free.copy()
+        moved[k] += 1e-6
+        assert (O.loss_and_slopes(place, grade, moved)[0] - loss) / 1e-6 == pytest.approx(by_free[k], abs=1e-3)
+
+
+def test_minimiser():
+    a = np.diag([1.0, 10.0, 100.0])
+    x = O.lbfgs(lambda v: (0.5 * v @ a @ v - v.sum(), a @ v - 1), np.zeros(3), rounds=60, tolerance=1e-14)
+    assert x == pytest.approx([1, 0.1, 0.01], abs=1e-5)
+
+
+def test_features_by_hand():
+    found, counts = O.features([b"One two, ONE", b"", b"\xc3\xa9t\xc3\xa9 two", b"one TWO,  one"])
+    sets = np.split(found, np.cumsum(counts)[:-1])
+    assert sets[1].tolist() == [0]
+    assert sets[0].tolist() == sets[3].tolist()  # case, order and repeats don't count
+    assert len(set(sets[0]) & set(sets[2])) >= 5
+    assert all(s[0] == 0 and (np.diff(s) > 0).all() for s in sets)
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{big}/{t}.parquet") for t in ("documents", "labels"))
+    fit, rest = labels.where("doc_id % 4 != 0"), labels.where("doc_id % 4 = 0")
+    found = {r.doc_id: r for r in O.classify(docs, fit).collect()}
+    assert len(found) == docs.count()
+    assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in found.values())
+    marks = [(found[r.doc_id], 0 if r.toxic else 2 if r.quality else 1) for r in rest.collect()]
+    clean = [f.kept for f, g in marks if g == 2]
+    other = [f.kept for f, g in marks if g < 2]
+    assert np.mean(clean) > 0.9
+    assert np.mean(other) < 0.5
+    means = [np.mean([f.expected_grade for f, g in marks if g == k]) for k in (0, 1, 2)]
+    assert max(means[:2]) < means[2] - 0.4
+
+
+def test_order_of_grades(spark):
+    words = {0: "bad worse", 1: "plain dull", 2: "good fine"}
+    rows = [(i, f"{words[i % 3]} filler{i % 7}", i % 3) for i in range(90)]
+    rated = spark.createDataFrame(rows, "doc_id long, text string, grade int")
+    model = O.train(rated)
+    got = {r.doc_id: r for r in O.score(rated, model).collect()}
+    assert all(got[i].expected_grade < got[i + 1].expected_grade < got[i + 2].expected_grade for i in range(0, 90, 3))
+    assert {got[i].kept for i in range(2, 90, 3)} == {True}
+    assert {got[i].kept for i in range(0, 90, 3)} == {False}
+
+
+def test_messy_and_empty_tables(spark):
+    docs = cases.documents(spark)
+    labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (9, None, None), (12, None, 1), (None, 1, 0), (10**9, 1, 0)], "doc_id long, quality int, toxic int")
+    assert O.classify(docs, labels).count() == docs.count()
+    assert O.classify(docs, labels.limit(0)).count() == docs.count()
+    assert O.classify(cases.empty(spark), labels).count() == 0

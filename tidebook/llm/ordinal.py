@@ -52,7 +52,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     kinds = [(start, stop)] + [(start, np.minimum(start + k, stop)) for k in HEADS] + [(np.maximum(raw_stop - TAIL, raw_start), raw_stop)]
     hashes, owners = [], []
     for kind, (a, b) in enumerate(kinds):
-        h = mixed(lower.of(a, b) + _U(kind + 1) * _U(0x9E3779B97F4A7C15))
+        h = mixed(lower.of(a, b) + _U((kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         hashes.append(h >> _U(64 - BITS))
         owners.append(np.searchsorted(ends, a, "right"))
     everyone = np.arange(len(texts))
