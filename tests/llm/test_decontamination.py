@@ -2,7 +2,9 @@ import hashlib
 import re
 
 from tests.llm import cases
+from tests.oracle import difference
 from tidebook.llm.decontamination import contamination, drop_contaminated, remove_spans, scan
+from tidebook.llm.queries import op5_decontamination, oracle_sql
 
 
 def words_of(text):
@@ -62,6 +64,10 @@ def test_documents_and_spans_go(spark):
     assert cut.where("text is null").count() == docs.where("text is null").count()
 
 
+def test_as_duckdb(spark, sf_dir):
+    assert difference(op5_decontamination, oracle_sql()["op5_decontamination"], spark, sf_dir) == ""
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination(cases.empty(spark), none).count() == 0

@@ -150,3 +150,19 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = scan(replacing(docs, "removed_spans"), benchmark)
     return found.withColumn("text", F.when(F.size("hit_spans") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))).withColumn("removed_spans", F.size("hit_spans").cast("long")).drop("n_words", "hit_spans", "hit_items")
+
+
+def oracle_sql(window: int = WINDOW) -> str:
+    """contamination() in DuckDB's SQL: windows of each length by a moving string aggregate, then equality joins."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    moving = lambda key, n: f"string_agg(word, ' ') OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    sizes = range(1, window + 1)
+    item_windows = " UNION ALL ".join(f"SELECT item, {n} AS n, pos, total, {moving('item', n)} AS key FROM item_words WHERE least(total, {window}) = {n}" for n in sizes)
+    doc_windows = " UNION ALL ".join(f"SELECT doc_id, {n} AS n, pos, total, {moving('doc_id', n)} AS key FROM doc_words WHERE {n} IN (SELECT n FROM windows)" for n in sizes)
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), i AS (SELECT CAST(item_id AS VARCHAR) AS item, {words} AS w FROM benchmark),
+doc_words AS (SELECT doc_id, len(w) AS total, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d), item_words AS (SELECT item, len(w) AS total, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM i),
+windows AS MATERIALIZED (SELECT DISTINCT item, n, key FROM ({item_windows}) WHERE pos + n - 1 <= total), hits AS MATERIALIZED (SELECT doc_id, x.n, pos, item FROM ({doc_windows}) x JOIN windows v ON v.n = x.n AND v.key = x.key WHERE pos + x.n - 1 <= total),
+hit_words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS p FROM hits) GROUP BY 1), found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit_words h ON h.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id"""

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import mixing
+from tidebook.llm import decontamination, mixing
 from tidebook.llm.common import table
-from tidebook.llm.decontamination import contamination
 from tidebook.llm.html_text import extract
 from tidebook.llm.ngram_filter import lm_scores
 from tidebook.llm.ordinal import classify
@@ -42,7 +41,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.oracle_sql()}
+    return {"op5_decontamination": decontamination.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
