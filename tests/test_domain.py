@@ -173,6 +173,15 @@ def test_extremes_and_overview(spark):
     assert quotes.overview(rows.limit(0), "BTC").first() == (None, None, None)
 
 
+def test_snapshots_are_appended_by_day(spark, tmp_path):
+    df = ticks(spark, [("A", at(1, 1), 4.0, 1), ("A", at(2, 1), 5.0, 1), ("A", at(2, 2), 3.0, 1)])
+    rows = quotes.snapshots(candles.candles(df))
+    assert [tuple(r)[2:7] for r in rows.orderBy("timestamp").collect()] == [(4.0, 1, 4.0, 4.0, None), (5.0, 1, 5.0, 4.0, 25.0), (3.0, 1, 5.0, 3.0, -25.0)]
+    for _ in range(2):
+        quotes.append_snapshots(rows, str(tmp_path / "snapshots"))
+    assert spark.read.parquet(str(tmp_path / "snapshots")).where("day = '2024-01-02'").count() == 4
+
+
 def test_indicators(spark):
     closes = [float(x) for x in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 14, 13)]
     df = spark.createDataFrame([("A", datetime(2024, 1, 1 + i), c) for i, c in enumerate(closes)], "symbol string, open_time timestamp_ntz, close double")

@@ -46,6 +46,25 @@ def extremes(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(F.max("price").alias("ath"), F.min_by("ts", first(-1)).alias("ath_date"), F.min("price").alias("atl"), F.min_by("ts", first(1)).alias("atl_date"))
 
 
+def snapshots(candles: DataFrame) -> DataFrame:
+    """symbol, timestamp, price, volume, running ath and atl, and the change in percent over 24 hours, 7 and 30 days: one row for each candle.
+
+    Windows by symbol over candles, which are few for each symbol.
+    """
+    so_far = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
+    rows = candles.withColumns({"ath": F.max("high").over(so_far), "atl": F.min("low").over(so_far)})
+    spans = {"24h": 24, "7d": 168, "30d": 720}
+    for name, hours in spans.items():
+        before = F.expr(f"last(close) OVER (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {hours} HOURS PRECEDING)")
+        rows = rows.withColumn(f"price_change_pct_{name}", F.round(100 * F.try_divide(F.col("close") - before, before), 6))
+    return rows.select("symbol", F.col("open_time").alias("timestamp"), F.col("close").alias("price"), "volume", "ath", "atl", *(f"price_change_pct_{n}" for n in spans))
+
+
+def append_snapshots(snapshots: DataFrame, path: str) -> None:
+    """Adds rows to a Parquet table in folders by day, so that later reads of some days skip the others."""
+    snapshots.withColumn("day", F.to_date("timestamp")).write.mode("append").partitionBy("day").parquet(path)
+
+
 def overview(quotes: DataFrame, leader: str) -> DataFrame:
     """Total cap and volume and the share of one symbol, of rows (symbol, market_cap, volume). A fear and greed index has no formula and is not made up."""
     cap = F.sum("market_cap")

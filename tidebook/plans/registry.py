@@ -199,6 +199,23 @@ def ath_atl(spark, sf_dir):
     return quotes.extremes(market.ticks(spark, sf_dir))
 
 
+def _change_over(hours: int) -> str:
+    before = f"last_value(close) OVER (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL '{hours} hours' PRECEDING)"
+    return f"round(100 * (close - {before}) / {before}, 6)"
+
+
+SO_FAR = "OVER (PARTITION BY symbol ORDER BY open_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@register(
+    "snapshots",
+    f"""WITH {CANDLES} SELECT symbol, open_time AS timestamp, close AS price, volume, max(high) {SO_FAR} AS ath, min(low) {SO_FAR} AS atl,
+{_change_over(24)} AS price_change_pct_24h, {_change_over(168)} AS price_change_pct_7d, {_change_over(720)} AS price_change_pct_30d FROM candles""",
+)
+def snapshots(spark, sf_dir):
+    return quotes.snapshots(_candles(spark, sf_dir))
+
+
 @register(
     "market_overview",
     f"""WITH {TICKS}, quotes AS (SELECT symbol, arg_max(price, ts) * sum(volume) AS market_cap, sum(volume) AS volume FROM ticks GROUP BY 1)
