@@ -31,7 +31,7 @@ LEAST_PAIR = 2
 #: Strength of the unigram prior of a pair's probability, in counts.
 PRIOR = 200.0
 #: N-grams that a part counts, on average; bytes of a block.
-PART_ENTRIES, BLOCK_BYTES = 500_000, 96 << 20
+PART_ENTRIES, BLOCK_BYTES = 500_000, 48 << 20
 PIECE = 2 << 20
 
 _U = np.uint64
@@ -111,9 +111,15 @@ def count_of(level: np.ndarray, least: int) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-def _probe(h: np.ndarray, level: int, bits: np.ndarray, k: int) -> np.ndarray:
+def _seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of the probes of (n-gram, level)."""
     a = mixed(h + _U(level * 0xA0761D6478BD642F % (1 << 64)))
-    return (a + _U(k) * (mixed(a ^ _U(0xE7037ED1A0B428DB)) | _U(1))) % bits.astype(np.uint64)
+    return a, mixed(a ^ _U(0xE7037ED1A0B428DB)) | _U(1)
+
+
+def _probe(start: np.ndarray, stride: np.ndarray, k: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The k-th probe's bit; bits (below 2^32): those of the segment."""
+    return (((start + _U(k) * stride) >> _U(32)) * bits >> _U(32)).astype(np.int64)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -131,7 +137,7 @@ WORD, PAIR = 0, 1
 
 def _counter(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 * PIECE):
+        for batch in slices(batches, "text", PIECE):
             token, counts = tokens(as_bytes(batch, "text"))
             rows = []
             for kind, h in ((WORD, token), (PAIR, pairs(histories(token, counts), token))):
@@ -162,9 +168,9 @@ def _segment(entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, bytes]:
     flags = np.zeros(bits, bool)
     for h, level in entries:
         for q in range(1, int(level.max(initial=0)) + 1):
-            some = h[level >= q]
+            start, stride = _seeds(h[level >= q], q)
             for k in range(PROBES):
-                flags[_probe(some, q, np.array(bits), k).astype(np.int64)] = True
+                flags[_probe(start, stride, k, _U(bits))] = True
     return bits, np.packbits(flags).tobytes()
 
 
@@ -211,14 +217,25 @@ class Block:
         part = part_of(h, self.parts) - self.first
         bits, begin, left, q = self.bits[part], self.begin[part], np.arange(len(h)), 1
         while len(left):
+            start, stride = _seeds(h[left], q)
             for k in range(PROBES):
-                at = begin[left] + _probe(h[left], q, bits[left], k).astype(np.int64)
-                left = left[(self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+                at = begin[left] + _probe(start, stride, k, bits[left])
+                found = np.flatnonzero(self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                left, start, stride = left[found], start[found], stride[found]
             out[left] = q
             q += 1
         return out
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, and the place of each hash among them."""
+    order = np.argsort(h)
+    new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(h)]
+    where = np.empty(len(h), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return h[order[new]], where
+
+
 STATE = "base double, known long, word_levels binary, pair_levels binary"
 
 
@@ -227,16 +244,17 @@ def _reader(shared, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, total, words, _ = shared.value
-        for batch in slices(batches, "text", 2 * PIECE):
+        for batch in slices(batches, "text", PIECE):
             token, counts = tokens(as_bytes(batch, "text"))
-            value, where = np.unique(token, return_inverse=True)
+            value, where = _distinct(token)
             own = block.owns(value)
             c, q = np.zeros(len(value), np.int64), np.zeros(len(value), np.uint8)
             c[own], q[own] = block.exact(value[own]), block.levels(value[own])
-            pair = pairs(histories(token, counts), token)
+            pair, where_pair = _distinct(pairs(histories(token, counts), token))
             own_pair = block.owns(pair)
             p = np.zeros(len(pair), np.uint8)
             p[own_pair] = block.levels(pair[own_pair])
+            p = p[where_pair]
             mine = own[where]
             base = np.where(mine, np.log10((c[where] + 1) / (total + words + 1)), 0.0)
             known = mine & (c[where] > 0)
