@@ -75,6 +75,21 @@ def test_texts_are_cut_and_columns_stay(spark):
     assert S.remove_repeats(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("classes", [1, 2, 23, 24, 25, 26, 60])
+def test_many_windows_that_tie_on_their_first_bytes(classes):
+    rng = np.random.default_rng(classes)
+    heads = rng.integers(97, 123, 40).astype(np.uint8)
+    windows = [np.concatenate([heads, rng.integers(97, 123, S.WINDOW - 40).astype(np.uint8)]) for _ in range(classes)]
+    picks = [*range(classes), *rng.integers(0, classes, 80).tolist()]
+    text = np.concatenate([*(windows[k] for k in picks), np.zeros(S.WINDOW + 16, np.uint8)])
+    at = np.arange(len(picks)) * S.WINDOW
+    seen, wanted = set(), []
+    for k in picks:
+        wanted.append(k in seen)
+        seen.add(k)
+    assert S.repeated_windows(text, at).tolist() == wanted
+
+
 def test_difference_cover():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
     assert len(S.COVER) == 6

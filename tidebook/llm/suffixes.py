@@ -266,9 +266,10 @@ def repeated_windows(text: np.ndarray, at: np.ndarray) -> np.ndarray:
             same &= words[p + where] == words[q + where]
         repeat[i[same]] = True
         order, cls = i[~same], cls[~same]
-    order = np.sort(order)  # many classes in one tie: sort what is left by all its bytes
-    again, cls = _classes(_prefix(words, at[order], 0, WINDOW))
-    repeat[order[again[np.append(False, cls[1:] == cls[:-1])]]] = True
+    if len(order):  # many classes in one tie: sort what is left by all its bytes
+        order = np.sort(order)
+        again, cls = _classes(_prefix(words, at[order], 0, WINDOW))
+        repeat[order[again[_same_as_before(cls)]]] = True
     return repeat
 
 
