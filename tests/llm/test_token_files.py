@@ -23,11 +23,18 @@ def test_pieces_as_whole_texts():
 
 
 def test_a_full_memory_changes_nothing(monkeypatch):
-    monkeypatch.setattr("tidebook.llm.token_files.REMEMBERED", 3)
+    monkeypatch.setattr("tidebook.llm.token_files.REMEMBERED", 6)
     encoder = Encoder(tokenizer_path())
     for texts in (["a b c d e"], ["f g a", "h h"], ["a f h z"]):
         assert [f.tolist() + [2] for f in encoder.encode(texts)] == [plain(t) for t in texts]
-    assert len(encoder.place) == 5
+    assert len(encoder.memory[0]) <= 6
+
+
+def test_hashes_that_collide_change_nothing(monkeypatch):
+    monkeypatch.setattr("tidebook.llm.token_files.Roller.of", lambda self, start, stop: (stop - start).astype(np.uint64) % np.uint64(2))
+    encoder = Encoder(tokenizer_path())
+    for texts in (["one two three"], ["one one", "two"], ["six"], ["ten six"]):
+        assert [f.tolist() + [2] for f in encoder.encode(texts)] == [plain(t) for t in texts]
 
 
 def written(docs, width="<u2"):

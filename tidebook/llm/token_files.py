@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import materialize, scratch_path, slices
+from tidebook.llm.rolling import Roller
 
 END_ID = 2
 #: IDs in a frame of several documents; IDs after which a file is closed.
 FRAME_IDS, FILE_IDS = 1 << 16, 1 << 25
 LEVEL = 3
-#: Pieces of text whose IDs a worker remembers; later ones are encoded each time that a slice of text has them.
-REMEMBERED = 1_000_000
+#: Pieces of text that a worker remembers (some 70 bytes each); later ones are encoded each time that a slice of text has them.
+REMEMBERED = 1_500_000
 
 # Fixed values of the public seekable format, and a skippable frame's number for the documents.
 SEEK_FRAME, SEEK_END, DOCUMENTS_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
@@ -44,11 +45,14 @@ CHECKSUMS = 0x80
 class Encoder:
     """IDs of whole texts by the tokenizers library.
 
-    Byte-level pre-tokenization always cuts before ASCII white space that follows another character, so the pieces between such places are
-    encoded on their own, once each, and their IDs remembered. Texts with other white space are encoded in one go.
+    Byte-level pre-tokenization always cuts before ASCII white space that follows another character, so the pieces between such places have
+    the same IDs in any text. Each distinct piece is encoded once and remembered by its hash; new ones are encoded many at a time, joined into one
+    text, whose IDs are dealt to the pieces by the bytes that each ID stands for. A piece counts as known only if its length, its first and its last 8 bytes
+    are right too: up to 16 bytes that is all of it. Texts with other white space are encoded in one go.
     """
 
-    PIECE = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+    SPACE, JOINED = b" \t\n\r\f\v", 1024
+    IS_SPACE = np.isin(np.arange(256), list(SPACE))
     OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
     known: dict[str, Encoder] = {}
 
@@ -56,8 +60,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.place: dict[str, int] = {}
-        self.ids, self.starts, self.sizes, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # a byte-level token has one character for each byte
+        #: Of the remembered pieces, by hash: hash, first and last bytes, length, place and number of IDs.
+        self.memory = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)]
+        self.ids = np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,41 +76,83 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 4096):
-            part = pieces[i : i + 4096]
-            new = self._whole(part)
-            sizes = np.array([len(x) for x in new])
-            end, n = self.used + int(sizes.sum()), len(self.place)
-            while end > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while n + len(part) > len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.ids[self.used : end] = np.concatenate(new)
-            self.starts[n : n + len(part)], self.sizes[n : n + len(part)] = self.used + np.cumsum(sizes) - sizes, sizes
-            self.place.update(zip(part, range(n, n + len(part)), strict=True))
-            self.used = end
+    def _pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """IDs of all pieces one after the other, and how many each has."""
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(pieces)
+        joined = [i for i, p in enumerate(pieces) if p[0] in self.SPACE and p[-1] not in self.SPACE]
+        alone = [i for i, p in enumerate(pieces) if p[0] not in self.SPACE or p[-1] in self.SPACE]
+        for k in range(0, len(joined), self.JOINED):
+            part = joined[k : k + self.JOINED]
+            ids = self._whole([b"".join(pieces[i] for i in part).decode()])[0]
+            stops = np.cumsum([len(pieces[i]) for i in part])
+            ends = np.cumsum(self.bytes_of[ids])
+            places = np.searchsorted(ends, stops)  # the last ID of each piece
+            if len(ends) and ends[-1] == stops[-1] and (ends[places] == stops).all():
+                for i, ids_of_piece in zip(part, np.split(ids, places[:-1] + 1), strict=True):
+                    out[i] = ids_of_piece
+            else:
+                alone += part
+        for k in range(0, len(alone), self.JOINED):
+            part = alone[k : k + self.JOINED]
+            for i, ids in zip(part, self._whole([pieces[i].decode() for i in part]), strict=True):
+                out[i] = ids
+        return np.concatenate([np.zeros(0, np.uint32), *out]), np.array([len(x) for x in out], np.int64)
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [t.encode() for t in texts]
+        sizes = np.array([len(t) for t in raw], np.int64)
+        data = np.frombuffer(b"".join([*raw, bytes(8)]), np.uint8)
+        n = len(data) - 8
+        if not n:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        space = self.IS_SPACE[data[:n]]
+        cut = space & ~np.append(False, space[:-1])
+        begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+        cut[begin] = True
+        start = np.flatnonzero(cut)
+        stop = np.append(start[1:], n)
+        length = stop - start
+        eight = np.ndarray((n + 1,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
+        short = np.minimum(length, 8).astype(np.uint64)
+        head = eight[start] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * short))
+        tail = np.where(length > 8, eight[np.maximum(stop - 8, 0)], np.uint64(0))
+        hashes = Roller(data[:n]).of(start, stop)
+        order = np.argsort(hashes)
+        new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        one = order[new]  # a piece of each kind
+        if any((x != x[one][kind]).any() for x in (head, tail, length)):
+            return self._whole(texts)
+        mine = [x[one] for x in (hashes, head, tail, length)]
+        at = np.minimum(np.searchsorted(self.memory[0], mine[0]), max(0, len(self.memory[0]) - 1))
+        hit = np.ones(len(one), bool) if len(self.memory[0]) else np.zeros(len(one), bool)
+        if len(self.memory[0]):
+            for x, y in zip(mine, self.memory, strict=False):
+                hit &= x == y[at]
+        missing = np.flatnonzero(~hit)
+        ids, n_ids = self._pieces([data[start[i] : stop[i]].tobytes() for i in one[missing].tolist()])
+        place, count = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        place[hit], count[hit] = self.memory[4][at[hit]], self.memory[5][at[hit]]
+        place[missing], count[missing] = len(self.ids) + np.cumsum(n_ids) - n_ids, n_ids
+        every = np.concatenate([self.ids, ids])
+        if len(self.memory[0]) + len(missing) <= REMEMBERED:
+            self.ids = every
+            self.memory = [np.concatenate([a, b[missing]]) for a, b in zip(self.memory, [*mine, place, count], strict=True)]
+            by_hash = np.argsort(self.memory[0], kind="stable")
+            self.memory = [x[by_hash] for x in self.memory]
+        n_ids, first = count[kind], place[kind]
+        stops = np.cumsum(n_ids)
+        flat = every[np.repeat(first - stops + n_ids, n_ids) + np.arange(stops[-1])]
+        pieces_before = np.searchsorted(start, np.cumsum(sizes))  # pieces up to the end of each text
+        return np.split(flat, np.append(0, stops)[pieces_before][:-1])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         odd = [i for i, t in enumerate(texts) if self.OTHER_SPACE.search(t)]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        pieces = [self.PIECE.findall(t) if out[i] is None else [] for i, t in enumerate(texts)]
-        place, used, full = self.place, self.used, len(self.place) >= REMEMBERED
-        new = list({p for some in pieces for p in some if p not in place})
-        self._learn(new)
-        find = self.place.__getitem__
-        for i, some in enumerate(pieces):
-            if out[i] is None:
-                at = np.fromiter(map(find, some), np.int64, len(some))
-                sizes = self.sizes[at]
-                stop = np.cumsum(sizes)
-                out[i] = self.ids[np.repeat(self.starts[at] - stop + sizes, sizes) + np.arange(stop[-1] if len(stop) else 0)]
-        if full:
-            self.used = used
-            for p in new:
-                del place[p]
+        for some, encode in ((odd, self._whole), (sorted(set(range(len(texts))) - set(odd)), self._by_pieces)):
+            for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
+                out[i] = ids
         return out
 
 
@@ -236,7 +285,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         wide = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1) > 1 << 16
         dtype, end = np.dtype("<u4" if wide else "<u2"), np.array([end_id], np.uint32)
         writer, name, done = None, "", []
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             texts = batch.column("text").fill_null("").to_pylist()
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 if writer is None:
