@@ -2,8 +2,8 @@
 
 A text is a set of hashed features: its words, their beginnings, and their last bytes. One weight vector, shared by all grades, gives a
 text's place on one line; ordered thresholds cut the line into grades: P(grade >= k) = logistic(place - threshold k). It is fitted
-by L-BFGS (Liu and Nocedal, 1989) over all rated texts: their features are written once, each evaluation of loss and gradient is a job over
-them in which the tasks' gradients are summed slice by slice before they come to the driver, and the weights (one vector of fixed size) are broadcast.
+by L-BFGS (Liu and Nocedal, 1989) over all rated texts: their features are written once, and each evaluation of loss and gradient is a job over
+them by a bounded number of tasks. The weights, one vector of fixed size, are broadcast, and a gradient of that size comes back from each task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import as_bytes, materialize, slices
+from tidebook.llm.common import as_bytes, materialize, sized, slices
 from tidebook.llm.rolling import Roller, mixed
 
 BITS = 18
@@ -26,7 +26,8 @@ GRADES = 3
 RIDGE, ROUNDS, MEMORY = 3.0, 30, 8
 #: A text is kept if the top grade has at least this probability.
 LEAST = 0.4
-SLICES = 16
+#: Tasks of an evaluation; each sends one gradient of SIZE single-precision numbers to the driver.
+TASKS = 64
 #: Bytes of a word's beginnings and ending that are features.
 HEADS, TAIL = (3, 5, 7), 3
 PIECE = 2 << 20
@@ -104,10 +105,10 @@ def loss_and_slopes(place: np.ndarray, grade: np.ndarray, free: np.ndarray) -> t
 
 
 class _Objective:
-    """Loss and gradient over the written features; each call is one job."""
+    """Loss and gradient over the written features; each call is one job of at most TASKS tasks."""
 
     def __init__(self, rated: DataFrame):
-        self.rated, self.spark = rated, rated.sparkSession
+        self.rated, self.spark = rated.coalesce(TASKS), rated.sparkSession
         self.n = max(1, rated.count())
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -115,7 +116,7 @@ class _Objective:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w, free = shared.value[:SIZE], shared.value[SIZE:]
-            gradient = np.zeros(SIZE + len(free) + 1)
+            gradient, rest = np.zeros(SIZE), np.zeros(len(free) + 1)
             for batch in batches:
                 rows = batch.column("features").to_pylist()
                 if not rows:
@@ -123,21 +124,14 @@ class _Objective:
                 found, counts = np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows])
                 place = np.add.reduceat(w[found], np.cumsum(counts) - counts)
                 lost, slope, by_free = loss_and_slopes(place, batch.column("grade").to_numpy().astype(np.int64), free)
-                gradient[:SIZE] += np.bincount(found, np.repeat(slope, counts), SIZE)
-                gradient[SIZE:-1] += by_free
-                gradient[-1] += lost
-            parts = np.array_split(gradient, SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "part"])
-
-        def add(rows: pa.Table) -> pa.Table:
-            parts = rows.column("part").to_pylist()
-            total = np.frombuffer(parts[0])
-            for p in parts[1:]:
-                total = total + np.frombuffer(p)
-            return pa.table({"slice": rows.column("slice").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
-
-        summed = self.rated.mapInArrow(run, "slice int, part binary").groupBy("slice").applyInArrow(add, "slice int, part binary")
-        total = np.concatenate([np.frombuffer(r.part) for r in sorted(summed.collect())])
+                gradient += np.bincount(found, np.repeat(slope, counts), SIZE)
+                rest += np.append(by_free, lost)
+            yield pa.RecordBatch.from_arrays([pa.array([gradient.astype(np.float32).tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())], names=["gradient", "rest"])
+
+        total = np.zeros(len(x) + 1)
+        for row in self.rated.mapInArrow(run, "gradient binary, rest binary").collect():
+            total[:SIZE] += np.frombuffer(row.gradient, np.float32)
+            total[SIZE:] += np.frombuffer(row.rest)
         shared.destroy()
         ridge = np.concatenate([np.full(SIZE, RIDGE), np.zeros(len(x) - SIZE)])
         return (total[-1] + 0.5 * float(ridge @ (x * x))) / self.n, (total[:-1] + ridge * x) / self.n
@@ -217,7 +211,7 @@ def score(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
 def rated_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text and grade of the documents that have a label; a document with several labels counts with each, one without doc_id not at all."""
     marks = labels.select(F.col("doc_id").alias("_id"), grade_of(F.col("quality"), F.col("toxic")).alias("grade")).where("grade is not null")
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).select("text", "grade")
+    return docs.select("doc_id", "text").join(sized(marks), F.col("doc_id") == F.col("_id")).select("text", "grade")
 
 
 def classify(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
