@@ -27,7 +27,7 @@ RIDGE, ROUNDS, MEMORY = 3.0, 30, 8
 #: A text is kept if the top grade has at least this probability.
 LEAST = 0.4
 #: Tasks of an evaluation; each sends one gradient of SIZE single-precision numbers to the driver.
-TASKS = 64
+TASKS = 24
 #: Bytes of a word's beginnings and ending that are features.
 HEADS, TAIL = (3, 5, 7), 3
 PIECE = 2 << 20
