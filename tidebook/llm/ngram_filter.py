@@ -26,8 +26,8 @@ from tidebook.llm.rolling import Roller, mixed
 
 #: Base of the log scale; bits probed for each level; bits of the filter for each (n-gram, level).
 BASE, PROBES, BITS = 1.5, 8, 11.6
-#: Least training count of a pair that goes into the filter (a pair seen once counts as unseen).
-LEAST_PAIR = 2
+#: Least training count of a pair that goes into the filter: every pair that was seen.
+LEAST_PAIR = 1
 #: Strength of the unigram prior of a pair's probability, in counts.
 PRIOR = 200.0
 #: N-grams that a part counts, on average; bytes of a block.
