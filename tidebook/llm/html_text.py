@@ -29,7 +29,7 @@ from tidebook.llm.common import materialize, sized, slices
 MIN_PAGES, MIN_MAIN_PAGES = 3, 8
 #: A slot outside a main region with a greater share of text in links is navigation.
 MOST_LINKED = 0.5
-#: Levels of nesting that are told apart; deeper elements count as part of the one at that level.
+#: Levels of nesting that are told apart; the text runs of deeper elements are children of the one at that level, each under its own element's label.
 DEPTH = 60
 #: Hosts whose wrappers a task holds before it hands them on.
 HELD_HOSTS = 2_000
@@ -90,14 +90,21 @@ class _Builder(HTMLParser):
         #: Open elements, inline ones by their name alone.
         self.open: list[Element | str] = [self.root]
         self.blocks, self.links = [self.root], 0
+        #: For each of blocks: whether it is in a main region, and whether it is in a silent element.
+        self.inside: list[tuple[bool, bool]] = [(False, False)]
         self.run: list[str] = []
         self.linked = 0
 
     def flush(self) -> None:
         if self.run:
             text = " ".join("".join(self.run).split())
-            if text:
-                self.blocks[-1].children.append(Block(text, min(self.linked, len(text))))
+            last, (main, silent) = self.blocks[-1], self.inside[-1]
+            if text and len(self.blocks) <= DEPTH + 1:
+                last.children.append(Block(text, min(self.linked, len(text))))
+            elif text and not silent:
+                run = Element(last.tag, last.label, False, main)
+                run.children.append(Block(text, min(self.linked, len(text))))
+                self.blocks[DEPTH].children.append(run)
             self.run, self.linked = [], 0
 
     def pop(self, down_to: int) -> None:
@@ -106,6 +113,7 @@ class _Builder(HTMLParser):
             if isinstance(last, Element):
                 self.flush()
                 self.blocks.pop()
+                self.inside.pop()
             elif last == "a":
                 self.links -= 1
 
@@ -123,20 +131,22 @@ class _Builder(HTMLParser):
             elif tag == "br":
                 self.run.append(" ")
             return
-        if tag not in BLOCK or len(self.blocks) > DEPTH:
+        if tag not in BLOCK:
             self.open.append(tag)
             self.links += tag == "a"
             return
         self.flush()
         got = {k: v or "" for k, v in attrs}
         label, silent, main = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden") == "true")
-        inside = any(b.main for b in self.blocks)
-        if tag == "header" and not inside:
+        in_main, in_silent = self.inside[-1]
+        if tag == "header" and not in_main:
             silent, main = True, False
         new = Element(tag, label, silent, main)
-        self.blocks[-1].children.append(new)
+        if len(self.blocks) <= DEPTH:
+            self.blocks[-1].children.append(new)
         self.open.append(new)
         self.blocks.append(new)
+        self.inside.append((in_main or main, in_silent or silent))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
