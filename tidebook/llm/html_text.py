@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import materialize, sized, slices
 
-#: Pages of a host from which a text that all share in a slot is template; from which it is so inside the main region.
+#: Pages with a slot from which a text that most of them share in it is template; from which it is so inside the main region.
 MIN_PAGES, MIN_MAIN_PAGES = 3, 8
+#: Share of a slot's pages from which a text is template, and the share that its count may be too small by, as rare texts are forgotten.
+MOST_PAGES, FORGOTTEN = 0.9, 0.1
 #: A slot outside a main region with a greater share of text in links is navigation.
 MOST_LINKED = 0.5
 #: Levels of nesting that are told apart; the text runs of deeper elements are children of the one at that level, each under its own element's label.
@@ -178,19 +180,25 @@ def parse(html: str) -> Element:
 
 
 class Wrapper:
-    """A node: its label, the pages that have it, hashes of the texts that all of these share in it, characters, characters in links, and children of distinct labels, in order."""
+    """A node: its label, the pages that have it, in how many of them a text (by its hash) is in it, characters, characters in links, children of distinct labels, in order,
+    and by how much a count is too small at most."""
 
-    __slots__ = ("label", "pages", "shared", "chars", "linked", "children")
+    __slots__ = ("label", "pages", "shared", "chars", "linked", "children", "error")
 
-    def __init__(self, label: str, pages: int, shared: set[int], chars: int, linked: int, children: list[Wrapper]):
-        self.label, self.pages, self.shared, self.chars, self.linked, self.children = label, pages, shared, chars, linked, children
+    def __init__(self, label: str, pages: int, shared: dict[int, int], chars: int, linked: int, children: list[Wrapper], error: int = 0):
+        self.label, self.pages, self.shared, self.chars, self.linked, self.children, self.error = label, pages, shared, chars, linked, children, error
 
     def dump(self) -> list:
-        return [self.label, self.pages, sorted(self.shared), self.chars, self.linked, [c.dump() for c in self.children]]
+        return [self.label, self.pages, sorted(self.shared.items()), self.chars, self.linked, [c.dump() for c in self.children], self.error]
 
     @classmethod
     def load(cls, x: list) -> Wrapper:
-        return cls(x[0], x[1], set(x[2]), x[3], x[4], [cls.load(c) for c in x[5]])
+        return cls(x[0], x[1], dict(map(tuple, x[2])), x[3], x[4], [cls.load(c) for c in x[5]], x[6])
+
+    def constant(self, text: int) -> bool:
+        """Whether a text is in MOST_PAGES of the pages; never false where it is, and true from MOST_PAGES - FORGOTTEN on at the earliest."""
+        n = self.shared.get(text, 0)
+        return n > 0 and n + self.error >= MOST_PAGES * self.pages
 
 
 def text_hash(text: str) -> int:
@@ -199,14 +207,14 @@ def text_hash(text: str) -> int:
 
 def wrapper_of(elements: list[Element]) -> Wrapper:
     """The wrapper of one page, from the root down; elements: the siblings that are one node. Silent elements are nodes without text or children."""
-    node = Wrapper(elements[0].label, 1, set(), 0, 0, [])
+    node = Wrapper(elements[0].label, 1, {}, 0, 0, [])
     groups: dict[str, list[Element]] = {}
     for e in elements:
         for child in () if e.silent else e.children:
             if isinstance(child, Element):
                 groups.setdefault(child.label, []).append(child)
             else:
-                node.shared.add(text_hash(child.text))
+                node.shared[text_hash(child.text)] = 1
                 node.chars += len(child.text)
                 node.linked += child.linked
     node.children = [wrapper_of(g) for g in groups.values()]
@@ -246,7 +254,16 @@ def _align(a: Wrapper, b: Wrapper) -> list[tuple[Wrapper | None, Wrapper | None]
 
 def merge(a: Wrapper, b: Wrapper) -> Wrapper:
     children = [x if y is None else y if x is None else merge(x, y) for x, y in _align(a, b)]
-    return Wrapper(a.label, a.pages + b.pages, a.shared & b.shared, a.chars + b.chars, a.linked + b.linked, children)
+    more, shared = sorted((a.shared, b.shared), key=len, reverse=True)
+    more = dict(more)
+    for h, n in shared.items():
+        more[h] = more.get(h, 0) + n
+    pages, error = a.pages + b.pages, a.error + b.error
+    if (room := int(FORGOTTEN * pages) - error) > 0:  # a text forgotten now may be in `error` pages more than counted
+        lost = max((n for n in more.values() if n <= room), default=0)
+        if lost:
+            more, error = {h: n for h, n in more.items() if n > lost}, error + lost
+    return Wrapper(a.label, pages, more, a.chars + b.chars, a.linked + b.linked, children, error)
 
 
 class _Walk:
@@ -275,19 +292,19 @@ class _Walk:
                     continue
                 seen = at.pages if at else 1
                 least = MIN_MAIN_PAGES if main else MIN_PAGES
-                constant = at is not None and seen >= least and 2 * seen >= self.pages and text_hash(child.text) in at.shared
+                constant = at is not None and seen >= least and 2 * seen >= self.pages and at.constant(text_hash(child.text))
                 linked, chars = (at.linked, at.chars) if at else (child.linked, len(child.text))
                 self.found.append((child.text, main, constant, linked > MOST_LINKED * chars))
 
 
 def content(html: str, wrapper: Wrapper | None) -> list[str]:
-    """The content blocks of a page, in order. If its wrapper would leave nothing of a main region, the region's blocks stay."""
+    """The content blocks of a page, in order. If its wrapper would leave nothing (of the main region, where there is one), as on a host of copies, the blocks stay."""
     found = _Walk(parse(html), wrapper, wrapper.pages if wrapper else 1).found
     if any(main for _, main, _, _ in found):
         inside = [(t, c) for t, main, c, _ in found if main]
         return [t for t, c in inside if not c] or [t for t, _ in inside]
     plain = [(t, c) for t, _, c, linked in found if not linked]
-    return [t for t, c in plain if not c]
+    return [t for t, c in plain if not c] or [t for t, _ in plain]
 
 
 def host_of(url: Column) -> Column:
