@@ -25,15 +25,15 @@ def brute(rows):
             count.update(ts)
             pair.update(zip(["<s>", *ts[:-1]], ts))
     n, v, documents = sum(count.values()), len(count), held.count(False)
-    level = lambda c, least: float(N.count_of(N.level_of(np.array([c]), least), least)[0]) if c >= least else 0.0
+    level = lambda c: float(N.count_of(N.level_of(np.array([c])))[0]) if c else 0.0
     out = []
     for (i, _), h, ts in zip(rows, held, tokens):
         base = sum(log10((count[t] + 1) / (n + v + 1)) for t in ts)
         score = 0.0
         for b, t in zip(["<s>", *ts[:-1]], ts):
-            before = documents if b == "<s>" else level(count[b], 1)
-            prior = (level(count[t], 1) + 1) / (n + v + 1)
-            score += log10((min(level(pair[b, t], 2), before) + N.PRIOR * prior) / (before + N.PRIOR))
+            before = documents if b == "<s>" else level(count[b])
+            prior = (level(count[t]) + 1) / (n + v + 1)
+            score += log10((min(level(pair[b, t]), before) + N.PRIOR * prior) / (before + N.PRIOR))
         out.append((i, h, len(ts), sum(count[t] > 0 for t in ts), n, base, score))
     return out
 
@@ -63,11 +63,8 @@ def test_counts_read_back_are_never_too_small():
     h = np.unique(rng.integers(0, 1 << 63, 20_000).astype(np.uint64) * np.uint64(2))
     level = rng.integers(1, 12, len(h))
 
-    class Row:
-        part, hashes, counts = 0, b"", b""
-        bits, filter = N._segment([(h, level)])
-
-    block = N.Block([Row], 1, 0, 1)
+    bits, flags = N._segment([(h, level)])
+    block = N.Block([{"part": 0, "hashes": b"", "counts": b"", "bits": bits, "filter": flags}], 1, 0, 1)
     found = block.levels(h)
     assert (found >= level).all()
     assert (found > level).mean() < 0.02
@@ -75,6 +72,39 @@ def test_counts_read_back_are_never_too_small():
     assert (others > 0).mean() < 0.02
 
 
+def test_pieces_of_long_texts_change_nothing(spark, monkeypatch):
+    text = " ".join(f"w{i * i % 611}" for i in range(9_000))
+    docs = spark.createDataFrame([(1, text), (3, text[:30_000]), (4, " " * 5_000)], "doc_id long, text string")
+    batch = docs.toArrow().to_batches()
+    one = [N.sequences(N.as_bytes(b, "text"), N.HELD) for b in batch]
+    tokens = [t[N.scored_places(s, t)] for g in one for _, s, t in g]
+    pairs = [N.pairs(t[N.scored_places(s, t) - 1], t[N.scored_places(s, t)]) for b in batch for _, s, t in N.sequences(N.as_bytes(b, "text"), N.HELD)]
+    monkeypatch.setattr(N, "PIECE", 700)
+    many = [(s, t) for b in batch for _, s, t in N.sequences(N.as_bytes(b, "text"), 1_500)]
+    assert len(many) > 20
+    assert np.concatenate([t[N.scored_places(s, t)] for s, t in many]).tolist() == np.concatenate(tokens).tolist()
+    assert np.concatenate([N.pairs(t[N.scored_places(s, t) - 1], t[N.scored_places(s, t)]) for s, t in many]).tolist() == np.concatenate(pairs).tolist()
+
+
+def test_a_text_of_several_pieces_through_spark(spark):
+    long = " ".join(f"w{i * i % 7919}" for i in range(500_000))
+    assert len(long) > 2 * N.PIECE
+    docs = spark.createDataFrame([(1, long), (2, "w1 w4 w9"), (5, None)], "doc_id long, text string")
+    for f, w in zip(sorted(map(tuple, N.lm_scores(docs).collect())), sorted(brute([(1, long), (2, "w1 w4 w9"), (5, None)]))):
+        assert f[:5] == w[:5]
+        assert f[5:] == pytest.approx(w[5:], rel=0.03)
+
+
+def test_words_of_equal_polynomial_hash_are_told_apart(spark):
+    """Thue-Morse strings, which any polynomial modulo a power of two takes for equal."""
+    a, b = ("".join(x if bin(i).count("1") % 2 else y for i in range(2048)) for x, y in ("ab", "ba"))
+    rows = [(1, f"{a} x"), (3, f"{a} y"), (4, "x y")]
+    held = next(i for i in range(10, 100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    found = {r.doc_id: r for r in N.lm_scores(spark.createDataFrame([*rows, (held, f"{b} x")], "doc_id long, text string")).collect()}
+    assert (found[held].held_out, found[held].n_known) == (True, 2)
+    assert found[1].n_known == 3
+
+
 def test_likely_texts_score_higher(spark):
     rng = np.random.default_rng(2)
     draw = lambda: " ".join(f"w{int(x)}" for x in np.cumsum(rng.integers(0, 3, 200)) % 50)

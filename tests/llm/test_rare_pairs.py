@@ -30,7 +30,7 @@ def test_as_brute_force_with_every_pair(spark, sf_dir):
             count.update(ts)
             pair.update(zip(["<s>", *ts[:-1]], ts))
     n, v = sum(count.values()), len(count)
-    level = lambda c: float(N.count_of(N.level_of(np.array([c]), 1), 1)[0]) if c else 0.0
+    level = lambda c: float(N.count_of(N.level_of(np.array([c])))[0]) if c else 0.0
     found = {r.doc_id: r.score for r in N.lm_scores(docs).collect()}
     for i, ts in rows:
         score = 0.0

@@ -6,89 +6,89 @@ too small, and too large with a chance that halves with each bit of a probe. Pro
 bigram model over the counts read back.
 
 Counting: each task combines the n-grams of a slice of text, and deals them by hash to parts; a part counts its n-grams and
-builds its own segment of the filter. A block is some neighbouring parts, of bounded size; one block is broadcast at a time, and
-a scan of the texts reads from it the levels of the n-grams that it is in charge of. A corpus whose filter fits one
-block takes one scan; a larger one takes a scan for each block, with the levels so far kept beside the text.
+builds its own segment of the filter. A block is some neighbouring parts, of bounded size, and each block is a broadcast of its own.
+One pass scores the texts: a worker takes some text, and goes through the blocks in turn, one at a time in memory, for
+the levels of the n-grams that each is in charge of. So the text is read once, whatever the size of the filter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import as_bytes, materialize, slices
-from tidebook.llm.rolling import Roller, mixed
+from tidebook.llm.rolling import mixed
 
 #: Base of the log scale; bits probed for each level; bits of the filter for each (n-gram, level).
 BASE, PROBES, BITS = 1.5, 8, 11.6
-#: Least training count of a pair that goes into the filter: every pair that was seen.
-LEAST_PAIR = 1
 #: Strength of the unigram prior of a pair's probability, in counts.
 PRIOR = 200.0
 #: N-grams that a part counts, on average; bytes of a block.
-PART_ENTRIES, BLOCK_BYTES = 500_000, 48 << 20
-PIECE = 2 << 20
+PART_ENTRIES, BLOCK_BYTES = 500_000, 24 << 20
+#: Bytes of text whose n-grams a task combines or looks up at once; a longer text goes in pieces.
+HELD, PIECE = 4 << 20, 1 << 20
 
 _U = np.uint64
 BEGIN, END = _U(0x0B5E55ED0B5E55ED), _U(0xE4DE4DE4DE4DE4D1)
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_IS_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_SPACES = frozenset(b" \t\n\x0b\x0c\r")
 
 
 def _pieces(text: bytes) -> Iterator[bytes]:
     """The text in pieces of about PIECE bytes, cut at white space."""
     at = 0
     while len(text) - at > PIECE:
-        cut = next((i for i in range(at + PIECE, len(text)) if _IS_SPACE[text[i]]), len(text))
+        cut = next((i for i in range(at + PIECE, len(text)) if text[i] in _SPACES), len(text))
         yield text[at:cut]
         at = cut
     yield text[at:]
 
 
-def _word_hashes(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all pieces, and the number of words of each."""
-    data = _LOWER[np.frombuffer(b" ".join([*pieces, b""]), np.uint8)] if pieces else np.zeros(0, np.uint8)
-    space = _IS_SPACE[data]
-    start = np.flatnonzero(~space & np.append(True, space[:-1]))
-    stop = np.flatnonzero(~space & np.append(space[1:], True)) + 1
-    ends = np.cumsum([len(p) + 1 for p in pieces])
-    return Roller(data).of(start, stop), np.diff(np.searchsorted(start, ends), prepend=0)
+def _word_hashes(piece: bytes) -> np.ndarray:
+    """XXH64 of each word; bytes are lower-cased and split as ASCII."""
+    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, piece.lower().split())), np.uint64)
 
 
-def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of all texts, each text's words and one END, and the number of tokens of each text."""
-    hashes, counts, held, size, owner = [], np.ones(len(texts), np.int64), [], 0, []
+def sequences(texts: list[bytes], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Token hashes of some neighbouring texts, of about `most` bytes: owners and starts of segments, and the tokens.
+
+    A segment is the token before, BEGIN for a text's first, and then a text's tokens, or those of a piece of it; the last one ends with END.
+    """
+    owner, parts, held = [], [], 0
     for i, text in enumerate(texts):
+        before, at = BEGIN, 0
         for piece in _pieces(text):
-            if held and size + len(piece) > PIECE:
-                h, n = _word_hashes(held)
-                hashes.append(h)
-                np.add.at(counts, owner, n)
-                held, owner, size = [], [], 0
-            held.append(piece)
+            at += len(piece)
+            words = _word_hashes(piece)
+            part = np.concatenate([[before], words, [END]] if at == len(text) else [[before], words])
+            if len(part) == 1:
+                continue
+            before = part[-1]
             owner.append(i)
-            size += len(piece)
-    h, n = _word_hashes(held)
-    hashes.append(h)
-    np.add.at(counts, owner, n)
-    out = np.full(counts.sum(), END, np.uint64)
-    inner = np.ones(len(out), bool)
-    inner[np.cumsum(counts) - 1] = False
-    out[inner] = np.concatenate(hashes)
-    return out, counts
+            parts.append(part)
+            held += len(piece) + 8
+            if held >= most:
+                yield _joined(owner, parts)
+                owner, parts, held = [], [], 0
+    if parts:
+        yield _joined(owner, parts)
+
 
+def _joined(owner: list[int], parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    sizes = np.array([len(p) for p in parts], np.int64)
+    return np.array(owner, np.int64), np.cumsum(sizes) - sizes, np.concatenate(parts)
 
-def histories(token: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The token before each token; BEGIN before the first of each text."""
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[np.cumsum(counts) - counts] = BEGIN
-    return before
+
+def scored_places(starts: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Places of all tokens but the first of each segment."""
+    inner = np.ones(len(tokens), bool)
+    inner[starts] = False
+    return np.flatnonzero(inner)
 
 
 def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -100,14 +100,14 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (((h >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
 
 
-def level_of(count: np.ndarray, least: int) -> np.ndarray:
-    return 1 + np.floor(np.log(count / least) / np.log(BASE) + 1e-9).astype(np.int64)
+def level_of(count: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(count) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
-def count_of(level: np.ndarray, least: int) -> np.ndarray:
+def count_of(level: np.ndarray) -> np.ndarray:
     """The middle of the counts of a level; 0 for level 0."""
-    low = np.ceil(least * BASE ** (level - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(least * BASE**level - 1e-9) - 1)
+    low = np.ceil(BASE ** (level - 1.0) - 1e-9)
+    high = np.maximum(low, np.ceil(BASE**level - 1e-9) - 1)
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
@@ -137,15 +137,17 @@ WORD, PAIR = 0, 1
 
 def _counter(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", PIECE):
-            token, counts = tokens(as_bytes(batch, "text"))
-            rows = []
-            for kind, h in ((WORD, token), (PAIR, pairs(histories(token, counts), token))):
-                value, n = np.unique(h, return_counts=True)
-                edges = np.searchsorted(part_of(value, parts), np.arange(parts + 1))
-                rows += [(p, kind, _planes(value[a:b]), _planes(n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-            columns = zip(*rows, strict=True) if rows else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int8(), pa.binary(), pa.binary()), strict=True)], names=["part", "kind", "hashes", "counts"])
+        for batch in slices(batches, "text", HELD):
+            for _, starts, token in sequences(as_bytes(batch, "text"), HELD):
+                at = scored_places(starts, token)
+                rows = []
+                for kind, h in ((WORD, token[at]), (PAIR, pairs(token[at - 1], token[at]))):
+                    value, n = np.unique(h, return_counts=True)
+                    part = part_of(value, parts)
+                    edges = [*np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist(), len(part)]
+                    rows += [(int(part[a]), kind, _planes(value[a:b]), _planes(n[a:b].astype(np.uint32))) for a, b in pairwise(edges)]
+                kinds = (pa.int32(), pa.int8(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["part", "kind", "hashes", "counts"])
 
     return run
 
@@ -180,47 +182,45 @@ PART_TYPE = "part int, words long, tokens long, hashes binary, counts binary, bi
 def _build(rows: pa.Table) -> pa.Table:
     h, c = _summed(rows, WORD)
     pair, n = _summed(rows, PAIR)
-    pair, n = pair[n >= LEAST_PAIR], n[n >= LEAST_PAIR]
-    bits, data = _segment([(h, level_of(c, 1)), (pair, level_of(n, LEAST_PAIR))])
+    bits, data = _segment([(h, level_of(c)), (pair, level_of(n))])
     row = (rows.column("part")[0].as_py(), len(h), int(c.sum()), h.tobytes(), c.tobytes(), bits, data)
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
     return pa.table({f.split()[0]: pa.array([x], k) for f, x, k in zip(PART_TYPE.split(", "), row, kinds, strict=True)})
 
 
 class Block:
-    """Neighbouring parts: exact word counts and the filter's segments."""
+    """Neighbouring parts: exact word counts and the filter's segments, as bytes, which cost one copy to send."""
 
-    def __init__(self, rows: list, parts: int, first: int, stop: int):
-        self.parts, self.first, self.stop = parts, first, stop
-        have = {r.part: r for r in rows}
+    def __init__(self, rows: list[dict], parts: int, first: int, stop: int):
+        have = {r["part"]: r for r in rows}
         at = [have.get(p) for p in range(first, stop)]
-        self.hashes = np.frombuffer(b"".join(r.hashes for r in at if r), np.uint64)
-        self.counts = np.frombuffer(b"".join(r.counts for r in at if r), np.int64).astype(np.uint32)
-        self.bits = np.array([r.bits if r else 64 for r in at], np.uint64)
-        self.begin = (np.cumsum(self.bits) - self.bits).astype(np.int64)
-        self.flags = np.frombuffer(b"".join(r.filter if r else bytes(8) for r in at), np.uint8)
+        self.parts, self.first, self.stop = parts, first, stop
+        self.bits = np.array([r["bits"] if r else 64 for r in at], np.uint64)
+        self.data = tuple(b"".join(r[c] if r else none for r in at) for c, none in (("hashes", b""), ("counts", b""), ("filter", bytes(8))))
 
-    def owns(self, h: np.ndarray) -> np.ndarray:
-        part = part_of(h, self.parts)
-        return (part >= self.first) & (part < self.stop)
+    def own(self, h: np.ndarray) -> slice:
+        """Of sorted hashes those of the block's parts."""
+        return slice(*np.searchsorted(part_of(h, self.parts), (self.first, self.stop)))
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Training counts of sorted word hashes."""
-        if not len(self.hashes):
+        hashes, counts = np.frombuffer(self.data[0], np.uint64), np.frombuffer(self.data[1], np.int64)
+        if not len(hashes):
             return np.zeros(len(h), np.int64)
-        i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[i] == h, self.counts[i], 0).astype(np.int64)
+        i = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return np.where(hashes[i] == h, counts[i], 0)
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels by repeated probes: the last before the first that is missing."""
+        flags = np.frombuffer(self.data[2], np.uint8)
         out = np.zeros(len(h), np.uint8)
         part = part_of(h, self.parts) - self.first
-        bits, begin, left, q = self.bits[part], self.begin[part], np.arange(len(h)), 1
+        bits, begin, left, q = self.bits[part], (np.cumsum(self.bits) - self.bits).astype(np.int64)[part], np.arange(len(h)), 1
         while len(left):
             start, stride = _seeds(h[left], q)
             for k in range(PROBES):
                 at = begin[left] + _probe(start, stride, k, bits[left])
-                found = np.flatnonzero(self.flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+                found = np.flatnonzero(flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
                 left, start, stride = left[found], start[found], stride[found]
             out[left] = q
             q += 1
@@ -231,69 +231,54 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes, and the place of each hash among them."""
     order = np.argsort(h)
     new = np.append(True, h[order[1:]] != h[order[:-1]])[: len(h)]
-    where = np.empty(len(h), np.int64)
-    where[order] = np.cumsum(new) - 1
+    where = np.empty(len(h), np.int32)
+    where[order] = np.cumsum(new, dtype=np.int32) - 1
     return h[order[new]], where
 
 
-STATE = "base double, known long, word_levels binary, pair_levels binary"
+def _in_turn(shared: list) -> Iterator[Block]:
+    """The broadcast blocks, of which a worker keeps one at a time."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1:
+            vars(b).pop("_value", None)
 
 
-def _reader(shared, first: bool):
-    """Adds to each row what a block knows: the base score's sum, the known tokens, and the levels of words and pairs."""
+def _scorer(shared: list, total: int, words: int, documents: int):
+    """Base score, known tokens, tokens and the model's log10 probability of each text."""
+    counts_of = count_of(np.arange(256))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, total, words, _ = shared.value
-        for batch in slices(batches, "text", PIECE):
-            token, counts = tokens(as_bytes(batch, "text"))
-            value, where = _distinct(token)
-            own = block.owns(value)
-            c, q = np.zeros(len(value), np.int64), np.zeros(len(value), np.uint8)
-            c[own], q[own] = block.exact(value[own]), block.levels(value[own])
-            pair, where_pair = _distinct(pairs(histories(token, counts), token))
-            own_pair = block.owns(pair)
-            p = np.zeros(len(pair), np.uint8)
-            p[own_pair] = block.levels(pair[own_pair])
-            p = p[where_pair]
-            mine = own[where]
-            base = np.where(mine, np.log10((c[where] + 1) / (total + words + 1)), 0.0)
-            known = mine & (c[where] > 0)
-            begin = np.cumsum(counts) - counts
-            sums, n_known = np.add.reduceat(base, begin), np.add.reduceat(known.astype(np.int64), begin)
-            w = q[where]
-            if not first:
-                sums, n_known = sums + batch.column("base").to_numpy(), n_known + batch.column("known").to_numpy()
-                w, p = (x | np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8) for x, n in ((w, "word_levels"), (p, "pair_levels")))
-            cuts = [0, *accumulate(counts.tolist())]
-            level = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(sums), pa.array(n_known), level(w), level(p)], names=["doc_id", "text", "base", "known", "word_levels", "pair_levels"])
-
-    return run
-
-
-def _score(total: int, words: int, documents: int):
-    """The model's log10 probability of each text, from its levels."""
-    of_word, of_pair = (count_of(np.arange(256), least) for least in (1, LEAST_PAIR))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            w, p = batch.column("word_levels").to_pylist(), batch.column("pair_levels").to_pylist()
-            counts = np.array([len(x) for x in w], np.int64)
-            if not len(counts):
-                continue
-            begin = np.cumsum(counts) - counts
-            word, pair = of_word[np.frombuffer(b"".join(w), np.uint8)], of_pair[np.frombuffer(b"".join(p), np.uint8)]
-            before = np.append(0.0, word[:-1])
-            before[begin] = documents
-            prior = (word + 1) / (total + words + 1)
-            score = np.add.reduceat(np.log10((np.minimum(pair, before) + PRIOR * prior) / (before + PRIOR)), begin)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "base", "known")), pa.array(counts), pa.array(score)], names=["doc_id", "base", "known", "n_tokens", "score"])
+        for batch in slices(batches, "text", HELD):
+            n = batch.num_rows
+            base, score, known, n_tokens = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for owner, starts, token in sequences(as_bytes(batch, "text"), HELD):
+                at = scored_places(starts, token)
+                word, where = _distinct(token)
+                pair, where_pair = _distinct(pairs(token[at - 1], token[at]))
+                begin = token[at - 1] == BEGIN
+                del token
+                exact, level, level_pair = np.zeros(len(word), np.int64), np.zeros(len(word), np.uint8), np.zeros(len(pair), np.uint8)
+                for block in _in_turn(shared):
+                    own, own_pair = block.own(word), block.own(pair)
+                    exact[own], level[own], level_pair[own_pair] = block.exact(word[own]), block.levels(word[own]), block.levels(pair[own_pair])
+                here = where[at]
+                prior = PRIOR * (counts_of[level][here] + 1) / (total + words + 1)
+                before = np.where(begin, float(documents), counts_of[level][where[at - 1]])
+                likely = np.log10((np.minimum(counts_of[level_pair][where_pair], before) + prior) / (before + PRIOR))
+                first = starts - np.arange(len(starts))
+                np.add.at(score, owner, np.add.reduceat(likely, first))
+                np.add.at(base, owner, np.add.reduceat(np.log10((exact + 1) / (total + words + 1))[here], first))
+                np.add.at(known, owner, np.add.reduceat((exact > 0)[here].astype(np.int64), first))
+                np.add.at(n_tokens, owner, np.diff(np.append(first, len(at))))
+            columns = [pa.array(x) for x in (base, known, n_tokens, score)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "base", "known", "n_tokens", "score"])
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
-    """The filter's parts, written to the shared folder; tokens, distinct words and documents of the training texts."""
+def train(docs: DataFrame) -> tuple[DataFrame, int, int, int, int]:
+    """The filter's parts, written to the shared folder, and their number; tokens, distinct words and documents of the training texts."""
     spark = docs.sparkSession
     size, documents = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), (size or 0) // (3 * PART_ENTRIES))
@@ -304,15 +289,10 @@ def train(docs: DataFrame) -> tuple[DataFrame, int, int, int]:
 
 
 def blocks(built: DataFrame, parts: int, block_bytes: int) -> list[tuple[int, int]]:
-    """Ranges of parts, each of at most block_bytes where it has several parts. One row for each part comes to the driver, with its size alone."""
-    sizes = dict(built.select("part", F.length("hashes") + F.length("counts") / 2 + F.length("filter")).collect())
-    out, first, held = [], 0, 0
-    for p in range(parts):
-        if held and held + sizes.get(p, 0) > block_bytes:
-            out.append((first, p))
-            first, held = p, 0
-        held += sizes.get(p, 0)
-    return [*out, (first, parts)]
+    """Ranges of parts, each of about block_bytes (one part at least): n-grams are dealt by hash, so parts are of like size."""
+    size = built.agg(F.sum(F.length("hashes") + F.length("counts") + F.length("filter"))).first()[0] or 0
+    each = max(1, int(block_bytes * parts // max(1, size)))
+    return [(a, min(a + each, parts)) for a in range(0, parts, each)]
 
 
 def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -325,13 +305,10 @@ def lm_scores(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     built, parts, total, words, documents = train(rows.where(~held))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    ranges = blocks(built, parts, block_bytes)
-    for i, (a, b) in enumerate(ranges):
-        block = Block(built.where(F.col("part").between(a, b - 1)).collect(), parts, a, b)
-        shared = spark.sparkContext.broadcast((block, total, words, documents))
-        rows = rows.mapInArrow(_reader(shared, i == 0), f"doc_id {id_type}, text string, {STATE}")
-        if i + 1 < len(ranges):
-            rows = materialize(rows, "levels")
-    scored = rows.drop("text").mapInArrow(_score(total, words, documents), f"doc_id {id_type}, base double, known long, n_tokens long, score double")
+    shared = []
+    for a, b in blocks(built, parts, block_bytes):  # a block at a time is at the driver
+        found = built.where(F.col("part").between(a, b - 1)).select("part", "hashes", "counts", "bits", "filter").toArrow().to_pylist()
+        shared.append(spark.sparkContext.broadcast(Block(found, parts, a, b)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scored = rows.mapInArrow(_scorer(shared, total, words, documents), f"doc_id {kind}, base double, known long, n_tokens long, score double")
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", F.col("known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
