@@ -38,14 +38,28 @@ def messy():
     return [*rows, rows[6], rows[6], (None, shared), (None, text(120)), (4, shared[:200])]
 
 
-@pytest.mark.parametrize("wide", [S.WIDE, 3])
+def with_bound(run, wide):
+    """run() with the bound of a wide bucket set in the worker too."""
+
+    def bounded(batches):
+        from tidebook.llm import suffixes
+
+        suffixes.WIDE, old = wide, suffixes.WIDE
+        try:
+            yield from run(batches)
+        finally:
+            suffixes.WIDE = old
+
+    return bounded
+
+
+@pytest.mark.parametrize("wide", [S.WIDE, 3, 1])
 def test_messy_rows_as_brute_force(spark, wide, monkeypatch):
     rows = messy()
     random.Random(1).shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    if wide != S.WIDE:
-        whole = S.repeated_spans
-        monkeypatch.setattr(S, "repeated_spans", lambda d: whole(d, wide))
+    monkeypatch.setattr(S, "WIDE", wide)
+    monkeypatch.setattr(S, "_sorted_buckets", with_bound(S._sorted_buckets, wide))
     assert cases.rows_of(S.removals(docs)) == brute(rows)
 
 
@@ -98,3 +112,43 @@ def test_difference_cover():
 def test_empty_table(spark):
     assert S.removals(cases.empty(spark)).count() == 0
     assert S.remove_repeats(cases.empty(spark)).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    passage = " ".join(f"passage{i}" for i in range(30))
+    names = ["doc_id", "text", "key", "_key", "_crc", "start", "stop", "_of", "pos"]
+    docs = spark.createDataFrame([(1, passage, 1, "a", 2, 3, 4, 5, 6), (2, f"b {passage} a", 7, "b", 8, 9, 10, 11, 12)], ", ".join(f"{n} {'string' if n in ('text', '_key') else 'long'}" for n in names))
+    out = S.remove_repeats(docs)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == [(1, passage, 1, "a", 2, 3, 4, 5, 6), (2, "b  a", 7, "b", 8, 9, 10, 11, 12)]
+
+
+def test_strings_of_equal_polynomial_hash_are_told_apart(spark):
+    """Thue-Morse strings, which any polynomial modulo a power of two takes for equal."""
+    a, b = ("".join(x if bin(i).count("1") % 2 else y for i in range(2048)) for x, y in ("ab", "ba"))
+    rows = [(1, f"1{a}2"), (2, f"3{b}4"), (3, f"5{a[:1500]}6")]
+    assert cases.rows_of(S.removals(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_a_text_of_several_pieces_through_spark(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(2 * S.PIECE + 10_000))
+    rows = [(1, text), (2, text[S.PIECE - 500 : S.PIECE + 500] + "tail"), (3, "x" + text[-400:])]
+    found = {r.doc_id: r for r in S.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(found[i].n_bytes, found[i].n_removed, found[i].n_spans) for i in (1, 2, 3)] == [(len(text), 0, 0), (1004, 1000, 1), (401, 400, 1)]
+
+
+@pytest.mark.parametrize("size", [100, 101, 333, 4000])
+def test_windows_of_a_text(size):
+    """Few letters and long repeats, in suffix buckets of any size."""
+    rng = np.random.default_rng(size)
+    text = rng.integers(97, 99, size).astype(np.uint8)
+    text[size // 2 :] = text[: size - size // 2]
+    at = rng.permutation(size - S.WINDOW + 1)
+    seen, wanted = set(), []
+    for k in at:
+        wanted.append((w := text[k : k + S.WINDOW].tobytes()) in seen)
+        seen.add(w)
+    old = S.BUCKET
+    for S.BUCKET in (1, 50, old):
+        assert S.repeated_windows(text, at).tolist() == wanted

@@ -4,15 +4,18 @@ A suffix matters by its first 100 bytes alone, its window. The suffixes are sort
 over the cluster:
 
 1. A window's bucket is the least hash among its 32-byte substrings, so equal windows share a bucket wherever they
-   stand. Neighbouring windows mostly share a bucket too: such a run, a context, is one row of about 40 bytes.
-2. In a bucket, of contexts with the same bytes the earliest stays and the windows of the others are repeats. A bucket left with one
-   context of text that isn't periodic has nothing to compare: most of a corpus ends here.
-3. The suffixes of the remaining contexts are sorted by their first bytes, one bucket after another. Suffixes that tie on those
-   are told apart by the precomputed ranks of a difference-cover sample (Burkhardt and Kärkkäinen, 2003; Kärkkäinen, 2007): for any
-   two suffixes there is a step below the cover's period that takes both to sampled places. So memory is bounded
-   by a bucket, and a tie costs one look at two ranks and at most one period of bytes.
-
-Only windows equal byte by byte (step 3) or contexts equal in two 64-bit hashes (step 2) count as repeats.
+   stand. Neighbouring windows mostly share a bucket too: such a run, a context, is one row of some 30 bytes. A slice of text
+   sorts the buckets that it has several contexts of by itself, and hands on only windows that it doesn't repeat.
+2. A bucket left with one context has nothing to compare: most of a corpus ends here.
+3. The suffixes of the other contexts are sorted, some buckets in a task. A bucket too wide for one task is
+   split by its suffixes' bytes: its windows go through one range sort over the cluster.
+
+A sort goes by the leading 32 bytes, whose ranks come from doubling. Suffixes that tie on those are told apart by the precomputed ranks of
+a difference-cover sample (Burkhardt and Kärkkäinen, 2003; Kärkkäinen, 2007): for any two suffixes there is a step below the
+cover's period that takes both to sampled places, and the ranks there stand for the next 69 bytes. Suffix buckets, by leading bytes, are sorted one at a time, so memory is bounded
+by a bucket, and a tie costs one look at two ranks.
+
+Hashes choose buckets and nothing else: only windows equal byte by byte count as repeats.
 """
 
 from __future__ import annotations
@@ -20,25 +23,24 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import as_bytes, materialize, replacing, slices
-from tidebook.llm.rolling import Roller
+from tidebook.llm.common import as_bytes, materialize, slices
+from tidebook.llm.rolling import Roller, mixed
 
 WINDOW, PART = 100, 32
 #: Bytes of text hashed at once; a longer text goes in overlapping pieces.
 PIECE = 2 << 20
-#: Contexts of one bucket that are sorted in one task; windows of a wider bucket are grouped by their digests instead.
-WIDE = 2_000
-#: Contexts for each task of the sort.
-SORTED = 20_000
+#: Contexts of one bucket that are sorted in one task; a wider bucket is split by a range sort of its windows.
+WIDE = 10_000
+#: Contexts for each task of the sort; windows of a suffix bucket.
+SORTED, BUCKET = 10_000, 1 << 18
 #: Bytes of spans that are broadcast; more are joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
@@ -93,13 +95,12 @@ def _periodic(parts: np.ndarray, start: np.ndarray, ends: np.ndarray) -> np.ndar
     return (ends - start > span) | (np.searchsorted(hits, start - span) < np.searchsorted(hits, ends + span, side="right"))
 
 
-def _contexts(texts: list[bytes], firsts: list[int]) -> tuple[np.ndarray, ...]:
-    """For the pieces of some documents, first being a piece's place in its document: the piece, place, number of windows, bucket and hash of each context, and whether it may repeat windows of its own."""
+def _contexts(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """For the pieces of some documents, joined: the piece, place, number of windows and bucket of each context, and whether it may repeat windows of its own."""
     buffer = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    roll = Roller(buffer)
-    parts = roll.every(PART)
+    parts = Roller(buffer).every(PART)
     bucket = _least(parts, WINDOW - PART + 1)
     piece = np.repeat(np.arange(len(texts)), sizes)[: len(bucket)]
     fits = np.arange(len(bucket)) + WINDOW <= (begin + sizes)[piece]
@@ -108,7 +109,7 @@ def _contexts(texts: list[bytes], firsts: list[int]) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(new & fits)
     # a run ends before the next start, or where windows no longer fit
     ends = np.flatnonzero(fits & np.append(new[1:] | ~fits[1:], True)) + 1
-    return piece[start], start - begin[piece[start]] + np.array(firsts, np.int64)[piece[start]], ends - start, bucket[start], roll.of(start, ends + WINDOW - 1), _periodic(parts, start, ends)
+    return piece[start], start, ends - start, bucket[start], _periodic(parts, start, ends)
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
@@ -130,9 +131,10 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int], lis
         yield texts, firsts, rows
 
 
-FIELDS = {"kind": pa.int8(), "bucket": pa.int64(), "context": pa.int64(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32(), "n": pa.int32()}
-#: Of a context: all its windows are repeats; it is the first of its bytes so far; it is, and may repeat windows of its own.
-REPEAT, SINGLE, PERIODIC = 0, 1, 2
+FIELDS = {"kind": pa.int8(), "bucket": pa.int64(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32(), "n": pa.int32()}
+FOUND = "kind byte, bucket long, key long, crc long, pos int, n int"
+#: A run of windows that are repeats; a context to be sorted with its bucket; one of a bucket that is split.
+REPEAT, NARROW, SPLIT = 0, 1, 2
 
 
 def _batch(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
@@ -148,129 +150,167 @@ def _same_as_before(*columns: np.ndarray) -> np.ndarray:
     return same
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(start - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)
+
+
 def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of each slice of the documents, once each; those that the slice itself repeats are told as repeats."""
+    """Contexts of each slice of the documents, and the windows that the slice itself repeats, as runs."""
     for batch in slices(batches, "text", 2 * PIECE):
         keys = batch.column("key").to_numpy().astype(np.int64)
         crcs = np.array([zlib.crc32(t) for t in as_bytes(batch, "text")], np.int64)
         for texts, firsts, rows in _pieces(batch):
-            piece, pos, n, bucket, context, periodic = _contexts(texts, firsts)
-            row = np.array(rows)[piece]
+            piece, start, n, bucket, periodic = _contexts(texts)
+            row, sizes = np.array(rows), np.array([len(t) for t in texts], np.int64)
+            shift = np.array(firsts, np.int64) - np.cumsum(sizes) + sizes  # from the buffer to the document
             key, crc = keys[row], crcs[row]
-            order = np.lexsort((pos, crc, key, context, bucket))
-            order = order[~_same_as_before(*(x[order] for x in (bucket, context, key, crc, pos)))]  # rows alike in doc_id and text are one document
-            b, c = bucket[order], context[order]
-            again = _same_as_before(b, c)
-            yield _batch([*FIELDS], np.where(again, REPEAT, np.where(periodic[order], PERIODIC, SINGLE)).astype(np.int8), b, c, key[order], crc[order], pos[order], n[order])
-
-
-FOUND = ["kind", "bucket", "key", "crc", "pos", "n"]
-FOUND_TYPE = "kind byte, bucket long, key long, crc long, pos int, n int"
-UNSORTED = 1
-
-
-def _repeated_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From contexts sorted by bucket, hash and place: the repeats, and the first of each hash in buckets with several, or that may repeat windows of its own.
-
-    Only the last row's bucket and hash are remembered, so a bucket may be of any size.
+            order = np.lexsort((start + shift[piece], crc[piece], key[piece], bucket))
+            order = order[~_same_as_before(bucket[order], key[piece[order]], crc[piece[order]], (start + shift[piece])[order])]  # rows alike in doc_id and text are one document
+            b = bucket[order]
+            alone = np.append(True, b[1:] != b[:-1]) & np.append(b[1:] != b[:-1], True)
+            some = order[~alone | periodic[order]]
+            buffer = np.frombuffer(b"".join(texts), np.uint8)
+            repeat = np.zeros(len(buffer), bool)
+            if len(some):
+                repeat[_repeats_of(buffer, some, start, n, key[piece], crc[piece], start + shift[piece])] = True
+                own = np.repeat(np.arange(len(texts)), sizes)
+                a, z = _runs(repeat, own)
+                at = own[a]
+                spread = mixed((key[at] * 31 + a).astype(np.uint64))  # for the shuffle alone
+                yield _batch([*FIELDS], np.full(len(a), REPEAT, np.int8), spread, key[at], crc[at], a + shift[at], z - a)
+                # what is left of the contexts
+                places = _ranges(start[order], n[order])
+                a, z = _runs(~repeat[places], np.repeat(np.arange(len(order)), n[order]))
+                which = np.searchsorted(np.cumsum(n[order]), a, "right")
+                first, count, order = places[a], z - a, order[which]
+            else:
+                first, count = start[order], n[order]
+            at = piece[order]
+            yield _batch([*FIELDS], np.full(len(order), NARROW, np.int8), bucket[order], key[at], crc[at], first + shift[at], count)
+
+
+def _repeats_of(buffer: np.ndarray, some: np.ndarray, start: np.ndarray, n: np.ndarray, *place: np.ndarray) -> np.ndarray:
+    """Places in the buffer of the windows of some contexts that repeat an earlier one of them. place: what orders contexts, the first first."""
+    some = some[np.lexsort([p[some] for p in place[::-1]])]
+    at = _ranges(start[some], n[some])
+    needed = np.zeros(len(buffer) + 1, np.int32)
+    np.add.at(needed, start[some], 1)
+    np.add.at(needed, start[some] + n[some] + WINDOW - 1, -1)
+    needed = np.cumsum(needed[:-1]) > 0
+    shorter = np.cumsum(needed) - 1
+    return at[repeated_windows(buffer[needed], shorter[at])]
+
+
+def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From contexts sorted by bucket and place: those of buckets with several, as SPLIT where a bucket has over WIDE; and the repeats as they are.
+
+    At most WIDE rows of the last bucket are held, so a bucket may be of any size.
     """
-    bucket = context = place = None
-    waiting: pa.RecordBatch | None = None  # the one context so far of the last bucket
+    held: pa.RecordBatch | None = None
+    split = None  # the bucket that goes on after it was found to be wide
+    last = None
     for batch in batches:
-        told = batch.filter(pc.equal(batch.column("kind"), REPEAT))
-        if told.num_rows:
-            yield told.select(FOUND)
-        batch = batch.filter(pc.not_equal(batch.column("kind"), REPEAT))
+        told = pc.equal(batch.column("kind"), REPEAT)
+        if (repeats := batch.filter(told)).num_rows:
+            yield repeats
+        batch = batch.filter(pc.invert(told))
+        rows = [batch.column(c).to_numpy() for c in ("bucket", "key", "crc", "pos", "n")]
+        twice = _same_as_before(*rows)
+        if len(twice):
+            twice[0] = last == [r[0] for r in rows]
+            last = [r[-1] for r in rows]
+        batch = batch.filter(pa.array(~twice))
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+            held = None
         if not batch.num_rows:
             continue
-        rows = [batch.column(n).to_numpy() for n in ("bucket", "context", "key", "crc", "pos")]
-        twice = _same_as_before(*rows)
-        twice[0] = place == [r[0] for r in rows]
-        place = [r[-1] for r in rows]
-        if twice.any():  # rows alike in doc_id and text are one document
-            batch = batch.filter(pa.array(~twice))
-            if not batch.num_rows:
-                continue
-        b, c = batch.column("bucket").to_numpy(), batch.column("context").to_numpy()
-        new_b = np.append(b[0] != bucket or bucket is None, b[1:] != b[:-1])
-        new_c = new_b | np.append(c[0] != context, c[1:] != c[:-1])
-        run = np.cumsum(new_b)
-        many = np.bincount(run, new_c, run[-1] + 1).astype(np.int64)
-        if not new_b[0]:
-            if waiting is not None and many[0]:
-                yield waiting
-                waiting = None
-            many[0] += 1 if waiting is not None else 2
-        alone = batch.column("kind").to_numpy() == PERIODIC
-        wanted = ~new_c | (many[run] > 1) | alone
-        out = batch.select(FOUND).set_column(0, "kind", pa.array(np.where(new_c, UNSORTED, REPEAT).astype(np.int8)))
-        if wanted.any():
-            yield out.filter(pa.array(wanted))
-        if run[-1]:
-            last = np.searchsorted(run, run[-1])
-            waiting = out.slice(last, 1) if many[run[-1]] == 1 and not alone[last] else None
-        bucket, context = b[-1], c[-1]
-
-
-def _words(text: np.ndarray) -> np.ndarray:
-    """At each place the next 8 bytes as one big-endian number; the last 7 places are left out."""
+        b = batch.column("bucket").to_numpy()
+        run = np.cumsum(np.append(False, b[1:] != b[:-1]))
+        size = np.bincount(run)
+        wide = size > WIDE
+        if split == b[0]:
+            wide[0] = True
+        begin = len(b) - size[-1]
+        if wide[-1]:
+            split, begin = b[-1], len(b)
+        else:
+            held, split = batch.slice(begin), None
+        wanted = (size[run] > 1) | wide[run]
+        wanted[begin:] = False
+        out = batch.set_column(0, "kind", pa.array(np.where(wide[run], SPLIT, NARROW).astype(np.int8))).filter(pa.array(wanted))
+        if out.num_rows:
+            yield out
+    if held is not None and held.num_rows > 1:
+        yield held
+
+
+def _dense(values: np.ndarray) -> np.ndarray:
+    """Ranks that keep the order of values, equal ones alike."""
+    order = np.argsort(values)
+    ranks = np.empty(len(values), np.int64)
+    ranks[order] = np.cumsum(np.append(False, values[order[1:]] != values[order[:-1]])[: len(values)])
+    return ranks
+
+
+def _ranked(text: np.ndarray) -> np.ndarray:
+    """The rank of each place by its 32 bytes: those of 8 bytes, and twice the ranks of pairs of ranks. The last 31 places are left out."""
     n = len(text) - 7
-    out = np.zeros(n, np.uint64)
+    words = np.zeros(n, np.uint64)
     for k in range(8):
-        out = (out << _U(8)) | text[k : k + n]
-    return out
-
+        words = (words << _U(8)) | text[k : k + n]
+    ranks = _dense(words)
+    for size in (8, 16):
+        ranks = _dense(ranks[:-size] << 32 | ranks[size:])
+    return ranks.astype(np.int32)
 
-def _prefix(words: np.ndarray, at: np.ndarray, start: int, size: int) -> list[np.ndarray]:
-    """Numbers that order places by their bytes [start, start + size)."""
-    out = [words[at + start + 8 * k] for k in range(size // 8)]
-    return out + ([words[at + start + size - size % 8] >> _U(64 - 8 * (size % 8))] if size % 8 else [])
 
+def repeated_windows(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the windows at places of text are equal to the window of an earlier entry of `at`."""
+    leading = _ranked(np.concatenate([text, np.zeros(2 * WINDOW, np.uint8)]))
+    # ranks of the cover's places by 69 bytes; of a place that isn't sampled, none
+    sample = np.flatnonzero(_IN[np.arange(len(text)) % PERIOD])
+    wide = lambda p: leading[p].astype(np.int64)
+    ranks = np.full(len(text) + PERIOD, -1, np.int32)
+    ranks[sample] = _dense(_dense(wide(sample) << 32 | wide(sample + 32)) << 32 | wide(sample + RANKED - 32))
+    repeat = np.zeros(len(at), bool)
+    order = np.argsort(leading[at], kind="stable")
+    first = leading[at[order]]
+    edges = np.append(np.flatnonzero(np.append(True, first[1:] != first[:-1])), len(order)) if len(order) else np.zeros(1, np.int64)
+    begin = 0
+    while begin < len(order):  # suffix buckets, by their leading bytes: each of about BUCKET windows, or of one leading string
+        stop = max(edges[np.searchsorted(edges, begin + BUCKET, "right") - 1], edges[np.searchsorted(edges, begin, "right")])
+        repeat[_repeats_in(at, order[begin:stop], leading, ranks)] = True
+        begin = stop
+    return repeat
 
-def _classes(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """A stable sorted order, and for each sorted row the number of its class of equal keys."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for k in keys:
-        new[1:] |= k[order[1:]] != k[order[:-1]]
-    return order, np.cumsum(new)
 
+def _repeats_in(at: np.ndarray, order: np.ndarray, leading: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Of the entries of a suffix bucket, sorted by leading bytes, those whose window an earlier one has.
 
-def repeated_windows(text: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which of the windows at places of text are equal to the window of an earlier entry of `at`. text: bytes, of which WINDOW + 8 follow any place."""
-    words = _words(text)
-    residue = np.arange(len(words) - RANKED) % PERIOD
-    sample = np.flatnonzero(np.isin(residue, COVER))
-    rank = np.zeros(len(residue), np.int32)
-    order, cls = _classes(_prefix(words, sample, 0, RANKED))
-    rank[sample[order]] = cls
-    head_bytes = 8 * -(-PERIOD // 8)
-    order, cls = _classes(_prefix(words, at, 0, head_bytes))
-    repeat = np.zeros(len(at), bool)
-    # Ties are split into classes of equal windows: each entry is held against the first of its tie; those that differ go on as a tie of their own.
-    tied = np.bincount(cls, minlength=1)[cls] > 1
-    order, cls = order[tied], cls[tied]
-    for _ in range(24):
+    Ties are split into classes of equal windows: each entry is held against the first of its tie, by the cover's ranks; those that differ go on as a tie of their own.
+    """
+    out = []
+    cls = np.cumsum(np.append(False, leading[at[order[1:]]] != leading[at[order[:-1]]]))
+    for _ in range(12):
+        tied = np.bincount(cls)[cls] > 1
+        order, cls = order[tied], cls[tied]
         if not len(order):
-            return repeat
+            return np.concatenate([*out, order])
         new = np.append(True, cls[1:] != cls[:-1])
-        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        rest = ~new
-        i, j, cls = order[rest], first[rest], cls[rest]
+        i, j, cls = order[~new], order[np.flatnonzero(new)[np.cumsum(new) - 1]][~new], cls[~new]
         p, q = at[i], at[j]
         step = STEP[p % PERIOD, q % PERIOD]
-        same = rank[p + step] == rank[q + step]
-        # what the ranks leave open: the bytes from step + RANKED on; the last 8 of each word that reaches past them overlap
-        for k in range(0, PERIOD, 8):
-            where = np.minimum(step + RANKED + k, WINDOW - 8)
-            same &= words[p + where] == words[q + where]
-        repeat[i[same]] = True
+        same = (ranks[p + step] == ranks[q + step]) & (leading[p + WINDOW - 32] == leading[q + WINDOW - 32])
+        out.append(i[same])
         order, cls = i[~same], cls[~same]
-    if len(order):  # many classes in one tie: sort what is left by all its bytes
-        order = np.sort(order)
-        again, cls = _classes(_prefix(words, at[order], 0, WINDOW))
-        repeat[order[again[_same_as_before(cls)]]] = True
-    return repeat
+    # many classes in one tie: what is left is sorted by the ranks of all its bytes
+    order = np.sort(order)
+    keys = [leading[at[order] + k] for k in (WINDOW - 32, 64, 32, 0)]
+    by = np.lexsort(keys)
+    return np.concatenate([*out, order[by[_same_as_before(*(k[by] for k in keys))]]])
 
 
 def _runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,34 +327,21 @@ SPANS_TYPE = "key long, crc long, pos int, n int"
 
 def _sort_buckets(rows: pa.Table) -> pa.Table:
     """Repeats among the windows of some buckets, whole buckets together, as spans of window starts."""
-    out = [_batch(SPANS, *(np.zeros(0, np.int64),) * 4)]
-    columns = [rows.column(c).to_numpy() for c in ("bucket", "key", "crc", "pos", "n")]
-    order = np.lexsort((*columns[3:0:-1], columns[0]))
-    order = order[~_same_as_before(*(c[order] for c in columns[:4]))]  # rows alike in doc_id and text are one document
-    bucket, key, crc, pos, n = (c[order] for c in columns)
+    columns = [rows.column(c).to_numpy() for c in SPANS]
+    order = np.lexsort(columns[2::-1])
+    key, crc, pos, n = (c[order].astype(np.int64) for c in columns)
     data = rows.column("data").to_pylist()
-    edges = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-    # neighbouring buckets are sorted together up to a bound: an equal window is in the same bucket
-    cuts, held = [0], 0
-    for a, b in pairwise(edges.tolist()):
-        if held and held + b - a > WIDE:
-            cuts.append(a)
-            held = 0
-        held += b - a
-    for a, b in pairwise([*cuts, len(bucket)]):
-        parts = [data[k] for k in order[a:b]]
-        sizes = np.array([len(p) for p in parts], np.int64)
-        text = np.frombuffer(b"".join([*parts, bytes(WINDOW + 16)]), np.uint8)
-        owner = np.repeat(np.arange(a, b), n[a:b])
-        offset = np.arange(len(owner)) - np.repeat(np.cumsum(n[a:b]) - n[a:b], n[a:b])
-        at = np.repeat(np.cumsum(sizes) - sizes, n[a:b]) + offset
-        by_place = np.lexsort((pos[owner] + offset, crc[owner], key[owner]))
-        repeat = np.zeros(len(at), bool)
-        repeat[by_place] = repeated_windows(text, at[by_place])
-        start, stop = _runs(repeat, owner)
-        who = owner[start]
-        out.append(_batch(SPANS, key[who], crc[who], pos[who] + offset[start], stop - start))
-    return pa.Table.from_batches(out)
+    parts = [data[k] for k in order]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    at = _ranges(np.cumsum(sizes) - sizes, n)
+    owner = np.repeat(np.arange(len(order)), n)
+    own_pos = _ranges(pos, n)
+    if (_same_as_before(key, crc) & (pos < np.append(0, (pos + n)[:-1]))).any():  # rows alike in doc_id and text are one document: each place once
+        by = np.lexsort((own_pos, crc[owner], key[owner]))
+        by = by[~_same_as_before(key[owner[by]], crc[owner[by]], own_pos[by])]
+        at, owner, own_pos = at[by], owner[by], own_pos[by]
+    start, stop = _runs(repeated_windows(np.frombuffer(b"".join(parts), np.uint8), at), owner)
+    return pa.Table.from_batches([_batch(SPANS, key[owner[start]], crc[owner[start]], own_pos[start], stop - start)])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -328,28 +355,87 @@ def _by_document(spans: DataFrame, *columns: str) -> DataFrame:
     return spans.groupBy("key", "crc").agg(lists.alias("_spans")).select("key", "crc", *(F.col(f"_spans.{c}").alias(c) for c in columns))
 
 
-def _with_text(docs: DataFrame, spans: DataFrame, entries: int, how: str) -> DataFrame:
-    """docs (with key, text) joined with their spans: broadcast if those are small, else by a shuffle."""
-    small = F.broadcast(spans) if 24 * entries <= BROADCAST_BYTES else spans
+def _with_text(docs: DataFrame, spans: DataFrame, size: int, how: str) -> DataFrame:
+    """docs (with key, text) joined with their spans, of about `size` bytes: broadcast if those are few, else by a shuffle."""
+    small = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
     crc = F.crc32(F.col("text").cast("binary"))
     return docs.withColumn("_crc", crc).join(small.withColumnsRenamed({"key": "_key", "crc": "_of"}), (F.col("key") == F.col("_key")) & (F.col("_crc") == F.col("_of")), how)
 
 
+def _asked(texts: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
+    """Documents with the contexts asked for."""
+    return _with_text(texts, _by_document(contexts, "pos", "n", "bucket"), 150 * total, "inner").select("key", "_crc", "text", "pos", "n", "bucket")
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts asked for. A wide bucket's are cut into windows, of which only a digest goes on."""
-    for batch in slices(batches, "text"):
+    """The bytes of each context asked for."""
+    names = {"bucket": pa.int64(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "data": pa.binary()}
+    for batch in slices(batches, "text", PIECE):
+        lists = (batch.column(c).to_pylist() for c in ("key", "_crc", "pos", "n", "bucket"))
+        rows = [(b, key, crc, pos, n, text[pos : pos + n + WINDOW - 1]) for text, key, crc, *asked in zip(as_bytes(batch, "text"), *lists, strict=True) for pos, n, b in zip(*asked, strict=True)]
+        for k in range(0, len(rows), SORTED):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + SORTED], strict=True), names.values(), strict=True)], names=[*names])
+
+
+PLACED = {"window": pa.binary(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32()}
+
+
+def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The single windows of the contexts asked for."""
+    for batch in slices(batches, "text", PIECE):
         rows: list[tuple] = []
-        lists = (batch.column(c).to_pylist() for c in ("key", "_crc", "pos", "n", "bucket", "wide"))
+        lists = (batch.column(c).to_pylist() for c in ("key", "_crc", "pos", "n"))
         for text, key, crc, *asked in zip(as_bytes(batch, "text"), *lists, strict=True):
-            for pos, n, bucket, wide in zip(*asked, strict=True):
-                if not wide:
-                    rows.append((key, crc, pos, n, bucket, text[pos : pos + n + WINDOW - 1], None))
-                    continue
-                for at in range(pos, pos + n):
-                    rows.append((key, crc, at, 1, bucket, None, xxhash.xxh3_128_digest(text[at : at + WINDOW])))
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-        columns = zip(*rows, strict=True) if rows else ((),) * 7
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "crc", "pos", "n", "bucket", "data", "digest"])
+            for pos, n in zip(*asked, strict=True):
+                rows += [(text[at : at + WINDOW], key, crc, at) for at in range(pos, pos + n)]
+                if len(rows) >= SORTED:
+                    yield _placed(rows)
+                    rows = []
+        yield _placed(rows)
+
+
+def _placed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, PLACED.values(), strict=True)], names=[*PLACED])
+
+
+MARKED = "task int, edge binary, key long, crc long, pos int, n int, final boolean"
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From sorted windows: the repeats (without edge), the first row of the task with its window, and the last window alone."""
+    task, last = TaskContext.get().partitionId(), None
+
+    def out(windows: list, rows: pa.RecordBatch, final: bool) -> pa.RecordBatch:
+        columns = [pa.array([task] * len(windows), pa.int32()), pa.array(windows, pa.binary()), *(rows.column(c) for c in ("key", "crc", "pos")), pa.array([1] * len(windows), pa.int32()), pa.array([final] * len(windows), pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MARKED.split(", ")])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is None:
+            yield out([batch.column("window")[0].as_py()], batch.slice(0, 1), False)
+            both = batch
+        else:
+            both = pa.concat_batches([last, batch])
+        equal = [pc.equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False) for c in both.columns]
+        repeats = both.slice(1).filter(pa.array(equal[0] & ~(equal[1] & equal[2] & equal[3])))  # rows alike in doc_id and text are one document
+        if repeats.num_rows:
+            yield out([None] * repeats.num_rows, repeats, False)
+        last = batch.slice(batch.num_rows - 1)
+    if last is not None:
+        yield out([last.column("window")[0].as_py()], last, True)
+
+
+def _split_repeats(windows: DataFrame) -> DataFrame:
+    """Repeats among single windows, by one range sort: copies of a window come one after the other, in order of place, in any number of tasks.
+
+    A task knows all repeats but its first row's, which is held against the last window of the task before: two rows for each task.
+    """
+    marked = materialize(windows.orderBy("window", "key", "crc", "pos").mapInArrow(_mark, MARKED), "sorted-windows")
+    place = F.struct("key", "crc", "pos")
+    before = F.lag(F.struct("edge", place.alias("place"))).over(Window.orderBy("task", "final"))
+    first = marked.where("edge is not null").withColumn("_before", before).where(~F.col("final") & (F.col("edge") == F.col("_before.edge")) & (place != F.col("_before.place")))
+    return marked.where("edge is null").select(*SPANS).union(first.select(*SPANS))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,32 +452,25 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("crc"), *lists], names=["key", "crc", "start", "stop"])
 
 
-def repeated_spans(docs: DataFrame, wide: int = WIDE) -> DataFrame:
+def repeated_spans(docs: DataFrame) -> DataFrame:
     """key, crc, start, stop: for each document with repeats, its maximal spans [start, stop) of bytes to remove, as two arrays."""
     texts = _identified(docs)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    contexts = texts.mapInArrow(_find_contexts, "kind byte, bucket long, context long, key long, crc long, pos int, n int")
-    dealt = contexts.repartition("bucket").sortWithinPartitions("bucket", "context", "key", "crc", "pos")
-    found = materialize(dealt.mapInArrow(_repeated_contexts, FOUND_TYPE), "contexts")
-    asked = found.where(F.col("kind") == UNSORTED)
-    wider = asked.groupBy("bucket").count().where(F.col("count") > wide).select(F.col("bucket").alias("_b"), F.lit(True).alias("_wide"))
-    total = asked.count()
-    requests = _by_document(asked.join(wider, F.col("bucket") == F.col("_b"), "left").select(*SPANS, "bucket", F.coalesce("_wide", F.lit(False)).alias("wide")), "pos", "n", "bucket", "wide")
-    cut = materialize(
-        _with_text(texts, requests, total, "inner").select("key", "_crc", "text", "pos", "n", "bucket", "wide").mapInArrow(_cut, "key long, crc long, pos int, n int, bucket long, data binary, digest binary"), "windows"
-    )
-    tasks = max(4 * partitions, -(-total // SORTED))
-    deal = F.pmod(F.xxhash64("bucket"), F.lit(tasks))
-    narrow = cut.where("data is not null").groupBy(deal).applyInArrow(_sort_buckets, SPANS_TYPE)
-    spans = found.where(F.col("kind") == REPEAT).select(*SPANS).union(narrow).union(_repeats_by_digest(cut.where("digest is not null")))
-    return _by_document(spans, "pos", "n").mapInArrow(_merge, "key long, crc long, start array<int>, stop array<int>")
-
-
-def _repeats_by_digest(windows: DataFrame) -> DataFrame:
-    """Single windows of wide buckets: all but the first of each 128-bit digest. The first is found with a map-side combine."""
-    place = F.struct("key", "crc", "pos")
-    first = windows.groupBy("digest").agg(F.min(place).alias("first")).withColumnRenamed("digest", "_digest")
-    return windows.join(first, F.col("digest") == F.col("_digest")).where(place != F.col("first")).select(*SPANS)
+    dealt = texts.mapInArrow(_find_contexts, FOUND).repartition("bucket").sortWithinPartitions("bucket", "key", "crc", "pos")
+    found = materialize(dealt.mapInArrow(_sorted_buckets, FOUND), "contexts")
+    counts = dict(found.groupBy("kind").count().collect())
+    spans = [found.where(F.col("kind") == REPEAT).select(*SPANS)]
+    if total := counts.get(NARROW, 0):
+        cut = _asked(texts, found.where(F.col("kind") == NARROW), total).mapInArrow(_cut, "bucket long, key long, crc long, pos int, n int, data binary")
+        tasks = max(4 * partitions, -(-total // SORTED))
+        spans.append(cut.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(tasks))).applyInArrow(_sort_buckets, SPANS_TYPE))
+    if total := counts.get(SPLIT, 0):
+        windows = _asked(texts, found.where(F.col("kind") == SPLIT), total).mapInArrow(_cut_windows, "window binary, key long, crc long, pos int")
+        spans.append(_split_repeats(materialize(windows, "windows")))
+    every = spans[0]
+    for x in spans[1:]:
+        every = every.union(x)
+    return _by_document(every, "pos", "n").mapInArrow(_merge, "key long, crc long, start array<int>, stop array<int>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -411,8 +490,8 @@ def kept_bytes(text: bytes, starts: list[int], stops: list[int]) -> bytes:
 
 def _joined(docs: DataFrame, spans: DataFrame) -> DataFrame:
     spans = materialize(spans, "spans")
-    entries = spans.agg(F.sum(2 + F.size("start"))).first()[0] or 0
-    return _with_text(docs, spans, entries, "left")
+    size = spans.agg(F.sum(120 + 8 * F.size("start"))).first()[0] or 0
+    return _with_text(docs, spans, size, "left")
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -426,15 +505,19 @@ def removals(docs: DataFrame) -> DataFrame:
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut out of the text; a text stays null if it is null. A character that loses some
-    of its bytes to a span becomes U+FFFD. Columns stay as they are, and so do rows."""
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        rows = zip(as_bytes(batch, "text"), batch.column("start").to_pylist(), batch.column("stop").to_pylist(), strict=True)
+        texts = [kept_bytes(t, a, b).decode(errors="replace") if a else None for t, a, b in rows]
+        whole = pc.coalesce(pa.array(texts, pa.string()), batch.column("text").cast(pa.string()))
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", whole).drop_columns(["start", "stop"])
 
-    @F.udf("string")
-    def cut(text: str | None, starts: list[int] | None, stops: list[int] | None) -> str | None:
-        return kept_bytes(text.encode(), starts, stops).decode(errors="replace") if text and starts else text
 
-    names = [c for c in docs.columns if c not in ("key", "start", "stop")]
-    rows = replacing(docs, "key", "start", "stop").withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    whole: Column = F.when(F.col("start").isNotNull(), cut("text", "start", "stop")).otherwise(F.col("text"))
-    return _joined(rows, repeated_spans(docs)).select(*((whole.alias(c) if c == "text" else F.col(f"`{c}`")) for c in names))
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the repeated bytes cut out of the text; a text stays null if it is null. A character that loses some
+    of its bytes to a span becomes U+FFFD. All other columns stay as they are, whatever their names, and so do rows. An empty table stays empty."""
+    names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    plain = docs.toDF(*names).withColumn("text", F.col("text").cast("string"))
+    key = F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(NO_ID))
+    joined = _joined(plain.withColumn("key", key), repeated_spans(docs)).select(*names, "start", "stop")
+    return joined.mapInArrow(_shortened, plain.schema).toDF(*docs.columns)
