@@ -62,8 +62,11 @@ def size(w):
 
 def test_matching_of_trees():
     a, b = (wrapper_of([parse(x)]) for x in ("<div><p>1</p><h2>t</h2><ul><li>x</ul></div>", "<div><h2>t</h2><ul><li>y<li>z</ul><pre>k</pre></div>"))
-    assert match(a, a)[0] == size(a)
-    assert match(a, b)[0] == 5  # root, div, h2, ul, li
+    nodes = lambda pairs: 1 + sum(nodes(below) for _, _, below in pairs)
+    texts = 3  # p, h2, li
+    assert match(a, a)[0] == size(a) + texts and nodes(match(a, a)[1]) == size(a)
+    assert nodes(match(a, b)[1]) == 5  # root, div, h2, ul, li
+    assert match(a, b)[0] == 5 + 1  # one equal text
     both = merge(a, b)
     assert size(both) == 7
     assert [c.label for c in both.children[0].children] == ["p", "h2", "ul", "pre"]

@@ -1,12 +1,15 @@
 """HTML extraction by wrapper induction: what the pages of a host share is its template, what varies in it is content.
 
-A page becomes a tree of its block elements; siblings of one kind (tag, class and id) are one node, so a list of any length is one slot. Trees
-of same-host pages are aligned by simple tree matching (Yang, 1991) and merged into the host's wrapper: each node knows how many pages have it,
-which texts all of them share there, and how much of its text is in links. Merging wrappers is merging pages, so every task folds
-the pages it has, and the partial wrappers of a host are merged in two more steps; no task needs a host's pages together.
-
-A page is then aligned with its host's wrapper. Its blocks are told apart by role (menus, footers, adverts, forms, comments and so on have no content), by the
-main region that the wrapper has, by the texts that are constant in their slot, and by the slot's share of links.
+A page becomes a tree of its block elements. Text blocks of one kind below an element are one node, so a list of any length is one slot; containers of one
+kind (tag and class) stay apart up to the eighth. Trees of same-host pages are aligned by simple tree matching (Yang, 1991) and merged into the
+host's wrapper: each node knows how many pages have it, in how many of them a text is in it, and how much of its text is in links. Rare nodes and texts are forgotten within
+a stated error, so a wrapper is bounded by the template. Merging wrappers is merging pages, so every task folds the pages it has, and the partial
+wrappers of a host are merged in rounds of FAN; no task needs a host's pages together.
+
+The wrapper then tells the region of a host's content: from the root it leads down to the container that has most of the text that varies from page to
+page, and takes in what else has much of it. A page is aligned with its host's wrapper; its blocks in that region are its text, without those constant in their slot.
+Names of classes and ids only help where the wrapper can't tell: adverts and reader comments vary like content. Pages of a host too small for a
+wrapper are told by main elements and links alone.
 """
 
 from __future__ import annotations
@@ -23,18 +26,26 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import materialize, sized, slices
+from tidebook.llm.common import materialize, slices
 
-#: Pages with a slot from which a text that most of them share in it is template; from which it is so inside the main region.
-MIN_PAGES, MIN_MAIN_PAGES = 3, 8
-#: Share of a slot's pages from which a text is template, and the share that its count may be too small by, as rare texts are forgotten.
+#: Pages of a host from which its wrapper tells the content; pages with a slot from which a text that most of them share in it is template.
+MIN_PAGES, MIN_TEXT_PAGES = 3, 8
+#: Share of a slot's pages from which a text is template, and the share that a count may be too small by, as rare texts and nodes are forgotten.
 MOST_PAGES, FORGOTTEN = 0.9, 0.1
-#: A slot outside a main region with a greater share of text in links is navigation.
+#: A slot with a greater share of text in links is navigation.
 MOST_LINKED = 0.5
+#: Share of the varying text from which a container is the region's next step; from which what stands beside the way is content too.
+TRUNK, BESIDE = 0.7, 0.2
+#: Pages of which less text than this share varies are copies of each other, and what they share isn't template.
+COPIES = 0.2
 #: Levels of nesting that are told apart; the text runs of deeper elements are children of the one at that level, each under its own element's label.
 DEPTH = 60
-#: Hosts whose wrappers a task holds before it hands them on.
-HELD_HOSTS = 2_000
+#: Containers of one kind below an element that are told apart: this and all later ones are one node.
+ALIKE = 8
+#: Hosts whose wrappers a task holds before it hands them on; partial wrappers that are merged at once.
+HELD_HOSTS, FAN = 2_000, 64
+#: Bytes of wrappers that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
@@ -51,17 +62,23 @@ SILENT_NAMES = frozenset(
     "nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion related recommended reply replies respond search share sharing sidebar sidebars signup skip social "
     "sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Words that a name may have beside those, without which it would still name the same.
+PLAIN_WORDS = frozenset("area bar block box button buttons content container footer form global group head header inner item items left link links list main module outer page panel post posts right row section site thread top bottom text title wrap wrapper".split())
+CONTAINERS = frozenset("html body div section article main center table tbody tr td ul ol dl header hgroup details".split())
+#: Text blocks that a name alone doesn't silence.
+TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th dt dd tr tbody caption figcaption".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(["article", "main"]), frozenset(["main", "article"])
 _WORD = re.compile(r"[a-z]+")
 TEXT = "#text"
 
 
 class Element:
-    __slots__ = ("tag", "label", "silent", "main", "children")
+    __slots__ = ("tag", "label", "silent", "noise", "main", "has_main", "children", "node")
 
-    def __init__(self, tag: str, label: str, silent: bool, main: bool):
-        self.tag, self.label, self.silent, self.main = tag, label, silent, main
+    def __init__(self, tag: str, label: str, silent: bool, noise: bool, main: bool):
+        self.tag, self.label, self.silent, self.noise, self.main, self.has_main = tag, label, silent, noise, main, False
         self.children: list[Element | Block] = []
+        self.node: Wrapper | None = None
 
 
 class Block(NamedTuple):
@@ -77,34 +94,40 @@ def _words(name: str) -> frozenset[str]:
 
 
 @lru_cache(65_536)
-def _kind(tag: str, cls: str, name: str, role: str, hidden: bool) -> tuple[str, bool, bool]:
-    """Label, silence and main role of an element. Numbers in names are dropped, as they tell items of one kind apart."""
-    words = _words(cls) | _words(name)
-    label = tag + "".join("." + w for w in sorted(_words(cls))) + "".join("#" + w for w in sorted(_words(name)))
-    silent = tag in SILENT_TAGS or role in SILENT_ROLES or hidden or (tag not in ("body", "html", "article", "main") and bool(words & SILENT_NAMES))
-    return label, silent, not silent and (tag in MAIN_TAGS or role in MAIN_ROLES)
+def _noise(name: str) -> bool:
+    """Whether a whole class or id names something that isn't content: "cookie-notice" does, "related-work" and "with-sidebar" don't."""
+    words = _words(name)
+    return bool(words & SILENT_NAMES) and words <= SILENT_NAMES | PLAIN_WORDS
+
+
+@lru_cache(65_536)
+def _kind(tag: str, cls: str, name: str, role: str, hidden: bool) -> tuple[str, bool, bool, bool]:
+    """Label, silence, telling name and main role of an element. Numbers in classes are dropped, as they tell items of one kind apart; ids tell pages apart."""
+    silent = tag in SILENT_TAGS or role in SILENT_ROLES or hidden
+    main = not silent and (tag in MAIN_TAGS or role in MAIN_ROLES)
+    return tag + "".join("." + w for w in sorted(_words(cls))), silent, not main and any(map(_noise, (*cls.split(), name))), main
 
 
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Element("", "", False, False)
+        self.root = Element("", "", False, False, False)
         #: Open elements, inline ones by their name alone.
         self.open: list[Element | str] = [self.root]
         self.blocks, self.links = [self.root], 0
-        #: For each of blocks: whether it is in a main region, and whether it is in a silent element.
-        self.inside: list[tuple[bool, bool]] = [(False, False)]
+        #: For each of blocks: whether it is in a silent element.
+        self.inside: list[bool] = [False]
         self.run: list[str] = []
         self.linked = 0
 
     def flush(self) -> None:
         if self.run:
             text = " ".join("".join(self.run).split())
-            last, (main, silent) = self.blocks[-1], self.inside[-1]
+            last, silent = self.blocks[-1], self.inside[-1]
             if text and len(self.blocks) <= DEPTH + 1:
                 last.children.append(Block(text, min(self.linked, len(text))))
             elif text and not silent:
-                run = Element(last.tag, last.label, False, main)
+                run = Element(last.tag, last.label, False, False, any(e.main for e in self.blocks))
                 run.children.append(Block(text, min(self.linked, len(text))))
                 self.blocks[DEPTH].children.append(run)
             self.run, self.linked = [], 0
@@ -139,16 +162,17 @@ class _Builder(HTMLParser):
             return
         self.flush()
         got = {k: v or "" for k, v in attrs}
-        label, silent, main = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden") == "true")
-        in_main, in_silent = self.inside[-1]
-        if tag == "header" and not in_main:
-            silent, main = True, False
-        new = Element(tag, label, silent, main)
+        label, silent, noise, main = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden") == "true")
+        new = Element(tag, label, silent, noise, main)
+        if main:
+            for e in self.blocks:
+                e.has_main = True
         if len(self.blocks) <= DEPTH:
             self.blocks[-1].children.append(new)
         self.open.append(new)
         self.blocks.append(new)
-        self.inside.append((in_main or main, in_silent or silent))
+        outer = tag == "header" and not any(e.main for e in self.blocks)
+        self.inside.append(self.inside[-1] or silent or outer or noise and tag not in TEXT_BLOCKS)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -180,39 +204,67 @@ def parse(html: str) -> Element:
 
 
 class Wrapper:
-    """A node: its label, the pages that have it, in how many of them a text (by its hash) is in it, characters, characters in links, children of distinct labels, in order,
-    and by how much a count is too small at most."""
+    """A node: its label, the pages that have it, in how many of them a text (by its hash) is in it, characters, characters in links, children in order,
+    by how much a count of it is too small at most, and how many pages give it a telling name.
 
-    __slots__ = ("label", "pages", "shared", "chars", "linked", "children", "error")
+    told: whether with_region() has set what follows; inside: whether the region has all of it (True), leads through it (None) or doesn't touch it (False);
+    mate: the node of a host's wrapper that a page's node is aligned with.
+    """
+
+    __slots__ = ("label", "pages", "shared", "chars", "linked", "children", "error", "noise", "told", "inside", "mate")
 
-    def __init__(self, label: str, pages: int, shared: dict[int, int], chars: int, linked: int, children: list[Wrapper], error: int = 0):
-        self.label, self.pages, self.shared, self.chars, self.linked, self.children, self.error = label, pages, shared, chars, linked, children, error
+    def __init__(self, label: str, pages: int, shared: dict[int, int], chars: int, linked: int, children: list[Wrapper], error: int = 0, noise: int = 0):
+        self.label, self.pages, self.shared, self.chars, self.linked, self.children, self.error, self.noise = label, pages, shared, chars, linked, children, error, noise
+        self.told = False
+        self.inside: bool | None = False
+        self.mate: Wrapper | None = None
 
     def dump(self) -> list:
-        return [self.label, self.pages, sorted(self.shared.items()), self.chars, self.linked, [c.dump() for c in self.children], self.error]
+        return [self.label, self.pages, sorted(self.shared.items()), self.chars, self.linked, [c.dump() for c in self.children], self.error, self.noise]
 
     @classmethod
     def load(cls, x: list) -> Wrapper:
-        return cls(x[0], x[1], dict(map(tuple, x[2])), x[3], x[4], [cls.load(c) for c in x[5]], x[6])
+        return cls(x[0], x[1], dict(map(tuple, x[2])), x[3], x[4], [cls.load(c) for c in x[5]], x[6], x[7])
 
     def constant(self, text: int) -> bool:
         """Whether a text is in MOST_PAGES of the pages; never false where it is, and true from MOST_PAGES - FORGOTTEN on at the earliest."""
         n = self.shared.get(text, 0)
         return n > 0 and n + self.error >= MOST_PAGES * self.pages
 
+    def own(self) -> tuple[int, int]:
+        """Characters of its own text, and of that text that isn't constant; none of a slot of links."""
+        if self.linked > MOST_LINKED * self.chars:
+            return 0, 0
+        return self.chars, self.chars - sum(n * length_of(h) for h, n in self.shared.items() if self.constant(h))
+
+    def text(self) -> tuple[int, int]:
+        """The same, here and below."""
+        return tuple(map(sum, zip(self.own(), *(c.text() for c in self.children), strict=True)))
+
 
 def text_hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 1
+    """A hash in the upper and the length, up to 65,535, in the lower bits."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) >> 17 << 16 | min(len(text), 0xFFFF)
+
+
+def length_of(text: int) -> int:
+    return text & 0xFFFF
 
 
 def wrapper_of(elements: list[Element]) -> Wrapper:
     """The wrapper of one page, from the root down; elements: the siblings that are one node. Silent elements are nodes without text or children."""
-    node = Wrapper(elements[0].label, 1, {}, 0, 0, [])
-    groups: dict[str, list[Element]] = {}
+    first = elements[0]
+    node = Wrapper(first.label, 1, {}, 0, 0, [], 0, int(first.noise))
+    groups: dict[tuple[str, int], list[Element]] = {}
+    seen: dict[str, int] = {}
     for e in elements:
+        e.node = node
         for child in () if e.silent else e.children:
             if isinstance(child, Element):
-                groups.setdefault(child.label, []).append(child)
+                k = 0
+                if child.tag in CONTAINERS:
+                    k = seen[child.label] = min(seen.get(child.label, -1) + 1, ALIKE - 1)
+                groups.setdefault((child.label, k), []).append(child)
             else:
                 node.shared[text_hash(child.text)] = 1
                 node.chars += len(child.text)
@@ -221,18 +273,24 @@ def wrapper_of(elements: list[Element]) -> Wrapper:
     return node
 
 
-def match(a: Wrapper, b: Wrapper) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the size of the largest matching of two trees of the same label that keeps order and ancestry, and the matched children."""
+Pairs = list[tuple[int, int, "Pairs"]]
+
+
+def match(a: Wrapper, b: Wrapper) -> tuple[int, Pairs]:
+    """Simple tree matching: the nodes and equal texts of the largest matching of two trees of the same label that keeps order and ancestry; the matched children, and theirs."""
     m, n = len(a.children), len(b.children)
     table = [[0] * (n + 1) for _ in range(m + 1)]
-    below: dict[tuple[int, int], int] = {}
+    below: dict[tuple[int, int], tuple[int, Pairs]] = {}
     for i, x in enumerate(a.children):
+        row, new = table[i], table[i + 1]
         for j, y in enumerate(b.children):
-            w = 0
+            best = row[j + 1] if row[j + 1] > new[j] else new[j]
             if x.label == y.label:
-                w = below[i, j] = match(x, y)[0]
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + w if w else 0)
-    pairs, i, j = [], m, n
+                w = below[i, j] = match(x, y) if x.children and y.children else (1 + len(x.shared.keys() & y.shared.keys()), [])
+                best = max(best, row[j] + w[0])
+            new[j + 1] = best
+    pairs: Pairs = []
+    i, j = m, n
     while i and j:
         if table[i][j] == table[i - 1][j]:
             i -= 1
@@ -240,71 +298,117 @@ def match(a: Wrapper, b: Wrapper) -> tuple[int, list[tuple[int, int]]]:
             j -= 1
         else:
             i, j = i - 1, j - 1
-            pairs.append((i, j))
-    return table[m][n] + 1, pairs[::-1]
+            pairs.append((i, j, below[i, j][1]))
+    return table[m][n] + 1 + len(a.shared.keys() & b.shared.keys()), pairs[::-1]
 
 
-def _align(a: Wrapper, b: Wrapper) -> list[tuple[Wrapper | None, Wrapper | None]]:
-    """Children in a common order, matched ones together. Labels differ among siblings, so what order keeps apart is put together by its label."""
-    pairs = dict(match(a, b)[1])
-    rest = {y.label: y for j, y in enumerate(b.children) if j not in pairs.values()}
-    out = [(x, b.children[pairs[i]] if i in pairs else rest.pop(x.label, None)) for i, x in enumerate(a.children)]
-    return [*out, *((None, y) for y in rest.values())]
+def _forget(counts: list[int], room: int) -> int:
+    """The largest of the counts that may be forgotten: those up to it."""
+    return max((n for n in counts if n <= room), default=0) if room > 0 else 0
 
 
-def merge(a: Wrapper, b: Wrapper) -> Wrapper:
-    children = [x if y is None else y if x is None else merge(x, y) for x, y in _align(a, b)]
+def merge(a: Wrapper, b: Wrapper, pairs: Pairs | None = None) -> Wrapper:
+    """Of two wrappers of one host the wrapper of all their pages."""
+    children: list[Wrapper] = []
+    i = j = 0
+    for p, q, below in [*(match(a, b)[1] if pairs is None else pairs), (len(a.children), len(b.children), [])]:
+        children += [*a.children[i:p], *b.children[j:q]]
+        if p < len(a.children):
+            children.append(merge(a.children[p], b.children[q], below))
+        i, j = p + 1, q + 1
     more, shared = sorted((a.shared, b.shared), key=len, reverse=True)
     more = dict(more)
     for h, n in shared.items():
         more[h] = more.get(h, 0) + n
     pages, error = a.pages + b.pages, a.error + b.error
-    if (room := int(FORGOTTEN * pages) - error) > 0:  # a text forgotten now may be in `error` pages more than counted
-        lost = max((n for n in more.values() if n <= room), default=0)
-        if lost:
-            more, error = {h: n for h, n in more.items() if n > lost}, error + lost
-    return Wrapper(a.label, pages, more, a.chars + b.chars, a.linked + b.linked, children, error)
-
-
-class _Walk:
-    """The blocks of a page against its host's wrapper."""
-
-    def __init__(self, page: Element, wrapper: Wrapper | None, pages: int):
-        self.pages = pages
-        #: (text, in a main region, constant in its slot, a slot of links)
-        self.found: list[tuple[str, bool, bool, bool]] = []
-        self.visit([page], wrapper, False)
-
-    def slots(self, elements: list[Element], wrapper: Wrapper | None) -> dict[str, Wrapper]:
-        if wrapper is None:
-            return {}
-        own = wrapper_of(elements)
-        return {(x or y).label: y for x, y in _align(own, wrapper) if x is not None and y is not None}
-
-    def visit(self, elements: list[Element], wrapper: Wrapper | None, main: bool) -> None:
-        slots = {id(e): (wrapper, self.slots([e], wrapper)) for e in elements}
-        for e in elements:
-            at, below = slots[id(e)]
-            for child in e.children:
-                if isinstance(child, Element):
-                    if not child.silent:
-                        self.visit([child], below.get(child.label), main or child.main)
-                    continue
-                seen = at.pages if at else 1
-                least = MIN_MAIN_PAGES if main else MIN_PAGES
-                constant = at is not None and seen >= least and 2 * seen >= self.pages and at.constant(text_hash(child.text))
-                linked, chars = (at.linked, at.chars) if at else (child.linked, len(child.text))
-                self.found.append((child.text, main, constant, linked > MOST_LINKED * chars))
+    if lost := _forget([*more.values(), *(c.pages for c in children)], int(FORGOTTEN * pages) - error):  # what is forgotten now may be in `error` pages more than counted
+        more, error = {h: n for h, n in more.items() if n > lost}, error + lost
+        children = [c for c in children if c.pages > lost]
+    return Wrapper(a.label, pages, more, a.chars + b.chars, a.linked + b.linked, children, error, a.noise + b.noise)
+
+
+def with_region(root: Wrapper) -> Wrapper:
+    """The wrapper with its region of content, if it has enough pages and most of their text varies: else most of them are copies."""
+    if root.told:
+        return root
+    root.told = True
+    chars, total = root.text()
+    if root.pages < MIN_PAGES or total <= COPIES * chars:
+        return root
+    node = root
+    while node.label.split(".")[0] not in MAIN_TAGS:
+        node.inside = None
+        parts = [(c.text()[1], c) for c in node.children]
+        trunk = next((c for n, c in parts if n >= TRUNK * total and c.label.split(".")[0] in CONTAINERS), None)
+        mains = [c for n, c in parts if n >= BESIDE * total and c.label.split(".")[0] in MAIN_TAGS]
+        if node.own()[1] >= BESIDE * total or trunk is None and not mains:
+            break
+        for n, c in parts:
+            c.inside = c in mains or trunk is not None and n >= BESIDE * total and 2 * c.noise < c.pages
+        if trunk is None:
+            return root
+        node = trunk
+    node.inside = True
+    return root
+
+
+def _align(page: Wrapper, wrapper: Wrapper, pairs: Pairs) -> None:
+    page.mate = wrapper
+    for i, j, below in pairs:
+        _align(page.children[i], wrapper.children[j], below)
+
+
+class Found(NamedTuple):
+    """A block of a page: whether it is in a main element, in the wrapper's region, a varying first heading, constant in its slot, and in a slot of links."""
+
+    text: str
+    main: bool
+    region: bool
+    title: bool
+    constant: bool
+    linked: bool
+
+
+def _blocks(page: Element, wrapper: Wrapper | None) -> list[Found]:
+    own = wrapper_of([page])
+    if wrapper is not None:
+        _align(own, wrapper, match(own, wrapper)[1])
+    out: list[Found] = []
+
+    def visit(e: Element, main: bool, region: bool) -> None:
+        mate = e.node.mate if e.node else None
+        for child in e.children:
+            if isinstance(child, Element):
+                of = child.node.mate if child.node else None
+                inside = region or bool(of and of.inside)
+                leads = child.has_main or bool(of and of.inside is not False)  # never silenced by a name
+                quiet = child.silent or child.tag == "header" and not (main or inside or child.main or child.has_main) or child.noise and not leads
+                if region or main:
+                    quiet = child.silent or child.noise and child.tag not in TEXT_BLOCKS and not child.has_main
+                if not quiet:
+                    visit(child, main or child.main, inside)
+                continue
+            enough = mate is not None and mate.pages >= MIN_TEXT_PAGES and 2 * (mate.pages + wrapper.error) >= wrapper.pages
+            outside = mate is not None and not main and not region and mate.pages >= MIN_PAGES and 2 * mate.pages >= wrapper.pages
+            constant = (enough or outside) and mate.constant(text_hash(child.text))
+            linked, chars = (mate.linked, mate.chars) if mate else (child.linked, len(child.text))
+            out.append(Found(child.text, main, region, e.tag == "h1" and not constant, constant, linked > MOST_LINKED * chars))
+
+    visit(page, False, bool(wrapper and wrapper.inside))
+    return out
 
 
 def content(html: str, wrapper: Wrapper | None) -> list[str]:
-    """The content blocks of a page, in order. If its wrapper would leave nothing (of the main region, where there is one), as on a host of copies, the blocks stay."""
-    found = _Walk(parse(html), wrapper, wrapper.pages if wrapper else 1).found
-    if any(main for _, main, _, _ in found):
-        inside = [(t, c) for t, main, c, _ in found if main]
-        return [t for t, c in inside if not c] or [t for t, _ in inside]
-    plain = [(t, c) for t, _, c, linked in found if not linked]
-    return [t for t, c in plain if not c] or [t for t, _ in plain]
+    """The content blocks of a page, in order; wrapper: its host's. Of a page that is a copy the constant texts stay."""
+    found = _blocks(parse(html), with_region(wrapper) if wrapper else None)
+    if any(f.region for f in found):
+        chosen = [f for f in found if f.region or f.title]
+    elif any(f.main for f in found):
+        chosen = [f for f in found if f.main]
+    else:
+        chosen = [f for f in found if not f.linked]
+    kept = [f.text for f in chosen if not f.constant]
+    return kept if sum(map(len, kept)) > COPIES * sum(len(f.text) for f in chosen) else [f.text for f in chosen]
 
 
 def host_of(url: Column) -> Column:
@@ -332,18 +436,24 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _merge_rows(rows: pa.Table) -> pa.Table:
+    """The wrappers of one host, two and two, so that a count is forgotten only against many pages."""
     parts = [Wrapper.load(json.loads(w)) for w in rows.column("wrapper").to_pylist()]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = merge(whole, p)
-    return pa.Table.from_batches([_dumped({rows.column("host")[0].as_py(): whole})])
+    while len(parts) > 1:
+        parts = [merge(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    one = _dumped({rows.column("host")[0].as_py(): parts[0]})
+    return pa.Table.from_batches([one]).append_column("salt", pa.array([rows.column("salt")[0].as_py()], pa.int32()))
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON), one row for each host; pages: host, html."""
-    partial = pages.mapInArrow(_fold, PARTIAL).withColumn("salt", F.spark_partition_id() % 16)
-    merged = partial.groupBy("host", "salt").applyInArrow(_merge_rows, PARTIAL)
-    return materialize(merged.groupBy("host").applyInArrow(_merge_rows, PARTIAL), "wrappers")
+    part = materialize(pages.mapInArrow(_fold, PARTIAL).withColumn("salt", F.spark_partition_id()), "wrappers")
+    most = part.agg(F.max("salt")).first()[0] or 0
+    while True:
+        most //= FAN
+        part = part.withColumn("salt", F.expr(f"salt div {FAN}").cast("int")).groupBy("host", "salt").applyInArrow(_merge_rows, f"{PARTIAL}, salt int")
+        part = materialize(part, "wrappers")
+        if not most:
+            return part.drop("salt")
 
 
 @lru_cache(256)
@@ -355,11 +465,12 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of pages.
 
     A null html is empty, and an empty page has the text "". A null url belongs to the host "". Rows that repeat count as pages of their own for the wrapper. Pages of
-    a host with fewer than MIN_PAGES pages are told by roles and links alone. Other columns are ignored. An empty table gives no rows.
+    a host with fewer than MIN_PAGES pages are told by main elements and links alone. Other columns are ignored. An empty table gives no rows.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     wrappers = induce(rows.select("host", "html")).withColumnRenamed("host", "_host")
-    joined = rows.join(sized(wrappers, 20_000), F.col("host") == F.col("_host"), "left")
+    size = wrappers.agg(F.sum(64 + F.length("_host") + F.length("wrapper"))).first()[0] or 0
+    joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, F.col("host") == F.col("_host"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
