@@ -31,12 +31,27 @@ def test_a_full_memory_changes_nothing(monkeypatch):
 
 
 def test_hashes_that_collide_change_nothing(monkeypatch):
-    monkeypatch.setattr("tidebook.llm.token_files.Roller.of", lambda self, start, stop: (stop - start).astype(np.uint64) % np.uint64(2))
+    monkeypatch.setattr("tidebook.llm.token_files.piece_hash", lambda head, tail, length: length.astype(np.uint64) % np.uint64(2))
     encoder = Encoder(tokenizer_path())
     for texts in (["one two three"], ["one one", "two"], ["six"], ["ten six"]):
         assert [f.tolist() + [2] for f in encoder.encode(texts)] == [plain(t) for t in texts]
 
 
+def test_words_of_equal_polynomial_hash_are_told_apart():
+    """Thue-Morse strings, with the same 8 bytes at their ends, which any polynomial modulo a power of two takes for equal."""
+    a, b = ("start123" + "".join(x if bin(i).count("1") % 2 else y for i in range(4096)) + "stop1234" for x, y in ("ab", "ba"))
+    encoder = Encoder(tokenizer_path())
+    for texts in ([f"x {a} y {b}"], [b, a], [f" {b}"]):
+        assert [f.tolist() + [2] for f in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
+def test_parts_of_long_texts_change_nothing(monkeypatch):
+    texts = [cases.LONG[:9_000], "a" * 3_000 + " b\n\n c  d" * 50, "", "日本 x " * 300, "x\u3000y " * 200, " \n " * 700 + "end"]
+    monkeypatch.setattr("tidebook.llm.token_files.PART", 500)
+    monkeypatch.setattr("tidebook.llm.token_files.REMEMBERED_BYTES", 100)
+    assert [f.tolist() + [2] for f in Encoder(tokenizer_path()).encode(texts)] == [plain(t) for t in texts]
+
+
 def written(docs, width="<u2"):
     class Out(io.BytesIO):
         def close(self):
@@ -109,3 +124,10 @@ def test_null_ids_and_empty_tables(spark):
     rows = token_digests(docs, tokenizer_path()).orderBy("start").collect()
     assert [r.doc_id for r in rows] == [None, None, 3]
     assert sorted(r.n_tokens for r in rows) == [1, 2, 3]
+
+
+def test_a_text_of_several_parts_through_spark(spark):
+    long = " ".join(f"word{i % 5003}" for i in range(500_000))
+    found = sorted(token_digests(spark.createDataFrame([(2, long), (1, "a b")], "doc_id long, text string"), tokenizer_path()).collect())
+    ids = [np.array(plain(t), "<u4") for t in ("a b", long)]
+    assert [tuple(r) for r in found] == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]

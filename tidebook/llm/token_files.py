@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm.common import materialize, scratch_path, slices
-from tidebook.llm.rolling import Roller
+from tidebook.llm.rolling import mixed
 
 END_ID = 2
 #: IDs in a frame of several documents; IDs after which a file is closed.
@@ -36,23 +36,30 @@ FRAME_IDS, FILE_IDS = 1 << 16, 1 << 25
 LEVEL = 3
 #: Pieces of text that a worker remembers (some 70 bytes each); later ones are encoded each time that a slice of text has them.
 REMEMBERED = 1_500_000
+#: Bytes of a piece that is known by two numbers; bytes of longer pieces that a worker remembers; characters of a text encoded at once.
+SHORT, REMEMBERED_BYTES, PART = 16, 8 << 20, 2 << 20
 
 # Fixed values of the public seekable format, and a skippable frame's number for the documents.
 SEEK_FRAME, SEEK_END, DOCUMENTS_FRAME = 0x184D2A5E, 0x8F92EAB1, 0x184D2A50
 CHECKSUMS = 0x80
 
 
+def piece_hash(head: np.ndarray, tail: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mixed(mixed(head + length.astype(np.uint64)) ^ tail)
+
+
 class Encoder:
     """IDs of whole texts by the tokenizers library.
 
     Byte-level pre-tokenization always cuts before ASCII white space that follows another character, so the pieces between such places have
-    the same IDs in any text. Each distinct piece is encoded once and remembered by its hash; new ones are encoded many at a time, joined into one
-    text, whose IDs are dealt to the pieces by the bytes that each ID stands for. A piece counts as known only if its length, its first and its last 8 bytes
-    are right too: up to 16 bytes that is all of it. Texts with other white space are encoded in one go.
+    the same IDs in any text. Each distinct piece is encoded once and remembered; new ones are encoded many at a time, joined into one
+    text, whose IDs are dealt to the pieces by the bytes that each ID stands for. A piece is known by all its bytes: one of up to 16 by its length, its first and its last 8 bytes,
+    a longer one as a string. A long text is cut between pieces. Texts with other white space are encoded in one go.
     """
 
     SPACE, JOINED = b" \t\n\r\f\v", 1024
     IS_SPACE = np.isin(np.arange(256), list(SPACE))
+    BETWEEN = re.compile(r"[^ \t\n\r\f\v](?=[ \t\n\r\f\v])")
     OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
     known: dict[str, Encoder] = {}
 
@@ -62,9 +69,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.bytes_of = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)])  # a byte-level token has one character for each byte
-        #: Of the remembered pieces, by hash: hash, first and last bytes, length, place and number of IDs.
+        #: Of the remembered pieces of up to 16 bytes, by hash: hash, first and last bytes, length, place and number of IDs.
         self.memory = [np.zeros(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64)]
         self.ids = np.zeros(0, np.uint32)
+        #: IDs of the remembered pieces of over 16 bytes, and the bytes of these.
+        self.long: dict[bytes, np.ndarray] = {}
+        self.n_long = 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -112,18 +122,50 @@ class Encoder:
         start = np.flatnonzero(cut)
         stop = np.append(start[1:], n)
         length = stop - start
-        eight = np.ndarray((n + 1,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
-        short = np.minimum(length, 8).astype(np.uint64)
-        head = eight[start] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * short))
+        place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        short, long = np.flatnonzero(length <= SHORT), np.flatnonzero(length > SHORT)
+        pieces = [data[a:b].tobytes() for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True)]
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(p, len(number)) for p in pieces], np.int64)
+        found = self._short(data, start[short], stop[short])
+        if found is None:
+            return self._whole(texts)
+        place[short], count[short], every = found
+        ids = self._long(list(number))
+        sizes_long = np.array([len(x) for x in ids], np.int64)
+        place[long], count[long] = (len(every) + np.cumsum(sizes_long) - sizes_long)[which], sizes_long[which]
+        every = np.concatenate([every, *ids])
+        stops = np.cumsum(count)
+        flat = every[np.repeat(place - stops + count, count) + np.arange(stops[-1])]
+        pieces_before = np.searchsorted(start, np.cumsum(sizes))  # pieces up to the end of each text
+        return np.split(flat, np.append(0, stops)[pieces_before][:-1])
+
+    def _long(self, pieces: list[bytes]) -> list[np.ndarray]:
+        missing = [p for p in pieces if p not in self.long]
+        ids, n_ids = self._pieces(missing)
+        new = dict(zip(missing, np.split(ids, np.cumsum(n_ids)[:-1]), strict=True)) if missing else {}
+        out = [new[p] if p in new else self.long[p] for p in pieces]
+        if self.n_long <= REMEMBERED_BYTES:
+            self.long |= {p: x.copy() for p, x in new.items()}
+            self.n_long += sum(map(len, new))
+        return out
+
+    def _short(self, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Place and number of the IDs of each piece, and all IDs; None if two pieces have the same hash."""
+        if not len(start):
+            return start, start, self.ids
+        length = stop - start
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
+        head = eight[start] & (np.uint64((1 << 64) - 1) >> (np.uint64(64) - np.uint64(8) * np.minimum(length, 8).astype(np.uint64)))
         tail = np.where(length > 8, eight[np.maximum(stop - 8, 0)], np.uint64(0))
-        hashes = Roller(data[:n]).of(start, stop)
+        hashes = piece_hash(head, tail, length)
         order = np.argsort(hashes)
         new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         one = order[new]  # a piece of each kind
         if any((x != x[one][kind]).any() for x in (head, tail, length)):
-            return self._whole(texts)
+            return None
         mine = [x[one] for x in (hashes, head, tail, length)]
         at = np.minimum(np.searchsorted(self.memory[0], mine[0]), max(0, len(self.memory[0]) - 1))
         hit = np.ones(len(one), bool) if len(self.memory[0]) else np.zeros(len(one), bool)
@@ -141,19 +183,34 @@ class Encoder:
             self.memory = [np.concatenate([a, b[missing]]) for a, b in zip(self.memory, [*mine, place, count], strict=True)]
             by_hash = np.argsort(self.memory[0], kind="stable")
             self.memory = [x[by_hash] for x in self.memory]
-        n_ids, first = count[kind], place[kind]
-        stops = np.cumsum(n_ids)
-        flat = every[np.repeat(first - stops + n_ids, n_ids) + np.arange(stops[-1])]
-        pieces_before = np.searchsorted(start, np.cumsum(sizes))  # pieces up to the end of each text
-        return np.split(flat, np.append(0, stops)[pieces_before][:-1])
+        return place[kind], count[kind], every
+
+    def _cut(self, text: str) -> Iterator[str]:
+        """A text in parts of about PART characters, cut between pieces."""
+        at = 0
+        while len(text) - at > PART and (cut := self.BETWEEN.search(text, at + PART)):
+            yield text[at : cut.end()]
+            at = cut.end()
+        yield text[at:]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if self.OTHER_SPACE.search(t)]
-        for some, encode in ((odd, self._whole), (sorted(set(range(len(texts))) - set(odd)), self._by_pieces)):
-            for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
-                out[i] = ids
-        return out
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts, owners, held = [], [], 0
+        for i, text in enumerate(texts):
+            if self.OTHER_SPACE.search(text):
+                out[i] = self._whole([text])
+                continue
+            for part in self._cut(text):
+                if held and held + len(part) > PART:
+                    for k, ids in zip(owners, self._by_pieces(parts), strict=True):
+                        out[k].append(ids)
+                    parts, owners, held = [], [], 0
+                parts.append(part)
+                owners.append(i)
+                held += len(part)
+        for k, ids in zip(owners, self._by_pieces(parts), strict=True):
+            out[k].append(ids)
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
