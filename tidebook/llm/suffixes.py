@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -325,23 +326,34 @@ SPANS = ["key", "crc", "pos", "n"]
 SPANS_TYPE = "key long, crc long, pos int, n int"
 
 
+def _equal_contexts(order: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the given order without those of equal bytes as an earlier one, and these: contexts are sorted as strings first, so that the windows of equal ones are sorted once."""
+    by = np.array(sorted(order.tolist(), key=data.__getitem__), np.int64)  # stable: of equal ones the first in order stays
+    again = np.zeros(len(data), bool)
+    again[by[1:]] = [data[a] == data[b] for a, b in pairwise(by.tolist())]
+    return order[~again[order]], np.flatnonzero(again)
+
+
 def _sort_buckets(rows: pa.Table) -> pa.Table:
     """Repeats among the windows of some buckets, whole buckets together, as spans of window starts."""
     columns = [rows.column(c).to_numpy() for c in SPANS]
-    order = np.lexsort(columns[2::-1])
-    key, crc, pos, n = (c[order].astype(np.int64) for c in columns)
+    order = np.lexsort(columns[::-1])
+    order = order[~_same_as_before(*(c[order] for c in columns))]  # rows alike in doc_id and text are one document
     data = rows.column("data").to_pylist()
+    order, again = _equal_contexts(order, data)
+    told = _batch(SPANS, *(c[again] for c in columns))
+    key, crc, pos, n = (c[order].astype(np.int64) for c in columns)
     parts = [data[k] for k in order]
     sizes = np.array([len(p) for p in parts], np.int64)
     at = _ranges(np.cumsum(sizes) - sizes, n)
     owner = np.repeat(np.arange(len(order)), n)
     own_pos = _ranges(pos, n)
-    if (_same_as_before(key, crc) & (pos < np.append(0, (pos + n)[:-1]))).any():  # rows alike in doc_id and text are one document: each place once
+    if (_same_as_before(key, crc) & (pos < np.append(0, (pos + n)[:-1]))).any():  # rows alike may have been cut otherwise by other slices: each place once
         by = np.lexsort((own_pos, crc[owner], key[owner]))
         by = by[~_same_as_before(key[owner[by]], crc[owner[by]], own_pos[by])]
         at, owner, own_pos = at[by], owner[by], own_pos[by]
     start, stop = _runs(repeated_windows(np.frombuffer(b"".join(parts), np.uint8), at), owner)
-    return pa.Table.from_batches([_batch(SPANS, key[owner[start]], crc[owner[start]], own_pos[start], stop - start)])
+    return pa.Table.from_batches([told, _batch(SPANS, key[owner[start]], crc[owner[start]], own_pos[start], stop - start)])
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -456,7 +468,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """key, crc, start, stop: for each document with repeats, its maximal spans [start, stop) of bytes to remove, as two arrays."""
     texts = _identified(docs)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_find_contexts, FOUND).repartition("bucket").sortWithinPartitions("bucket", "key", "crc", "pos")
+    dealt = texts.mapInArrow(_find_contexts, FOUND).repartition("bucket").sortWithinPartitions("bucket", "key", "crc", "pos", "n")
     found = materialize(dealt.mapInArrow(_sorted_buckets, FOUND), "contexts")
     counts = dict(found.groupBy("kind").count().collect())
     spans = [found.where(F.col("kind") == REPEAT).select(*SPANS)]
