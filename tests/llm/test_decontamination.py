@@ -73,3 +73,16 @@ def test_empty_tables(spark):
     assert contamination(cases.empty(spark), none).count() == 0
     assert {r.contaminated for r in contamination(cases.documents(spark), none).collect()} == {False}
     assert drop_contaminated(cases.documents(spark), none).count() == cases.documents(spark).count()
+
+
+def test_blocks_in_turn_and_clashing_columns(spark):
+    items = spark.createDataFrame([(i, " ".join(f"item{i}word{k}" for k in range(14))) for i in range(40)], "item_id long, text string")
+    names = ["doc_id", "text", "n_words", "hit_spans", "hit_items", "removed", "_c1"]
+    docs = spark.createDataFrame([(i, f"a {' '.join(f'item{i}word{k}' for k in range(2, 13))} b" if i % 2 else f"clean {i}", 1, 2, 3, 4, 5) for i in range(40)], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    one, many = (sorted(map(repr, scan(docs, items, block_words=w).collect())) for w in (10**6, 60))
+    assert one == many
+    assert drop_contaminated(docs, items).columns == names
+    assert {r.doc_id for r in drop_contaminated(docs, items).collect()} == set(range(0, 40, 2))
+    cut = remove_spans(docs, items)
+    assert cut.columns == [*names, "removed_spans"]
+    assert {r.doc_id: (r.text, r.n_words, r.removed_spans) for r in cut.where("doc_id < 2").collect()} == {0: ("clean 0", 1, 0), 1: ("a  b", 1, 1)}

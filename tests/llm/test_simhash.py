@@ -69,3 +69,20 @@ def test_nulls_and_empty(spark):
     assert sorted(r.component_id or 0 for r in near_duplicates(docs).collect()) == [0, 5, 5, 9]
     assert drop_near_duplicates(docs).count() == 4
     assert fingerprint(b"") == 0
+
+
+def test_a_row_without_id_links_others(spark, monkeypatch):
+    from tidebook.llm import simhash as S
+
+    rows = spark.createDataFrame([(1, 0b0), (None, 0b11), (2, 0b1111), (None, 1 << 40 | 0xF00), (7, -1)], "doc_id long, _fp long")
+    monkeypatch.setattr(S, "with_fingerprints", lambda docs: rows)
+    found = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in near_duplicates(rows).collect()}
+    assert found == {(1, 0): 1, (None, 0b11): 1, (2, 0b1111): 1, (None, 1 << 40 | 0xF00): None, (7, (1 << 64) - 1): 7}
+
+
+def test_clashing_columns_stay(spark):
+    names = ["doc_id", "text", "_gone", "gone", "fp", "_fp", "node", "id"]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6) for i, t in ((3, "a b c d"), (5, "a b c d"), (6, "other words here"))], ", ".join(f"{n} {'string' if n == 'text' else 'long'}" for n in names))
+    out = drop_near_duplicates(docs)
+    assert out.columns == names
+    assert sorted(r.doc_id for r in out.collect()) == [3, 6]

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A side of at most this many rows is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: The same for rows of one id.
+BROADCAST_IDS = 1_000_000
 
 #: ASCII white space, U+0020 and U+0009 to U+000D: what separates words.
 SPACE = " \t\n\x0b\x0c\r"
@@ -53,6 +55,27 @@ def replacing(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in wanted))
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns named by their place, which clash with no column that an operator adds, and the new name of each (the first of several alike)."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(reversed(docs.columns), reversed(names), strict=True))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the doc_ids in gone, a table of one column of distinct longs. Rows without doc_id stay; columns stay as they are."""
+    rows, name = numbered(docs)
+    gone = gone.toDF("gone")
+    return rows.join(sized(gone, BROADCAST_IDS), F.col(name["doc_id"]).cast("long") == F.col("gone"), "left_anti").toDF(*docs.columns)
+
+
+def in_turn(shared: list) -> Iterator:
+    """The values of some broadcasts, of which a worker keeps one at a time."""
+    for b in shared:
+        yield b.value
+        if len(shared) > 1:
+            vars(b).pop("_value", None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Each batch in pieces of about `most` bytes of the column (one row at least), to bound a task's memory."""
     for batch in batches:

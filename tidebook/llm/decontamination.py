@@ -4,8 +4,8 @@ Texts and items are lower-cased (A-Z) and cut into words of letters, digits and
 consecutive words of an item, or a whole shorter item. The words of the benchmark get numbers, and a window's key is its numbers;
 so a key found is the very same words, and a stretch of text with a word that no item has is skipped without a probe.
 
-The set of one block of items is bounded by BLOCK_WORDS; a larger benchmark is dealt into more blocks, each broadcast for
-a scan of its own, and the scans' spans and items are merged in the row that they belong to.
+The set of one block of items is bounded by BLOCK_WORDS; a larger benchmark is dealt into more blocks, each a broadcast of its own. A worker goes
+through the blocks in turn for each slice of text, with one of them in memory, so the texts are read once.
 """
 
 from __future__ import annotations
@@ -16,11 +16,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidebook.llm.common import as_bytes, replacing, slices
+from tidebook.llm.common import as_bytes, in_turn, replacing, slices
 
 WINDOW = 10
 #: Words of the benchmark in one broadcast block: some 200 MB of keys.
@@ -87,30 +88,31 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // (6 * block_words)))  # some six bytes a word
-    found = replacing(docs, "n_words", "hit_spans", "hit_items")
-    plain = found.schema
-    out = T.StructType([*plain.fields, *T._parse_datatype_string(FOUND).fields])
+    shared = []
     for block in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect() if blocks > 1 else items.collect()
-        shared = spark.sparkContext.broadcast(WindowSet([(r.item, bytes(r.text)) for r in rows], window))
-        found = found.mapInArrow(_scanner(shared, [f.name for f in plain.fields], merge=block > 0), out)
-    return found
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
+        shared.append(spark.sparkContext.broadcast(WindowSet([(r.item, bytes(r.text)) for r in rows], window)))
+    plain = replacing(docs, "n_words", "hit_spans", "hit_items")
+    out = T.StructType([*plain.schema.fields, *T._parse_datatype_string(FOUND).fields])
+    return plain.mapInArrow(_scanner(shared, plain.columns), out)
 
 
-def _scanner(shared, plain: list[str], merge: bool):
+def _scanner(shared: list, plain: list[str]):
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            counts, spans, items = [], [], []
-            earlier = zip(batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist(), strict=True) if merge else repeat(([], []))
-            for text, (old_spans, old_items) in zip(as_bytes(batch, "text"), earlier):
-                words = words_of(text)
-                hit, ids = shared.value.hits(words)
-                counts.append(len(words))
-                spans.append([{"start": a, "stop": b} for a, b in _merged([*hit, *((x["start"], x["stop"]) for x in old_spans)])])
-                items.append(sorted(ids.union(old_items)))
-            new = [pa.array(x, k) for x, k in zip((counts, spans, items), kinds, strict=True)]
+            texts = as_bytes(batch, "text")
+            counts, spans, items = [0] * len(texts), [[] for _ in texts], [set() for _ in texts]
+            for windows in in_turn(shared):
+                for i, text in enumerate(texts):
+                    words = words_of(text)
+                    hit, ids = windows.hits(words)
+                    counts[i] = len(words)
+                    spans[i] += hit
+                    items[i] |= ids
+            found = ([{"start": a, "stop": b} for a, b in _merged(x)] for x in spans)
+            new = [pa.array(x, k) for x, k in zip((counts, list(found), list(map(sorted, items))), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in plain), *new], names=[*plain, "n_words", "hit_spans", "hit_items"])
 
     return run
@@ -126,30 +128,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that have a hit word; all columns stay as they are, whatever their names."""
+    """docs without the documents that have a hit word; all columns stay as they are, whatever their names.
+
+    Null and empty texts stay, as they have no words; repeated rows stay or go together; an empty table stays empty.
+    """
     names = [f"_c{i}" if c != "text" else c for i, c in enumerate(docs.columns)]
     clean = scan(docs.toDF(*names), benchmark).where(F.size("hit_spans") == 0)
     return clean.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))
 
 
+def _without_spans(text: bytes, spans: list[dict]) -> str:
+    places = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(_NORMAL))]
+    kept, at = [], 0
+    for x in spans:
+        kept.append(text[at : places[x["start"]][0]])
+        at = places[x["stop"] - 1][1]
+    return b"".join([*kept, text[at:]]).decode()
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        rows = zip(as_bytes(batch, "text"), batch.column("hit_spans").to_pylist(), strict=True)
+        cut = pa.array([_without_spans(t, s) if s else None for t, s in rows], pa.string())
+        whole = pc.coalesce(cut, batch.column("text").cast(pa.string()))
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", whole).drop_columns(["n_words", "hit_items"])
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the hit spans cut out of the text, and removed_spans, their number. Each span goes from the first character of its first
-    word to the last of its last word; what stood between words outside the spans stays as it is. A null text stays null."""
-
-    @F.udf("string")
-    def cut(text, spans):
-        if not text or not spans:
-            return text
-        raw = text.encode()
-        places = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_NORMAL))]
-        kept, at = [], 0
-        for x in spans:
-            kept.append(raw[at : places[x["start"]][0]])
-            at = places[x["stop"] - 1][1]
-        return b"".join([*kept, raw[at:]]).decode()
-
-    found = scan(replacing(docs, "removed_spans"), benchmark)
-    return found.withColumn("text", F.when(F.size("hit_spans") > 0, cut("text", "hit_spans")).otherwise(F.col("text"))).withColumn("removed_spans", F.size("hit_spans").cast("long")).drop("n_words", "hit_spans", "hit_items")
+    word to the last of its last word; what stood between words outside the spans stays as it is. A null text stays null. A column removed_spans is replaced."""
+    plain = replacing(docs, "removed_spans")
+    names = [f"_c{i}" if c != "text" else c for i, c in enumerate(plain.columns)]
+    rows = plain.toDF(*names).withColumn("text", F.col("text").cast("string"))
+    found = scan(rows, benchmark)
+    cut = found.mapInArrow(_shortened, T.StructType([*rows.schema.fields, found.schema["hit_spans"]]))
+    return cut.select(*names, F.size("hit_spans").cast("long").alias("removed_spans")).toDF(*plain.columns, "removed_spans")
 
 
 def oracle_sql(window: int = WINDOW) -> str:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import as_bytes, materialize, slices
+from tidebook.llm.common import as_bytes, in_turn, materialize, slices
 from tidebook.llm.rolling import mixed
 
 #: Base of the log scale; bits probed for each level; bits of the filter for each (n-gram, level).
@@ -236,14 +236,6 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[order[new]], where
 
 
-def _in_turn(shared: list) -> Iterator[Block]:
-    """The broadcast blocks, of which a worker keeps one at a time."""
-    for b in shared:
-        yield b.value
-        if len(shared) > 1:
-            vars(b).pop("_value", None)
-
-
 def _scorer(shared: list, total: int, words: int, documents: int):
     """Base score, known tokens, tokens and the model's log10 probability of each text."""
     counts_of = count_of(np.arange(256))
@@ -259,7 +251,7 @@ def _scorer(shared: list, total: int, words: int, documents: int):
                 begin = token[at - 1] == BEGIN
                 del token
                 exact, level, level_pair = np.zeros(len(word), np.int64), np.zeros(len(word), np.uint8), np.zeros(len(pair), np.uint8)
-                for block in _in_turn(shared):
+                for block in in_turn(shared):
                     own, own_pair = block.own(word), block.own(pair)
                     exact[own], level[own], level_pair[own_pair] = block.exact(word[own]), block.levels(word[own]), block.levels(pair[own_pair])
                 here = where[at]

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import as_bytes, materialize, replacing, sized, slices
+from tidebook.llm.common import as_bytes, materialize, sized, slices, without
 from tidebook.llm.graph import connected_components
 
 SEGMENTS, BITS = 16, 4
@@ -74,7 +74,8 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2) -> DataFrame:
     """
     if not 0 <= most_bits <= 2:
         raise ValueError("the grid finds pairs of up to 2 differing bits")
-    spread = prints.select("id", "fp", F.explode(_cells(F.col("fp"))).alias("c")).select("id", "fp", "c.role", "c.cell")
+    partitions = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(partitions).select("id", "fp", F.explode(_cells(F.col("fp"))).alias("c")).select("id", "fp", "c.role", "c.cell")
     a, b = spread.alias("a"), spread.alias("b")
     role_a, role_b = F.col("a.role"), F.col("b.role")
     meets = (
@@ -91,21 +92,23 @@ def near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links lead to; one row for each row of docs.
 
     A null or empty text has fingerprint zero and links like any other. Where rows repeat a doc_id, each
-    is grouped by its own text; groups that have the same smallest doc_id are one. Rows without doc_id take the group of their fingerprint and name no group: component_id
-    is null if no other row has one. Other columns are ignored. An empty table gives no rows.
+    is grouped by its own text; groups that have the same smallest doc_id are one. Rows without doc_id link others, but name no group: component_id
+    is null if no row of the group has one. Other columns are ignored. An empty table gives no rows.
     """
     prints = materialize(with_fingerprints(docs), "fingerprints")
     classes = materialize(prints.groupBy("_fp").agg(F.min("doc_id").alias("id")).withColumnRenamed("_fp", "fp"), "classes")
-    groups = connected_components(fingerprint_links(classes.where("id is not null"), most_bits))
-    named = classes.join(sized(groups), F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, F.col("_fp") == F.col("fp"), "left").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = connected_components(fingerprint_links(classes.select(F.col("fp").alias("id"), "fp"), most_bits))  # of fingerprints, as a class may have no doc_id
+    linked = materialize(groups.join(classes, F.col("node") == F.col("fp")).select("node", "component", "id"), "linked")
+    least = linked.groupBy(F.col("component").alias("_of")).agg(F.min("id").alias("least"))
+    named = linked.join(sized(materialize(least, "least")), F.col("component") == F.col("_of")).select("node", "least")
+    ids = materialize(classes.join(sized(materialize(named, "named")), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "id").alias("component_id")), "groups")
+    return prints.join(sized(ids), F.col("_fp") == F.col("fp"), "left").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
     """docs with one document of each group: that of the smallest doc_id. Columns stay as they are.
 
-    Rows without doc_id stay. Rows that share a doc_id are one document and stay or go together.
+    Rows without doc_id stay. Rows that share a doc_id are one document and stay or go together. An empty table stays empty.
     """
     groups = near_duplicates(docs, most_bits)
-    gone = materialize(groups.where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return without(docs, materialize(groups.where("component_id != doc_id").select("doc_id").distinct(), "gone"))
