@@ -32,16 +32,17 @@ def transformed(s):
 
 
 def mcd_distances(x):
-    """The same estimate with numpy, for one group; quantiles are values of the sample."""
-    at = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
-    centre = np.array([at(c, 0.5) for c in x.T])
-    spread = np.maximum(1.4826 * np.array([at(c, 0.5) for c in np.abs(x - centre).T]), list(Q.HARMLESS.values()))
+    """The same estimate with numpy, for one group."""
+    rounded = lambda v: np.floor(np.log1p(v) * Q.FINE + 0.3)
+    median = lambda v: np.expm1(np.percentile(rounded(v), 50) / Q.FINE)
+    centre = np.array([median(c) for c in x.T])
+    spread = np.maximum(1.4826 * np.array([median(c) for c in np.abs(x - centre).T]), list(Q.HARMLESS.values()))
     z = (x - centre) / spread
 
-    def estimate(rows, scale=1.0):
+    def estimate(rows):
         m = rows.mean(axis=0)
-        cov = (1 - Q.TARGET) * scale * (rows.T @ rows / len(rows) - np.outer(m, m)) + Q.TARGET * np.eye(Q.P)
-        return m, cov
+        free = (1 - Q.TARGET) * len(rows) / (len(rows) + Q.FEW)
+        return m, free * (rows.T @ rows / len(rows) - np.outer(m, m)) + (1 - free) * np.eye(Q.P)
 
     def distance(est):
         d = z - est[0]
@@ -50,7 +51,7 @@ def mcd_distances(x):
     best = []
     for d in ((z**2).sum(axis=1), (z**2).max(axis=1)):
         for _ in range(Q.STEPS + 1):
-            est = estimate(z[d <= at(d, Q.H)])
+            est = estimate(z[rounded(d) <= np.percentile(rounded(d), 100 * Q.H)])
             d = distance(est)
         best.append((np.linalg.det(est[1]), est))
     est = min(best, key=lambda b: b[0])[1]
@@ -59,30 +60,38 @@ def mcd_distances(x):
 
 
 def test_distances_as_numpy(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id + 1000000 as doc_id", "concat(text, ' tail') as text", "lang", "'src0' as source", "n_chars"))
-    found = {r.doc_id: r for r in Q.judged(docs).collect()}
+    """One estimate for each language and source, from groups of a single row to one of over 200, and a distance for every row that passes the base rules."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    more = docs.crossJoin(spark.range(1, 4).withColumnRenamed("id", "k"))  # a small fixture: each text with one to three words more
+    hot = more.selectExpr("doc_id + 1000 * k as doc_id", "concat(text, repeat(' tail', k)) as text", "'en' as lang", "'src0' as source", "n_chars")
+    lone = docs.where("doc_id in (5, 8, 11)").selectExpr("doc_id + 2000000 as doc_id", "text", "lang", "concat('lone', doc_id) as source", "n_chars")
+    found = Q.judged(docs.unionByName(hot).unionByName(lone)).collect()
     groups = defaultdict(list)
-    for r in found.values():
+    for r in found:
         if not r.base_failed:
+            assert r.distance is not None
             groups[r.lang, r.source].append(r)
-    small = {k for k, v in groups.items() if len(v) < Q.MIN_GROUP}
-    of_lang, rest = defaultdict(list), []
-    for k in small:
-        of_lang[k[0]] += groups.pop(k)
-    for rows in of_lang.values():
-        if len(rows) >= Q.MIN_GROUP:
-            groups[id(rows)] = rows
-        else:
-            rest += rows
-    if len(rest) >= Q.MIN_GROUP:
-        groups["rest"] = rest
-    assert groups
+    sizes = list(map(len, groups.values()))
+    assert min(sizes) == 1 and max(sizes) > 200 and len(groups) > 40
     for rows in groups.values():
         d = mcd_distances(np.array([transformed((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, None)) for r in rows]))
         assert np.allclose(d, [r.distance for r in rows], rtol=1e-6, atol=1e-9)
         assert [bool(x <= Q.chi2_quantile(Q.QUANTILE, Q.P)) for x in d] == [r.kept for r in rows]
 
 
+def test_partitions_change_nothing(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert cases.rows_of(Q.quality_report(docs.repartition(1))) == cases.rows_of(Q.quality_report(docs.repartition(13)))
+
+
+def test_clashing_columns_stay(spark):
+    good = " ".join(f"word{i}" for i in range(80))
+    names = ["doc_id", "text", "lang", "source", "_i", "_h", "cell", "kept", "n_words", "distance", "_c0"]
+    docs = spark.createDataFrame([(1, good, "en", "s", *range(7)), (2, "short", "en", "s", *range(7))], ", ".join(f"{n} {'string' if n in ('text', 'lang', 'source') else 'long'}" for n in names))
+    out = Q.keep_good(docs)
+    assert out.columns == names and [tuple(r) for r in out.collect()] == [(1, good, "en", "s", *range(7))]
+
+
 def test_planted_outliers_go_and_clean_rows_stay(spark):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefghij"), rng.integers(2, 9)))

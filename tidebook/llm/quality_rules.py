@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import BROADCAST_ROWS, SPACE, materialize, replacing, sized
+from tidebook.llm.common import BROADCAST_ROWS, SPACE, materialize, numbered, replacing
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MOST_REPEATED = 50, 50
@@ -30,8 +30,10 @@ P = len(NAMES)
 H, TARGET, STEPS = 0.75, 0.25, 4
 #: Rows beyond this quantile of the squared distance's chi-square distribution are rejected.
 QUANTILE = 1 - 1e-7
-#: A group of fewer rows is joined with the other small groups of its language, and these, if still fewer, with those of all languages.
-MIN_GROUP = 100
+#: Rows of a group at which half of what the target doesn't have is drawn towards it too.
+FEW = 10
+#: Steps for each doubling-by-e of the values whose quantiles are taken.
+FINE = 512
 
 
 def chi2_cdf(x: float, k: int) -> float:
@@ -106,19 +108,17 @@ def _transformed() -> dict[str, Column]:
     }
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    """(lang, source) -> cell: the group that it is judged in, or null where even all small groups together are too few."""
-    small = lambda n: F.col(n) < MIN_GROUP
-    groups = rows.where("not base_failed").groupBy("_lang", "_source").agg(F.count("*").alias("n"))
-    left = F.sum(F.when(small("n"), F.col("n"))).over(Window.partitionBy("_lang"))
-    groups = groups.withColumn("of_lang", F.coalesce(left, F.lit(0)))
-    rest = groups.where(small("n") & small("of_lang")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    label = (
-        F.when(~small("n"), F.concat(F.lit("source:"), F.length("_lang").cast("string"), F.lit(":"), "_lang", "_source"))
-        .when(~small("of_lang"), F.concat(F.lit("lang:"), "_lang"))
-        .when(F.lit(rest >= MIN_GROUP), F.lit("all"))
-    )
-    return groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), label.alias("_cell"))
+def _rounded(x: Column) -> Column:
+    """A whole number that tells a value of 0 or more to about 0.2 %. The edges lie off the whole and half numbers on which medians fall."""
+    return F.floor(F.log1p(x) * FINE + 0.3).cast("double")
+
+
+def _quantile(x: Column, share: float) -> Column:
+    return F.percentile(_rounded(x), F.lit(share))
+
+
+def _median(x: Column) -> Column:
+    return F.expm1(_quantile(x, 0.5) / FINE)
 
 
 def _z(name: str) -> Column:
@@ -134,21 +134,22 @@ def _moments(keep: Column, prefix: str) -> list[Column]:
     return out
 
 
-def _factor(df: DataFrame, prefix: str, scale: float) -> DataFrame:
+def _factor(df: DataFrame, prefix: str) -> DataFrame:
     """The Cholesky factor {prefix}l.. and log-determinant {prefix}det of the scatter drawn towards the target."""
+    free = (1 - TARGET) * F.col(f"{prefix}n") / (F.col(f"{prefix}n") + FEW)
     c = lambda *x: F.col(prefix + "".join(map(str, x)))
     for i in range(P):
         for j in range(i + 1):
-            cov = (1 - TARGET) * scale * (c("s", i, j) - c("m", i) * c("m", j)) + (TARGET if i == j else 0.0)
+            cov = free * (c("s", i, j) - c("m", i) * c("m", j)) + (1 - free if i == j else F.lit(0.0))
             for k in range(j):
                 cov = cov - c("l", i, k) * c("l", j, k)
             df = df.withColumn(f"{prefix}l{i}{j}", F.sqrt(F.greatest(cov, F.lit(1e-9))) if i == j else cov / c("l", j, j))
     return df.withColumn(f"{prefix}det", sum((F.log(c("l", i, i)) for i in range(P)), F.lit(0.0)))
 
 
-def _estimates(df: DataFrame, prefixes: list[str], scale: float = 1.0) -> DataFrame:
+def _estimates(df: DataFrame, prefixes: list[str]) -> DataFrame:
     for p in prefixes:
-        df = _factor(df, p, scale)
+        df = _factor(df, p)
     return df.select("cell", *(f"{p}{x}" for p in prefixes for x in ("det", *(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i in range(P) for j in range(i + 1)))))
 
 
@@ -165,10 +166,10 @@ def _with_distance(df: DataFrame, prefix: str, column: str) -> DataFrame:
 
 
 class _Mcd:
-    """The estimates of all cells; rows: cell and standardised statistics of the rows that count."""
+    """The estimates of all groups; rows: cell, the group, and standardised statistics of the rows that count."""
 
     def __init__(self, rows: DataFrame, cells: int):
-        self.rows, self.hint = rows, F.broadcast if cells <= BROADCAST_ROWS else lambda df: df
+        self.rows, self.hint = rows, F.broadcast if cells <= BROADCAST_ROWS else lambda df: df  # all sides have a row for each cell
 
     def joined(self, side: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         side = side.withColumnRenamed("cell", "_of")
@@ -176,9 +177,9 @@ class _Mcd:
 
     def nearest(self, df: DataFrame, starts: list[str]) -> DataFrame:
         """Estimates from the share H of each cell's rows with the least d_{start}."""
-        edges = df.groupBy("cell").agg(*(F.percentile_approx(f"d_{s}", H, 10_000).alias(f"q_{s}") for s in starts))
+        edges = df.groupBy("cell").agg(*(_quantile(F.col(f"d_{s}"), H).alias(f"q_{s}") for s in starts))
         kept = self.joined(edges, df)
-        sums = kept.groupBy("cell").agg(*(m for s in starts for m in _moments(F.col(f"d_{s}") <= F.col(f"q_{s}"), s)))
+        sums = kept.groupBy("cell").agg(*(m for s in starts for m in _moments(_rounded(F.col(f"d_{s}")) <= F.col(f"q_{s}"), s)))
         return materialize(_estimates(sums, starts), "mcd")
 
     def run(self) -> DataFrame:
@@ -196,43 +197,54 @@ class _Mcd:
         return materialize(_estimates(near.groupBy("cell").agg(*_moments(F.lit(True), "r")), ["r"]), "mcd")
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the statistics, base_failed, distance and kept of each row, and text_hash to tell rows that share a doc_id.
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
-    Fewer than 50 words, or over half the words in repeated 3-word windows, fail the base rules; of the other rows, outliers of
-    their group fail. A null text has no words and fails; null languages and sources are groups of their own. Rows of groups too
-    small even together are not judged by distance and stay. Repeated rows count as often as they occur.
-    """
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """rows (with lang, source and text) with their statistics, group and base_failed, written to the shared folder; text and the two columns are dropped."""
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in ("lang", "source"))
-    plain = docs.select("doc_id", "lang", "source", "text", lang.alias("_lang"), source.alias("_source"), F.xxhash64("text").alias("text_hash"))
-    stats = materialize(word_statistics(plain).drop("text").withColumn("base_failed", failed).withColumns(_transformed()), "statistics")
-    cells = materialize(_cells(stats), "cells")
-    keys = (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s"))
-    stats = stats.join(sized(cells), keys, "left").drop("_l", "_s")
-    counted = stats.where("not base_failed and _cell is not null").withColumnRenamed("_cell", "cell")
-    centres = counted.groupBy("cell").agg(*(F.percentile_approx(n, 0.5, 10_000).alias(f"c_{n}") for n in NAMES))
-    mcd = _Mcd(counted, centres_n := cells.select("_cell").distinct().count())
+    cell = F.concat(F.length(lang).cast("string"), F.lit(":"), lang, source)
+    stats = word_statistics(rows.withColumn("cell", cell)).withColumn("base_failed", failed).withColumns(_transformed())
+    return materialize(stats.drop("lang", "source", "text"), "statistics")
+
+
+def _with_verdict(stats: DataFrame) -> DataFrame:
+    """stats with distance and kept: the groups' estimates, one row for each, are joined to the rows, which are not shuffled while those are few."""
+    counted = stats.where("not base_failed").select("cell", *NAMES)
+    centres = materialize(counted.groupBy("cell").agg(*(_median(F.col(n)).alias(f"c_{n}") for n in NAMES)), "centres")
+    mcd = _Mcd(counted, centres.count())
     off = mcd.joined(centres)
-    spreads = off.groupBy("cell").agg(*(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(n) - F.col(f"c_{n}")), 0.5, 10_000), F.lit(HARMLESS[n])).alias(f"w_{n}") for n in NAMES))
+    spreads = off.groupBy("cell").agg(*(F.greatest(1.4826 * _median(F.abs(F.col(n) - F.col(f"c_{n}"))), F.lit(HARMLESS[n])).alias(f"w_{n}") for n in NAMES))
     units = materialize(centres.join(spreads, "cell"), "units")
     standard = {f"z_{n}": (F.col(n) - F.col(f"c_{n}")) / F.col(f"w_{n}") for n in NAMES}
     mcd.rows = materialize(mcd.joined(units).withColumns(standard).select("cell", *standard), "standardised")
     final = materialize(mcd.run().join(units, "cell"), "estimates").withColumnRenamed("cell", "_of")
-    hint = F.broadcast if centres_n <= BROADCAST_ROWS else lambda df: df
-    rows = stats.join(hint(final), F.col("_cell") == F.col("_of"), "left").withColumns(standard)
-    rows = _with_distance(rows, "r", "distance")
-    outlier = F.coalesce(F.col("distance") > chi2_quantile(QUANTILE, P), F.lit(False))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & ~outlier)
-    return rows.select("doc_id", "lang", "source", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    rows = stats.join(mcd.hint(final), F.col("cell") == F.col("_of"), "left").withColumns(standard)
+    outlier = F.coalesce(F.col("distance") > chi2_quantile(QUANTILE, P), F.lit(False))  # null: a group of base-failed rows alone
+    return _with_distance(rows, "r", "distance").withColumn("kept", ~F.col("base_failed") & ~outlier)
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, the statistics, base_failed, distance and kept of each row.
+
+    Fewer than 50 words, or over half the words in repeated 3-word windows, fail the base rules; of the other rows, outliers of
+    their group fail. A null text has no words and fails; null languages and sources are groups of their own. Base-failed rows of a group without
+    other rows have no distance. Repeated rows count as often as they occur. Other columns are ignored. An empty table gives no rows.
+    """
+    rows = docs.select("doc_id", "lang", "source", "text", F.col("lang").alias("_lang"), F.col("source").alias("_source"))
+    return _with_verdict(_prepared(rows)).select("doc_id", F.col("_lang").alias("lang"), F.col("_source").alias("source"), *STATISTICS, "base_failed", "distance", "kept")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
-    return judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+    return judged(docs).select("doc_id", *STATISTICS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without the rejected rows; columns stay as they are."""
-    gone = judged(docs).where("not kept").select(F.xxhash64("doc_id").alias("_i"), F.col("text_hash").alias("_h")).distinct()
-    gone = materialize(gone, "rejected")
-    return docs.join(sized(gone), (F.xxhash64("doc_id") == F.col("_i")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    """docs without the rows that judged() rejects; columns stay as they are, whatever their names. Each row is judged by itself, repeated ones alike; an empty table stays empty.
+
+    The documents are written once with their statistics, so that no list of rejected rows is joined to them.
+    """
+    rows, name = numbered(docs)
+    stats = _prepared(rows.select("*", *(F.col(name[c]).alias(c) for c in ("lang", "source", "text"))))
+    return _with_verdict(stats).where("kept").select(*rows.columns).toDF(*docs.columns)
