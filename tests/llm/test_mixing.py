@@ -2,7 +2,9 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tests.oracle import difference
@@ -15,63 +17,130 @@ def test_as_duckdb(spark, sf_dir):
 
 
 def topic(text):
-    return next((name for name, mark in mixing.TOPICS if mark in text), mixing.OTHER_TOPIC)
+    lines, chars = text.split("\n"), re.sub("[\x20\x09-\x0d]", "", text)
+    letters = re.findall("[A-Za-z]", text)
+    if sum("|" in x or "\t" in x for x in lines) >= len(lines) / 2:
+        return "tables"
+    if sum(bool(re.match(" *([-*]|[0-9]+[.)]) ", x)) for x in lines) >= len(lines) / 2:
+        return "lists"
+    for chosen, most, name in (("#*$%&<>{}[]=+_~^\\/@", 0.05, "symbols"), ("0123456789", 0.2, "numbers")):
+        if chars and sum(c in chosen for c in chars) >= most * len(chars):
+            return name
+    return "capitals" if letters and sum(c.isupper() for c in letters) >= 0.3 * len(letters) else "prose"
+
+
+TEXTS = ["a | b\nc | d\nend", "- one\n- two\nplain", "1. a\n 2) b", "x### y%%% z", "12 34 5a", "SHOUT it NOW", "Plain words, as ever.", "", " \n ", "a\tb", "été 日本"]
+
+
+def test_topics(spark):
+    rows = spark.createDataFrame([(t,) for t in TEXTS], "text string").select("text", mixing.topic_of(F.col("text")).alias("topic")).collect()
+    assert {r.text: r.topic for r in rows} == {t: topic(t) for t in TEXTS}
+    assert {r.topic for r in rows} == set(mixing.TOPICS)
 
 
 def brute(rows, targets=None):
-    """rows: (doc_id, text, lang, source). Rates of cells, by plain loops until nothing changes."""
+    """rows: (doc_id, text, lang, source). Cells and the shares wanted of each value, by plain loops."""
     cells = defaultdict(float)
     keyed = [(i, (s or "", l or "", topic(t or "")), len(re.findall("[^\x20\x09-\x0d]+", t or ""))) for i, t, l, s in rows]
     for _, cell, n in keyed:
         cells[cell] += n
     cells = {c: n for c, n in cells.items() if n}
-    weights = dict(cells)
     shares = []
     for k, key in enumerate(mixing.KEYS):
         sums = defaultdict(float)
         for c, n in cells.items():
             sums[c[k]] += n
-        total = sum(n**mixing.POWER for n in sums.values())
-        shares.append((targets or {}).get(key) or {v: n**mixing.POWER / total for v, n in sums.items()})
-    for _ in range(mixing.SWEEPS):
-        for k in range(3):
-            sums = defaultdict(float)
-            for c, w in weights.items():
-                sums[c[k]] += w
-            weights = {c: w * shares[k].get(c[k], 0) / sums[c[k]] if sums[c[k]] else 0.0 for c, w in weights.items()}
-    return keyed, cells, weights
-
-
-@pytest.mark.parametrize("targets", [None, {"lang": {"en": 0.25, "de": 0.25, "": 0.5}, "source": {"hot": 0.5, "s0": 0.5}}])
+        given = (targets or {}).get(key)
+        weight = {v: given.get(v, 0) if given else n**mixing.POWER for v, n in sums.items()}
+        share = {v: w / sum(weight.values()) for v, w in weight.items()}
+        shares.append((share, sums))
+
+    def within(goal):
+        """By bisection: in proportion to the shares, but within reach of the goal."""
+        out = []
+        for share, sums in shares:
+            low, high = 0.0, 1e9
+            for _ in range(200):
+                mid = (low + high) / 2
+                asked = {v: min(mid * share[v], mixing.SLACK * sums[v] / goal) for v in share}
+                low, high = (mid, high) if sum(asked.values()) < 1 else (low, mid)
+            out.append(asked)
+        return out
+
+    return keyed, cells, within
+
+
+def mixed_up(spark):
+    rows = [(i * 3, t, ("en", "de", None)[i % 3], ("hot", "hot", "s0", "s1", None)[i % 5]) for i, t in enumerate(t for k in range(6) for t in cases.texts()[k:40])]
+    return spark.createDataFrame([*rows, rows[7], rows[8]], "doc_id long, text string, lang string, source string")
+
+
+@pytest.mark.parametrize("targets", [None, {"lang": {"en": 0.25, "de": 0.25, "": 0.5}, "source": {"hot": 0.5, "s0": 0.5, "none has it": 0.3}}])
 def test_as_brute_force(spark, targets):
-    docs = cases.documents(spark)
+    """The sample's marginals are the targets, and its cells are what only the optimum has: totals times a factor for each value, or all of a cell."""
+    docs = mixed_up(spark)
     rows = [(r.doc_id, r.text, r.lang, r.source) for r in docs.collect()]
-    keyed, cells, weights = brute(rows, targets)
+    keyed, cells, shares = brute(rows, targets)
     frames = {k: spark.createDataFrame(list(v.items()), "value string, share double") for k, v in (targets or {}).items()}
-    found = mixing.mix(docs, frames)
+    found = mixing.mix(docs, frames).collect()
     rate = {}
-    for r in found.collect():
+    for r in found:
         rate.setdefault((r.source, r.lang, r.topic), r.rate)
         u = int(hashlib.md5(f"mix-{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
-        assert r.sampled == (u < r.rate)
-    assert sorted((r.doc_id, r.n_tokens) for r in found.collect()) == sorted((i, n) for i, _, n in keyed)
-    below = {c: rate[c] / (weights[c] / cells[c]) for c in cells if 0 < rate[c] < 1}
-    assert max(below.values()) == pytest.approx(min(below.values()), rel=1e-9)  # one scale for all rates that aren't cut
-    assert all(rate[c] == 0 for c in cells if not weights[c])
-    if not targets:
-        assert sum(rate[c] * cells[c] for c in cells) == pytest.approx(mixing.SHARE * sum(cells.values()), rel=0.02)
+        assert 0 <= r.rate <= 1 and r.sampled == (u < r.rate)
+    assert sorted((r.doc_id, r.n_tokens) for r in found) == sorted((i, n) for i, _, n in keyed)
+    total = sum(rate[c] * n for c, n in cells.items())
+    for k, share in enumerate(shares(total)):
+        for v, wanted in share.items():
+            assert sum(rate[c] * n for c, n in cells.items() if c[k] == v) == pytest.approx(wanted * total, abs=1e-6 * total)
+    inner = [c for c in cells if 0 < rate[c] < 1 - 1e-9]
+    design = np.array([[float(c[k] == v) for k in range(3) for v in shares(total)[k]] for c in inner])
+    logs = np.log([rate[c] for c in inner])
+    fit, *_ = np.linalg.lstsq(design, logs, rcond=None)
+    assert np.allclose(design @ fit, logs, atol=1e-5)
+    for c in cells:
+        if rate[c] >= 1 - 1e-9 and inner:
+            assert np.array([float(c[k] == v) for k in range(3) for v in shares(total)[k]]) @ fit > -1e-5 or targets
+    assert total <= mixing.SHARE * sum(cells.values()) * (1 + 1e-9)
+    assert targets or total == pytest.approx(mixing.SHARE * sum(cells.values()))
+
+
+def test_the_expected_sample_meets_the_targets(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(*(v.alias(k) for k, v in mixing._plain(docs).items()))
+    rated, targets = mixing.raked(mixing.cells_of(rows))
+    assert rated.agg(F.max("off")).first()[0] <= mixing.TOLERANCE
+    table = mixing.reached(rated, targets).collect()
+    assert {r.key for r in table} == set(mixing.KEYS)
+    for r in table:
+        assert r.share == pytest.approx(r.target, abs=1e-7)
+    assert rated.agg(F.max("rate")).first()[0] <= 1
 
 
-def test_marginals_are_met(spark, sf_dir):
+def test_targets_that_contradict_each_other_end(spark):
+    cells = spark.createDataFrame([("a", "x", "p", 100.0), ("b", "y", "p", 100.0)], "source string, lang string, topic string, tokens double")
+    targets = {"source": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "value string, share double"), "lang": spark.createDataFrame([("x", 0.2), ("y", 0.8)], "value string, share double")}
+    rated, _ = mixing.raked(cells, targets)
+    assert rated.agg(F.max("off")).first()[0] > 0.1
+    assert rated.count() == 2
+
+
+def test_many_cells_as_few(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = docs.select(*(v.alias(k) for k, v in mixing._plain(docs).items()))
-    cells = mixing.cells_of(rows)
-    wanted = {k: mixing.tempered(cells, k) for k in mixing.KEYS}
-    weights = mixing.raked(cells, wanted)
-    for k in mixing.KEYS:
-        sums = {r[0]: r[1] for r in weights.groupBy(k).sum("weight").collect()}
-        for r in wanted[k].collect():
-            assert sums[r.value] == pytest.approx(r.share, rel=0.02)
+    cells = mixing.cells_of(docs.select(*(v.alias(k) for k, v in mixing._plain(docs).items())))
+    few = {tuple(r[:3]): r.rate for r in mixing.raked(cells, tolerance=1e-3)[0].collect()}
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 10)
+    many = {tuple(r[:3]): r.rate for r in mixing.raked(cells, tolerance=1e-3)[0].collect()}
+    assert few == pytest.approx(many, rel=1e-9)
+
+
+def test_a_given_topic(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 20, "en", "s", "even" if i % 4 else "rest") for i in range(400)], "doc_id long, text string, lang string, source string, about string")
+    wanted = spark.createDataFrame([("even", 0.5), ("rest", 0.5)], "value string, share double")
+    found = mixing.mix(docs, {"topic": wanted}, topic="about")
+    rates = {r.topic: r.rate for r in found.select("topic", "rate").distinct().collect()}
+    assert rates["rest"] == pytest.approx(0.98) and rates["even"] == pytest.approx((0.6 - 0.25 * 0.98) / 0.75)  # the scarce topic is asked for what it has
+    assert mixing.sample_mixture(docs, {"topic": wanted}, topic="about").count() == found.where("sampled").count()
 
 
 def test_sampled_rows_stay_as_they_are(spark):

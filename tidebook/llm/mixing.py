@@ -1,40 +1,50 @@
 """Mixing sources to target weights by iterative proportional fitting (Deming and Stephan, 1940).
 
 The token totals of the cells (source, language, topic) are raked until the marginal sums over sources, over languages and over topics are those
-wanted. A cell's raked total over its own is the rate of its documents; rates are scaled to the number of tokens wanted, none above 1, and a
-document is sampled if its hash is below its rate: each document by itself, so the sample doesn't depend on partitions.
+wanted. A cell's raked total over its own is the rate of its documents, and a document is sampled if its hash is below its rate: each document by itself, so the
+sample doesn't depend on partitions. No cell can give more than it has: the raking keeps every rate at 1 or below, and fits the other cells around
+those that give all. A value with too few tokens for its target is asked for what it has, and the others of its marginal share the rest; where marginals can't be met together, fewer
+tokens are asked for. Sweeps end when every marginal is met.
 
-All of it is DataFrame expressions. A raked total is a cell's total times one factor for each of its three values, so only three tables of factors
-change between steps; a step is a join with two of them and one combined aggregation, however many cells a source, language or topic has.
+All of it is DataFrame expressions over the table of cells, which has their factors, one for each of a cell's three values; a sweep writes it anew. A step
+sums over the cells of each value: by a window where the cells are few, else by a combined aggregation and a join, however many cells a source, language or topic has.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import BROADCAST_ROWS, materialize, sized
+from tidebook.llm.common import BROADCAST_ROWS, materialize, numbered, sized
 
 KEYS = ["source", "lang", "topic"]
-#: Sweeps over the three marginals; share of all tokens to sample; rounds of scaling with rates cut at 1.
-SWEEPS, SHARE, CUTS = 8, 0.6, 6
+#: Share of all tokens to sample, at most; share of a value's tokens that is asked for at most.
+SHARE, SLACK = 0.6, 0.98
+#: A marginal is met if no value is off by more than this share of the sample; sweeps without progress after which fewer tokens are asked for, how many fewer, and the share of the first goal at which it ends.
+TOLERANCE, STALLED, FEWER, LEAST = 1e-9, 5, 0.75, 0.05
 #: Without targets a marginal's share is its share of tokens to this power: large values weigh less, small ones more.
 POWER = 0.7
 HASH_BITS = 52
 SEED = "mix-"
 
-#: Topics are told by form: the first rule that fits the text; the last one is for all others.
-TOPICS = [("tables", " | "), ("shouting", "!! "), ("symbols", "&&& ")]
-OTHER_TOPIC = "prose"
+#: Topics are told by the form of the text, the first that fits, from shares of its lines or characters on.
+SYMBOLS, DIGITS, CAPITALS = "#*$%&<>{}[]=+_~^\\/@", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MOST_LINES, MANY_SYMBOLS, MANY_DIGITS, MANY_CAPITALS = 0.5, 0.05, 0.2, 0.3
+LIST_LINE, SPACES = "(^|\\n) *([-*]|[0-9]+[.)]) ", " \t\n\x0b\x0c\r"
+TOPICS = ["tables", "lists", "symbols", "numbers", "capitals", "prose"]
 
 
 def topic_of(text: Column) -> Column:
-    out = F.lit(OTHER_TOPIC)
-    for name, mark in reversed(TOPICS):
-        out = F.when(F.contains(text, F.lit(mark)), name).otherwise(out)
-    return out
+    lines = F.regexp_count(text, F.lit("\n")) + 1
+    among = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    chars = F.length(F.translate(text, SPACES, ""))
+    letters = among(CAPITALS + CAPITALS.lower())
+    ruled = F.size(F.filter(F.split(text, "\n"), lambda x: x.contains("|") | x.contains("\t")))
+    out = F.when(ruled >= MOST_LINES * lines, "tables").when(F.regexp_count(text, F.lit(LIST_LINE)) >= MOST_LINES * lines, "lists")
+    out = out.when((chars > 0) & (among(SYMBOLS) >= MANY_SYMBOLS * chars), "symbols").when((chars > 0) & (among(DIGITS) >= MANY_DIGITS * chars), "numbers")
+    return out.when((letters > 0) & (among(CAPITALS) >= MANY_CAPITALS * letters), "capitals").otherwise("prose")
 
 
 def token_count(text: Column) -> Column:
@@ -52,82 +62,127 @@ def cells_of(docs: DataFrame) -> DataFrame:
     return docs.groupBy(*KEYS).agg(F.sum("n_tokens").cast("double").alias("tokens")).where("tokens > 0")
 
 
-def tempered(cells: DataFrame, key: str, power: float = POWER) -> DataFrame:
-    """(value, share): the default targets of one marginal."""
-    sums = materialize(cells.groupBy(F.col(key).alias("value")).agg(F.pow(F.sum("tokens"), power).alias("w")), f"sums-{key}")
-    total = sums.agg(F.sum("w")).first()[0] or 1.0
-    return sums.select("value", (F.col("w") / total).alias("share"))
+def _marginals(cells: DataFrame) -> DataFrame:
+    """key, value and tokens of every value that a cell has."""
+    return reduce(DataFrame.union, (cells.groupBy(F.lit(k).alias("key"), F.col(k).alias("value")).agg(F.sum("tokens").alias("tokens")) for k in KEYS))
 
 
-Factors = dict[str, tuple[DataFrame, bool]]
+def _shares(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """key, value, tokens and share: the targets given, spread over the values that have tokens, or else tempered ones. Values without a target have the share 0."""
+    sums = materialize(_marginals(cells), "marginals")
+    given = reduce(DataFrame.union, (t.select(F.lit(k).alias("_k"), F.col("value").alias("_v"), F.col("share").cast("double").alias("w")) for k, t in targets.items())) if targets else None
+    weight = F.pow("tokens", F.lit(POWER))
+    if given is not None:
+        sums = sums.join(given, (F.col("key") == F.col("_k")) & (F.col("value") == F.col("_v")), "left")
+        weight = F.when(F.col("key").isin(*targets), F.coalesce("w", F.lit(0.0))).otherwise(weight)
+    rows = materialize(sums.select("key", "value", "tokens", weight.alias("weight")), "weights")
+    totals = rows.groupBy(F.col("key").alias("_key")).agg(F.sum("weight").alias("total"))  # one row for each of KEYS
+    return rows.join(F.broadcast(totals), F.col("key") == F.col("_key")).select("key", "value", "tokens", F.coalesce(F.try_divide("weight", "total"), F.lit(0.0)).alias("share"))
 
 
-def _with_factors(cells: DataFrame, factors: Factors, keys: list[str]) -> DataFrame:
-    for k in keys:
-        table, small = factors[k]
-        side = table.select(F.col("value").alias(f"_{k}"), F.col("factor").alias(f"f_{k}"))
-        cells = cells.join(F.broadcast(side) if small else side, F.col(k) == F.col(f"_{k}")).drop(f"_{k}")
+def _within_reach(shares: DataFrame, goal: float) -> DataFrame:
+    """shares with target, the share that is asked for: in proportion to share, but no more than SLACK of a value's tokens. The proportion is one number for each of KEYS."""
+    cap = SLACK * F.col("tokens") / F.lit(goal)
+    scale = dict.fromkeys(KEYS, 1.0)
+    while True:
+        now = F.create_map(*(F.lit(x) for k in KEYS for x in (k, scale[k])))[F.col("key")] * F.col("share")
+        sums = shares.groupBy("key").agg(F.sum(F.when(now >= cap, cap).otherwise(0.0)).alias("full"), F.sum(F.when(now < cap, F.col("share")).otherwise(0.0)).alias("free")).collect()
+        new = scale | {r.key: max(scale[r.key], (1 - r.full) / r.free) for r in sums if r.free > 0}
+        if all(new[k] <= scale[k] * (1 + 1e-12) for k in KEYS):
+            return shares.withColumn("target", F.least(now, cap))
+        scale = new
+
+
+def _with_sums(cells: DataFrame, key: str, sums: dict[str, Column], small: bool) -> DataFrame:
+    """cells with sums over the cells of the same value. Few cells are one partition, in which windows cost no shuffle; many are combined where they are, and joined with the sums."""
+    if small:
+        return cells.withColumns({n: F.sum(x).over(Window.partitionBy(key)) for n, x in sums.items()})
+    found = materialize(cells.groupBy(F.col(key).alias("_v")).agg(*(F.sum(x).alias(n) for n, x in sums.items())), "sums")
+    return cells.join(sized(found), F.col(key) == F.col("_v")).drop("_v")
+
+
+def _raked_once(cells: DataFrame, goal: float, small: bool) -> DataFrame:
+    """cells with new factors, after one step for each of the marginals, and off: by how much a value was off before its step, as a share of the goal.
+
+    A step solves for a value's factor with the cells that give all as they are.
+    """
+    cells = cells.withColumn("off", F.lit(0.0))
+    for k in KEYS:
+        mass = reduce(lambda a, x: a * F.col(f"f_{x}"), [x for x in KEYS if x != k], F.col("tokens"))
+        factor, full = F.col(f"f_{k}"), mass * F.col(f"f_{k}") >= F.col("tokens")
+        sums = {"given": F.when(full, F.col("tokens")).otherwise(0.0), "free": F.when(full, 0.0).otherwise(mass)}
+        wanted, have = goal * F.col(f"share_{k}"), F.col("given") + F.col("free") * factor
+        solved = F.when((wanted > F.col("given")) & (F.col("free") > 0), (wanted - F.col("given")) / F.col("free")).otherwise(F.coalesce(factor * F.try_divide(wanted, have), F.lit(0.0)))
+        found = _with_sums(cells, k, sums, small)
+        cells = found.withColumns({f"f_{k}": solved, "off": F.greatest("off", F.abs(have - wanted) / goal)}).drop("given", "free")
     return cells
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """cells with weight, their share of the tokens wanted. Values without a target, or with a target of 0, get weight 0.
+def _started(cells: DataFrame, shares: DataFrame, goal: float, total: float | None, small: bool) -> tuple[DataFrame, DataFrame]:
+    """The targets within reach of a goal, and cells with them and with first factors."""
+    targeted = materialize(_within_reach(shares, goal), "targets") if goal else shares.withColumn("target", F.col("share"))
+    for k in KEYS:
+        side = targeted.where(F.col("key") == k).select(F.col("value").alias("_v"), F.col("target").alias(f"share_{k}"))
+        cells = cells.join(sized(side), F.col(k) == F.col("_v")).drop("_v").withColumn(f"f_{k}", F.lit(goal / total if total and k == KEYS[0] else 1.0))
+    return targeted, materialize((cells.coalesce(1) if small else cells).withColumn("off", F.lit(1.0)), "raked")
+
 
-    targets: key -> (value, share). Each marginal is fitted in turn; after the last step the topic marginal is met exactly and the others
-    as nearly as the sweeps have brought them.
+def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, tolerance: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Cells with rate, the probability of each of their documents, and off, by how much the sample misses a target of theirs; and key, value, tokens, share and target of each value: what was wanted, and what of it can be had.
+
+    targets: key -> (value, share). Values without a target, or with a target of 0, get rate 0. The goal is `share` of all tokens; targets beyond a value's tokens are lowered to
+    these (column target), and the goal is lowered while the marginals can't be met together with it. If that doesn't help (targets that contradict each
+    other), the sweeps end, and `off` tells.
     """
-    wanted = {k: materialize(targets[k], f"target-{k}") for k in KEYS}
-    small = {k: wanted[k].limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS for k in KEYS}  # factors have a row for each target
-    factors: Factors = {k: (wanted[k].select("value", F.lit(1.0).alias("factor")), small[k]) for k in KEYS}
-    for _ in range(sweeps):
-        for k in KEYS:
-            others = [x for x in KEYS if x != k]
-            mass = reduce(lambda a, x: a * F.col(f"f_{x}"), others, F.col("tokens"))
-            sums = _with_factors(cells, factors, others).groupBy(F.col(k).alias("_v")).agg(F.sum(mass).alias("mass"))
-            side = F.broadcast(wanted[k]) if small[k] else wanted[k]
-            new = sums.join(side, F.col("value") == F.col("_v")).select("value", F.coalesce(F.try_divide("share", "mass"), F.lit(0.0)).alias("factor"))
-            factors[k] = materialize(new, f"factor-{k}"), small[k]
-    weight = reduce(lambda a, x: a * F.col(f"f_{x}"), KEYS, F.col("tokens"))
-    return _with_factors(cells, factors, KEYS).select(*KEYS, "tokens", weight.alias("weight"))
-
-
-def rates(weights: DataFrame, share: float = SHARE, cuts: int = CUTS) -> DataFrame:
-    """Cells with rate, the probability of each of their documents: in proportion to weight over tokens, cut at 1, and scaled so that the expected
-    tokens are the share wanted of all (less where the cuts leave no more to give). The totals of a round are one row."""
-    rows = weights.withColumn("raw", F.col("weight") / F.col("tokens")).withColumn("scale", F.lit(0.0))
-    goal = weights.agg(F.sum("tokens")).first()[0] or 0.0
-    scale = 0.0
-    for _ in range(cuts):
-        full = F.col("raw") * scale >= 1
-        cut, rest = rows.agg(F.coalesce(F.sum(F.when(full, F.col("tokens"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0.0))).first()
-        if rest <= 0:
+    cells = materialize(cells, "cells")
+    small = cells.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    shares = materialize(_shares(cells, targets or {}), "shares")
+    total = shares.where(F.col("key") == KEYS[0]).agg(F.sum("tokens")).first()[0]
+    allowed = [r[1] or 0.0 for r in shares.where("share > 0").groupBy("key").agg(F.sum("tokens")).collect()]  # one row for each of KEYS
+    goal = min([share * (total or 0.0), *(SLACK * x for x in allowed)]) if len(allowed) == len(KEYS) else 0.0
+    first, history = goal, []
+    targeted, now = _started(cells, shares, goal, total, small)
+    while goal:
+        now = _raked_once(now.coalesce(1) if small else now, goal, small)
+        now = materialize(now.select(*KEYS, "tokens", *(f"{x}_{k}" for k in KEYS for x in ("share", "f")), "off"), "raked")
+        history.append(now.agg(F.max("off")).first()[0] or 0.0)
+        if history[-1] <= (TOLERANCE if tolerance is None else tolerance) or goal < LEAST * first:
             break
-        scale = max(scale, (share * goal - cut) / rest)
-    return rows.select(*KEYS, "tokens", "weight", F.least(F.col("raw") * scale, F.lit(1.0)).alias("rate"))
+        if len(history) > STALLED and history[-1] > 0.5 * history[-1 - STALLED]:
+            goal, history = goal * FEWER, []
+            targeted, now = _started(cells, shares, goal, total, small)
+    rate = F.least(reduce(lambda a, x: a * F.col(f"f_{x}"), KEYS, F.lit(1.0)), F.lit(1.0))
+    return now.select(*KEYS, "tokens", rate.alias("rate"), "off"), targeted
+
 
+def reached(rated: DataFrame, targets: DataFrame) -> DataFrame:
+    """key, value, target and share of each value: of the targets and rated cells of raked(), the share asked for and that of the expected sample."""
+    sums = _marginals(rated.select(*KEYS, (F.col("tokens") * F.col("rate")).alias("tokens")))
+    total = rated.agg(F.sum(F.col("tokens") * F.col("rate"))).first()[0] or 1.0
+    have = sums.select(F.col("key").alias("_key"), F.col("value").alias("_value"), (F.col("tokens") / total).alias("have"))
+    return targets.join(sized(have), (F.col("key") == F.col("_key")) & (F.col("value") == F.col("_value")), "left").select("key", "value", "target", F.coalesce("have", F.lit(0.0)).alias("share"))
 
-def _plain(docs: DataFrame) -> dict[str, Column]:
+
+def _plain(docs: DataFrame, topic: str | None = None) -> dict[str, Column]:
     """What the mixture takes from a document."""
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return {"source": none("source"), "lang": none("lang"), "topic": topic_of(none("text")), "n_tokens": token_count(none("text"))}
+    return {"source": none("source"), "lang": none("lang"), "topic": none(topic) if topic else topic_of(none("text")), "n_tokens": token_count(none("text"))}
 
 
 def cell_rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
     """_source, _lang, _topic and _rate of each cell of rows (source, lang, topic, n_tokens)."""
-    cells = materialize(cells_of(rows), "cells")
-    wanted = {k: (targets or {}).get(k) or tempered(cells, k) for k in KEYS}
-    rated = materialize(rates(materialize(raked(cells, wanted), "weights"), share), "rates")
+    rated = materialize(raked(cells_of(rows), targets, share)[0], "rates")
     return rated.select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("rate").alias("_rate"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, rate and sampled of every row of docs.
 
-    targets: key -> (value, share) for any of source, lang and topic, each summing to 1; the others are tempered. Null texts have no tokens; documents without
-    tokens are in no cell's total and get the rate of their cell, or 0 where it has none. Null sources and languages are the value "". Rows that repeat a doc_id are
+    targets: key -> (value, share) for any of source, lang and topic; the others are tempered. topic: a column that has the topics. Null texts have no tokens; documents without
+    tokens are in no cell's total and get the rate of their cell, or 0 where it has none. Null sources, languages and topics are the value "". Rows that repeat a doc_id are
     sampled by the same number. Other columns are ignored. An empty table gives no rows.
     """
-    rows = materialize(docs.select("doc_id", *(v.alias(k) for k, v in _plain(docs).items())), "tokens")
+    rows = materialize(docs.select("doc_id", *(v.alias(k) for k, v in _plain(docs, topic).items())), "tokens")
     rated = cell_rates(rows, targets, share)
     joined = rows.join(sized(rated), [F.col(k) == F.col(f"_{k}") for k in KEYS], "left")
     rate = F.coalesce("_rate", F.lit(0.0))
@@ -135,47 +190,59 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: flo
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
-    """mix() with the rate rounded to 9 places."""
-    return mix(docs).withColumn("rate", F.round("rate", 9))
+    """mix() with the rate rounded to 6 places, up to which it doesn't depend on when the sweeps end."""
+    return mix(docs).withColumn("rate", F.round("rate", 6))
 
 
-def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED) -> DataFrame:
-    """docs with the sampled rows only; columns stay as they are. Cells are joined to the documents, so there is no list of documents."""
-    plain = _plain(docs)
+def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None) -> DataFrame:
+    """docs with the rows that mix() samples; columns stay as they are, whatever their names. An empty table stays empty. Cells are joined to the documents, so there is no list of documents."""
+    plain = _plain(docs, topic)
     rated = cell_rates(materialize(docs.select(*(v.alias(k) for k, v in plain.items())), "tokens"), targets, share)
-    marked = docs.select(F.struct(*docs.columns).alias("_doc"), uniform(F.col("doc_id"), seed).alias("_u"), *(plain[k].alias(k) for k in KEYS))
+    rows, name = numbered(docs)
+    own = _plain(rows.select("*", *(F.col(name[c]).alias(c) for c in ("source", "lang", "text"))), name[topic] if topic else None)
+    marked = rows.select("*", *(F.col(name[c]).alias(c) for c in ("source", "lang", "text"))).select(*rows.columns, uniform(F.col(name["doc_id"]), seed).alias("_u"), *(own[k].alias(k) for k in KEYS))
     kept = marked.join(sized(rated), [F.col(k) == F.col(f"_{k}") for k in KEYS]).where(F.col("_u") < F.col("_rate"))
-    return kept.select("_doc.*")
+    return kept.select(*rows.columns).toDF(*docs.columns)
 
 
-def oracle_sql() -> str:
-    """The same in DuckDB's SQL, for the default targets: each step of the raking is a common table expression."""
+def oracle_sql(sweeps: int = 40) -> str:
+    """The same in DuckDB's SQL, for the default targets: each step of the raking is a common table expression, and there are more sweeps than the tolerance takes."""
     split = "[^\\x20\\x09-\\x0D]+"
-    topic = " ".join(f"WHEN contains(t, '{mark}') THEN '{name}'" for name, mark in TOPICS)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    among = lambda chars: f"(len(t) - len(translate(t, {quoted(chars)}, '')))"
+    spaces = "concat(" + ", ".join(f"chr({ord(c)})" for c in SPACES) + ")"
+    lines, chars, letters = "(len(t) - len(replace(t, chr(10), '')) + 1)", f"len(translate(t, {spaces}, ''))", among(CAPITALS + CAPITALS.lower())
+    of_lines = lambda pattern: f"len(regexp_extract_all(t, {quoted(pattern)})) >= {MOST_LINES} * {lines}"
+    ruled = "len([x for x in string_split(t, chr(10)) if contains(x, '|') OR contains(x, chr(9))])"
+    topic = f"""CASE WHEN {ruled} >= {MOST_LINES} * {lines} THEN 'tables' WHEN {of_lines(LIST_LINE)} THEN 'lists' WHEN {chars} > 0 AND {among(SYMBOLS)} >= {MANY_SYMBOLS} * {chars} THEN 'symbols'
+WHEN {chars} > 0 AND {among(DIGITS)} >= {MANY_DIGITS} * {chars} THEN 'numbers' WHEN {letters} > 0 AND {among(CAPITALS)} >= {MANY_CAPITALS} * {letters} THEN 'capitals' ELSE 'prose' END"""
     parts = [
         "base AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents)",
-        f"rows AS (SELECT doc_id, source, lang, CASE {topic} ELSE '{OTHER_TOPIC}' END AS topic, CAST(len(regexp_extract_all(t, '{split}')) AS BIGINT) AS n_tokens FROM base)",
+        f"rows AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '{split}')) AS BIGINT) AS n_tokens FROM base)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM rows GROUP BY ALL HAVING sum(n_tokens) > 0)",
     ]
     for k in KEYS:
-        parts.append(f"w_{k} AS MATERIALIZED (SELECT {k} AS value, sum(tokens) ^ {POWER} AS w FROM cells GROUP BY 1)")
-        parts.append(f"t_{k} AS MATERIALIZED (SELECT value, w / (SELECT sum(w) FROM w_{k}) AS share FROM w_{k})")
-        parts.append(f"f_{k}_0 AS MATERIALIZED (SELECT value, CAST(1 AS DOUBLE) AS factor FROM t_{k})")
+        parts.append(f"t_{k} AS MATERIALIZED (SELECT value, tokens, w / sum(w) OVER () AS share FROM (SELECT {k} AS value, sum(tokens) AS tokens, sum(tokens) ^ {POWER} AS w FROM cells GROUP BY 1))")
+    parts.append(f"g AS MATERIALIZED (SELECT total, least({SHARE}, {SLACK}) * total AS goal FROM (SELECT sum(tokens) AS total FROM cells))")
+    for k in KEYS:
+        parts.append(f"l_{k}_0 AS (SELECT CAST(1 AS DOUBLE) AS scale)")
+        for i in range(15):
+            full = f"share * scale >= {SLACK} * tokens / goal"
+            parts.append(f"l_{k}_{i + 1} AS MATERIALIZED (SELECT greatest(any_value(scale), coalesce((1 - coalesce(sum({SLACK} * tokens / goal) FILTER ({full}), 0)) / sum(share) FILTER (NOT {full}), 0)) AS scale FROM t_{k}, l_{k}_{i}, g)")
+        parts.append(f"a_{k} AS MATERIALIZED (SELECT value, least(share * scale, {SLACK} * tokens / goal) AS share FROM t_{k}, l_{k}_15, g)")
+    for k in KEYS:
+        parts.append(f"f_{k}_0 AS MATERIALIZED (SELECT value, share, CAST({'goal / total' if k == KEYS[0] else '1'} AS DOUBLE) AS factor FROM a_{k}, g)")
     at = dict.fromkeys(KEYS, 0)
-    for _ in range(SWEEPS):
+    joined = lambda: "cells " + " ".join(f"JOIN f_{k}_{at[k]} {k[0]} ON {k[0]}.value = cells.{k}" for k in KEYS)
+    for _ in range(sweeps):
         for k in KEYS:
-            a, b = (x for x in KEYS if x != k)
-            joins = f"cells JOIN f_{a}_{at[a]} a ON a.value = cells.{a} JOIN f_{b}_{at[b]} b ON b.value = cells.{b}"
+            mass = " * ".join(["tokens", *(f"{x[0]}.factor" for x in KEYS if x != k)])
+            full = f"{mass} * {k[0]}.factor >= tokens"
+            sums = f"SELECT cells.{k} AS v, coalesce(sum(tokens) FILTER ({full}), 0) AS given, coalesce(sum({mass}) FILTER (NOT {full}), 0) AS free FROM {joined()} GROUP BY 1"
+            solved = "CASE WHEN goal * share > given AND free > 0 THEN (goal * share - given) / free ELSE factor * goal * share / (given + free * factor) END"
+            parts.append(f"f_{k}_{at[k] + 1} AS MATERIALIZED (SELECT value, share, {solved} AS factor FROM f_{k}_{at[k]} JOIN ({sums}) ON v = value, g)")
             at[k] += 1
-            parts.append(f"f_{k}_{at[k]} AS MATERIALIZED (SELECT t.value, t.share / m.mass AS factor FROM t_{k} t JOIN (SELECT cells.{k} AS v, sum(tokens * a.factor * b.factor) AS mass FROM {joins} GROUP BY 1) m ON m.v = t.value)")
-    joins = " ".join(f"JOIN f_{k}_{at[k]} {k[0]} ON {k[0]}.value = cells.{k}" for k in KEYS)
-    parts.append(f"weights AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens * {' * '.join(f'{k[0]}.factor' for k in KEYS)} AS weight FROM cells {joins})")
-    parts.append("s_0 AS (SELECT CAST(0 AS DOUBLE) AS scale)")
-    for i in range(CUTS):
-        parts.append(
-            f"s_{i + 1} AS MATERIALIZED (SELECT greatest(any_value(scale), coalesce(({SHARE} * sum(tokens) - coalesce(sum(tokens) FILTER (weight / tokens * scale >= 1), 0)) / nullif(sum(weight) FILTER (NOT weight / tokens * scale >= 1), 0), 0)) AS scale FROM weights, s_{i})"
-        )
-    parts.append(f"rated AS (SELECT source, lang, topic, least(weight / tokens * scale, 1.0) AS rate FROM weights, s_{CUTS})")
+    parts.append(f"rated AS MATERIALIZED (SELECT source, lang, topic, least({' * '.join(f'{k[0]}.factor' for k in KEYS)}, 1.0) AS rate FROM {joined()})")
     hashed = f"CAST(concat('0x', substr(md5(concat('{SEED}', coalesce(CAST(doc_id AS VARCHAR), ''))), 1, {HASH_BITS // 4})) AS BIGINT)"
-    last = f"SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0), 9) AS rate, {hashed} / CAST({1 << HASH_BITS} AS DOUBLE) < coalesce(rate, 0) AS sampled FROM rows LEFT JOIN rated USING (source, lang, topic)"
+    last = f"SELECT doc_id, source, lang, topic, n_tokens, round(coalesce(rate, 0), 6) AS rate, {hashed} / CAST({1 << HASH_BITS} AS DOUBLE) < coalesce(rate, 0) AS sampled FROM rows LEFT JOIN rated USING (source, lang, topic)"
     return f"WITH {', '.join(parts)} {last}"
