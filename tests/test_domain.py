@@ -96,6 +96,31 @@ def test_portfolio(spark):
     assert portfolio.add_lots(held, valid).first()[2:] == (1.5, 48000.0, 36000.0)
 
 
+def test_upsert_by_symbol_in_any_case(spark):
+    df = spark.createDataFrame([("BTC", D(65000)), ("eth", D(3200))], "symbol string, price decimal(10,0)")
+    changes = spark.createDataFrame([("btc", D(70000), 1), ("sol", D(150), 2), ("Btc", D(71000), 3)], "symbol string, price decimal(10,0), seq int")
+    assert {tuple(r) for r in mutations.upsert_by_symbol(df, changes, "seq").collect()} == {("BTC", D(71000)), ("ETH", D(3200)), ("SOL", D(150))}
+
+
+def test_users_are_updated_by_id_or_inserted(spark):
+    df = spark.createDataFrame([(1, "a@x.y"), (2, "b@x.y")], "id long, email string")
+    changes = spark.createDataFrame([(2, "c@x.y"), (None, "z@x.y"), (None, "d@x.y"), (9, "n@x.y")], "id long, email string")
+    assert sorted(map(tuple, mutations.upsert_or_insert(df, changes, "id", "email").collect())) == [(1, "a@x.y"), (2, "c@x.y"), (3, "d@x.y"), (4, "z@x.y"), (9, "n@x.y")]
+    assert sorted(map(tuple, mutations.upsert_or_insert(df.limit(0), changes.where("id is null"), "id", "email").collect())) == [(1, "d@x.y"), (2, "z@x.y")]
+
+
+def test_a_symbol_reaches_the_scans(spark, sf_dir, capsys):
+    market.assets(spark, sf_dir, "p17").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "EqualTo(p_partkey,17)" in plan and "EqualTo(l_partkey,17)" in plan
+    assert market.assets(spark, sf_dir, "none").count() == 0
+
+
+def test_changes_of_every_kind(spark, sf_dir):
+    changes = [r.price_change_24h for r in market.assets(spark, sf_dir).collect()]
+    assert None in changes and 0 in changes and min(c for c in changes if c is not None) < 0 < max(c for c in changes if c is not None)
+
+
 def test_upsert_and_other_states(spark):
     df = assets(spark, (1, "BTC", "Bitcoin", D(65000), None, None, None)).select("symbol", "current_price")
     changes = spark.createDataFrame([("BTC", D(68000), 1), ("BTC", D(70000), 2), ("ETH", D(3200), 1)], "symbol string, current_price decimal(20,8), seq int")

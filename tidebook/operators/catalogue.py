@@ -15,7 +15,7 @@ def scan(assets: DataFrame) -> DataFrame:
 
 
 def by_symbol(assets: DataFrame, symbol: str) -> DataFrame:
-    """The row of a symbol in any case, or none; the equality reaches the scan."""
+    """The row of a symbol in any case, or none. The equality reaches the scan where the symbol is stored; of a derived one, give the source the symbol too."""
     return assets.where(F.col("symbol") == symbol.upper()).limit(1)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,6 +13,29 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFr
     return table.join(last, key, "left_anti").unionByName(last.select(*table.columns))
 
 
+def upsert_by_symbol(table: DataFrame, changes: DataFrame, order: str) -> DataFrame:
+    """upsert() by symbol in any case: 'btc' replaces 'BTC'. All symbols come out in upper case."""
+    upper = lambda df: df.withColumn("symbol", F.upper("symbol"))
+    return upsert(upper(table), upper(changes), "symbol", order)
+
+
+def upsert_or_insert(table: DataFrame, changes: DataFrame, key: str, natural: str) -> DataFrame:
+    """table with the changes: rows with a key replace the row of that key, rows without one are new and get the next keys, in the order of a natural key.
+
+    Changes with a key are one for each key; those whose key the table lacks are added under it.
+    """
+    known = changes.where(F.col(key).isNotNull())
+    fresh = changes.where(F.col(key).isNull())
+    # numbers by a range sort: the rows of earlier tasks come from their counts, one row for each task
+    ranked = fresh.orderBy(natural).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
+    counts = ranked.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_n").withColumnRenamed("_task", "_of")
+    most = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_most"))
+    rows = ranked.join(F.broadcast(before), F.col("_task") == F.col("_of")).crossJoin(F.broadcast(most))  # one row
+    new = rows.withColumn(key, F.col("_most") + 1 + F.col("_before") + F.col("_at") - F.col("_first")).select(*table.columns)
+    return table.join(known.select(key), key, "left_anti").select(*table.columns).unionByName(known).unionByName(new)
+
+
 def set_column(table: DataFrame, where: Column, column: str, value: Column) -> DataFrame:
     """One column set in the rows that a condition is true for."""
     return table.withColumn(column, F.when(where, value).otherwise(F.col(column)))

@@ -22,10 +22,11 @@ AS_OF = datetime(2026, 3, 9, 12, 0, 0)
 
 # Views that the SQL shares.
 TICKS = "ticks AS (SELECT event_id, upper(event_type) AS symbol, ts, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume FROM events)"
-ASSETS = """traded AS (SELECT l_partkey, sum(l_quantity) AS volume_24h, sum(l_extendedprice) AS paid FROM lineitem GROUP BY 1),
+ASSETS = """traded AS (SELECT l_partkey, sum(l_quantity) AS volume_24h, sum(l_extendedprice) AS paid,
+  max_by(l_extendedprice / l_quantity, struct_pack(a := l_shipdate, b := l_orderkey, c := l_linenumber)) AS last_paid FROM lineitem GROUP BY 1),
 assets AS (SELECT p_partkey AS id, upper(concat('p', p_partkey)) AS symbol, p_name AS name, p_retailprice AS current_price,
   round(p_retailprice * volume_24h, 2) AS market_cap, volume_24h,
-  round(100 * (p_retailprice - paid / volume_24h) / (paid / volume_24h), 4) AS price_change_24h FROM part LEFT JOIN traded ON p_partkey = l_partkey)"""
+  CASE WHEN p_partkey % 50 = 0 THEN 0 WHEN p_partkey % 50 = 1 THEN NULL ELSE round(100 * (last_paid - paid / volume_24h) / (paid / volume_24h), 4) END AS price_change_24h FROM part LEFT JOIN traded ON p_partkey = l_partkey)"""
 LOTS = "lots AS (SELECT o_custkey AS user_id, l_partkey AS asset_id, l_quantity AS quantity, l_extendedprice AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 POSITIONS = f"{LOTS}, positions AS (SELECT user_id, asset_id, sum(quantity) AS quantity, sum(cost) AS purchase_value, sum(quantity) * any_value(p_retailprice) AS current_value FROM lots LEFT JOIN part ON asset_id = p_partkey GROUP BY 1, 2)"
 NEWS = "news AS (SELECT d.doc_id, d.text AS title, d.source, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"
@@ -77,7 +78,7 @@ def asset_scan(spark, sf_dir):
 
 @register("asset_by_symbol", f"WITH {ASSETS} SELECT * FROM assets WHERE symbol = 'P17'")
 def asset_by_symbol(spark, sf_dir):
-    return catalogue.by_symbol(market.assets(spark, sf_dir), "p17")
+    return catalogue.by_symbol(market.assets(spark, sf_dir, "p17"), "p17")
 
 
 @register("asset_by_id", f"WITH {ASSETS} SELECT * FROM assets WHERE id = 42")
@@ -227,7 +228,7 @@ def market_overview(spark, sf_dir):
 
 @register(
     "price_as_of",
-    f"""WITH {TICKS}, probes AS (SELECT event_id AS probe_id, upper(event_type) AS symbol, ts + INTERVAL '90 minutes' AS at FROM events WHERE user_id % 7 = 0)
+    f"""WITH {TICKS}, probes AS (SELECT event_id AS probe_id, upper(event_type) AS symbol, ts + INTERVAL '90 minutes' AS at FROM events)
 SELECT p.probe_id, p.symbol, p.at, t.price FROM probes p ASOF LEFT JOIN ticks t ON p.symbol = t.symbol AND p.at >= t.ts""",
 )
 def price_as_of(spark, sf_dir):
@@ -457,6 +458,40 @@ def upsert_assets(spark, sf_dir):
     return mutations.upsert(part, priced(old, 1).union(priced(old, 2)).union(priced(new, 2)), "id", "seq")
 
 
+@register(
+    "upsert_by_symbol",
+    f"""WITH {ASSETS} SELECT symbol, name, CASE WHEN id % 3 = 0 THEN round(current_price * 2, 2) ELSE current_price END AS current_price FROM assets
+UNION ALL SELECT concat('N', id), name, round(current_price * 2, 2) FROM assets WHERE id % 7 = 0""",
+)
+def upsert_by_symbol(spark, sf_dir):
+    rows = market.assets(spark, sf_dir)
+    plain = rows.select("symbol", "name", "current_price")
+    priced = lambda df, k: df.select("symbol", "name", F.round(F.col("current_price") * k, 2).alias("current_price"), F.lit(k).alias("seq"))
+    old, new = rows.where("id % 3 = 0").withColumn("symbol", F.lower("symbol")), rows.where("id % 7 = 0").withColumn("symbol", F.concat(F.lit("n"), F.col("id").cast("string")))
+    return mutations.upsert_by_symbol(plain, priced(rows.where("id % 3 = 0"), 1).union(priced(old, 2)).union(priced(new, 2)), "seq")
+
+
+@register(
+    "upsert_users",
+    f"""WITH {USERS} SELECT id, username, CASE WHEN id % 4 = 0 THEN concat('new.', email) ELSE email END AS email, is_active FROM users
+UNION ALL SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY email), concat('guest ', id), concat('guest.', email), true FROM users WHERE id % 9 = 0""",
+)
+def upsert_users(spark, sf_dir):
+    users = market.users(spark, sf_dir)
+    changed = users.where("id % 4 = 0").withColumn("email", F.concat(F.lit("new."), "email"))
+    guests = users.where("id % 9 = 0").select(F.lit(None).cast("long").alias("id"), F.concat(F.lit("guest "), F.col("id").cast("string")).alias("username"), F.concat(F.lit("guest."), "email").alias("email"), F.lit(True).alias("is_active"))
+    return mutations.upsert_or_insert(users, changed.union(guests), "id", "email")
+
+
+@register(
+    "money_and_percent",
+    f"""WITH {ASSETS} SELECT id, format('${{:,.2f}}', current_price) AS price,
+  concat(CASE WHEN coalesce(price_change_24h, 0) >= 0 THEN '+' ELSE '-' END, format('{{:,.2f}}', abs(coalesce(price_change_24h, 0))), '%') AS change FROM assets""",
+)
+def money_and_percent(spark, sf_dir):
+    return market.assets(spark, sf_dir).select("id", C.money(F.col("current_price")).alias("price"), C.signed_percent(F.col("price_change_24h")).alias("change"))
+
+
 @register("set_column", f"WITH {USERS} SELECT id, username, email, is_active OR id % 10 = 0 AS is_active FROM users")
 def set_column(spark, sf_dir):
     return mutations.set_column(market.users(spark, sf_dir), F.col("id") % 10 == 0, "is_active", F.lit(True))
