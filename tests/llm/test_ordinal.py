@@ -63,6 +63,51 @@ def test_order_of_grades(spark):
     assert {got[i].kept for i in range(0, 90, 3)} == {False}
 
 
+def brute_objective(rows, weights, free):
+    """The penalised negative log-likelihood, by plain loops over words' features."""
+    cuts = [free[0]]
+    for x in free[1:]:
+        cuts.append(cuts[-1] + np.exp(x))
+    above = lambda place, k: 1.0 if k == 0 else 0.0 if k > len(cuts) else 1 / (1 + np.exp(cuts[k - 1] - place))
+    total = O.RIDGE / 2 * float(weights @ weights)
+    for found, grade in rows:
+        place = sum(weights[f] for f in found)
+        total -= np.log(above(place, grade) - above(place, grade + 1))
+    return total / len(rows)
+
+
+def test_the_fit_is_the_optimum(spark, monkeypatch):
+    """By differences of an objective of its own, no weight or threshold can be moved to gain; and scores are what the weights give. Tasks are summed in two rounds."""
+    words = {0: "bad worse", 1: "plain dull", 2: "good fine"}
+    texts = [(f"{words[i % 3]} filler{i % 5}" if i % 8 else f"{words[(i + 1) % 3]} odd", i % 3) for i in range(48)]
+    rated = spark.createDataFrame([(i, *x) for i, x in enumerate(texts)], "doc_id long, text string, grade int")
+    monkeypatch.setattr(O, "FAN", 2)
+    monkeypatch.setattr(O, "materialize", lambda df, label, whole=O.materialize: whole(df.repartition(5), label))
+    monkeypatch.setattr(O, "lbfgs", lambda f, x, whole=O.lbfgs: whole(f, x, tolerance=1e-9))
+    model = O.train(rated)
+    found, counts = O.features([t.encode() for t, _ in texts])
+    rows = list(zip([x.tolist() for x in np.split(found, np.cumsum(counts)[:-1])], [g for _, g in texts]))
+    used = sorted({f for x, _ in rows for f in x})
+    assert np.flatnonzero(model.weights).tolist() == used
+
+    def slope(weights, free, at, k, h=1e-5):
+        sides = []
+        for d in (h, -h):
+            w, f = weights.copy(), free.copy()
+            (w if at == 0 else f)[k] += d
+            sides.append(brute_objective(rows, w, f))
+        return (sides[0] - sides[1]) / (2 * h)
+
+    start = max(abs(slope(np.zeros(O.SIZE), model.free, 0, k)) for k in used[::3])
+    assert max(abs(slope(model.weights, model.free, 0, k)) for k in used[::3]) < 0.01 * start
+    assert max(abs(slope(model.weights, model.free, 1, k)) for k in range(2)) < 0.01 * start
+    cuts = [model.free[0], model.free[0] + np.exp(model.free[1])]
+    for r in O.score(rated, model).collect():
+        place = sum(model.weights[f] for f in rows[r.doc_id][0])
+        tails = [1 / (1 + np.exp(c - place)) for c in cuts]
+        assert (r.expected_grade, r.tail_probability, r.harmful_probability) == pytest.approx((sum(tails), tails[1], 1 - tails[0]))
+
+
 def test_messy_and_empty_tables(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(3, 1, 0), (3, 0, 0), (9, None, None), (12, None, 1), (None, 1, 0), (10**9, 1, 0)], "doc_id long, quality int, toxic int")

@@ -3,7 +3,7 @@
 A text is a set of hashed features: its words, their beginnings, and their last bytes. One weight vector, shared by all grades, gives a
 text's place on one line; ordered thresholds cut the line into grades: P(grade >= k) = logistic(place - threshold k). It is fitted
 by L-BFGS (Liu and Nocedal, 1989) over all rated texts: their features are written once, and each evaluation of loss and gradient is a job over
-them by a bounded number of tasks. The weights, one vector of fixed size, are broadcast, and a gradient of that size comes back from each task.
+them. The weights, one vector of fixed size, are broadcast; the tasks' gradients are summed slice by slice on the executors, and one vector comes back.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,8 @@ GRADES = 3
 RIDGE, ROUNDS, MEMORY = 3.0, 30, 8
 #: A text is kept if the top grade has at least this probability.
 LEAST = 0.4
-#: Tasks of an evaluation; each sends one gradient of SIZE single-precision numbers to the driver.
-TASKS = 24
+#: Slices in which gradients are summed; tasks whose slices are summed at once.
+SLICES, FAN = 8, 64
 #: Bytes of a word's beginnings and ending that are features.
 HEADS, TAIL = (3, 5, 7), 3
 PIECE = 2 << 20
@@ -104,12 +105,35 @@ def loss_and_slopes(place: np.ndarray, grade: np.ndarray, free: np.ndarray) -> t
     return float(-np.log(p).sum()), dl - du, by_free
 
 
+PART = "slice int, salt int, gradient binary, rest binary"
+REST = SLICES
+
+
+def _part(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    """Slices of gradients in single precision, and under the number REST the other sums in double precision."""
+    columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32())]
+    data = [[x.astype(np.float32).tobytes() if k < REST else b"" for k, _, x in rows], [x.tobytes() if k == REST else b"" for k, _, x in rows]]
+    return pa.RecordBatch.from_arrays([*columns, *(pa.array(d, pa.binary()) for d in data)], names=["slice", "salt", "gradient", "rest"])
+
+
+def _total(rows: pa.Table) -> tuple[int, np.ndarray]:
+    k = rows.column("slice")[0].as_py()
+    parts = rows.column("gradient" if k < REST else "rest").to_pylist()
+    return k, sum((np.frombuffer(x, np.float32 if k < REST else np.float64) for x in parts), np.zeros(1))
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    k, x = _total(rows)
+    return pa.Table.from_batches([_part([(k, rows.column("salt")[0].as_py(), x)])])
+
+
 class _Objective:
-    """Loss and gradient over the written features; each call is one job of at most TASKS tasks."""
+    """Loss and gradient over the written features; each call is one job."""
 
     def __init__(self, rated: DataFrame):
-        self.rated, self.spark = rated.coalesce(TASKS), rated.sparkSession
-        self.n = max(1, rated.count())
+        self.rated, self.spark = rated, rated.sparkSession
+        self.n, tasks = rated.select(F.spark_partition_id().alias("task")).agg(F.count("*"), F.max("task")).first()
+        self.tasks = 1 + (tasks or 0)
 
     def __call__(self, x: np.ndarray) -> tuple[float, np.ndarray]:
         shared = self.spark.sparkContext.broadcast(x)
@@ -126,12 +150,23 @@ class _Objective:
                 lost, slope, by_free = loss_and_slopes(place, batch.column("grade").to_numpy().astype(np.int64), free)
                 gradient += np.bincount(found, np.repeat(slope, counts), SIZE)
                 rest += np.append(by_free, lost)
-            yield pa.RecordBatch.from_arrays([pa.array([gradient.astype(np.float32).tobytes()], pa.binary()), pa.array([rest.tobytes()], pa.binary())], names=["gradient", "rest"])
+            salt = TaskContext.get().partitionId() // FAN
+            yield _part([*((k, salt, g) for k, g in enumerate(np.split(gradient, SLICES))), (REST, salt, rest)])
 
+        sums, tasks = self.rated.mapInArrow(run, PART), self.tasks
+        while True:
+            sums = sums.groupBy("slice", "salt").applyInArrow(_summed, PART)
+            if tasks <= FAN:
+                break
+            tasks = -(-tasks // FAN)
+            sums = sums.withColumn("salt", F.expr(f"salt div {FAN}").cast("int"))
         total = np.zeros(len(x) + 1)
-        for row in self.rated.mapInArrow(run, "gradient binary, rest binary").collect():
-            total[:SIZE] += np.frombuffer(row.gradient, np.float32)
-            total[SIZE:] += np.frombuffer(row.rest)
+        for row in sums.toArrow().to_pylist():  # one row for each slice
+            k = row["slice"]
+            if k < REST:
+                total[k * SIZE // SLICES : (k + 1) * SIZE // SLICES] = np.frombuffer(row["gradient"], np.float32)
+            else:
+                total[SIZE:] = np.frombuffer(row["rest"])
         shared.destroy()
         ridge = np.concatenate([np.full(SIZE, RIDGE), np.zeros(len(x) - SIZE)])
         return (total[-1] + 0.5 * float(ridge @ (x * x))) / self.n, (total[:-1] + ridge * x) / self.n
