@@ -18,8 +18,12 @@ def symbol_valid(c: Column) -> Column:
     return F.coalesce(c.rlike("^\\p{L}+$"), F.lit(False))
 
 
+#: Fixed value: the addresses that count as valid.
+_EMAIL = "(?U)^[\\w.+-]+@([\\w-]+\\.)+[a-zA-Z]{2,}$"
+
+
 def email_valid(c: Column) -> Column:
-    return F.coalesce(c.rlike("(?U)^[\\w.+-]+@([\\w-]+\\.)+[a-zA-Z]{2,}$"), F.lit(False))
+    return F.coalesce(c.rlike(_EMAIL), F.lit(False))
 
 
 def user_valid(email: Column, username: Column) -> Column:

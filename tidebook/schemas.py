@@ -17,19 +17,9 @@ ASSET = _schema(
     "id long, symbol string, name string, current_price decimal(20,8), market_cap decimal(30,2), volume_24h decimal(30,2), "
     "price_change_24h decimal(10,4), coingecko_id string, logo_url string, asset_address string, decimals integer"
 )
-SNAPSHOT = _schema(
-    "asset_symbol string, price decimal(20,8), volume decimal(30,2), timestamp timestamp, market_cap decimal(38,2), fully_diluted_valuation decimal(38,4), "
-    "circulating_supply decimal(38,4), total_supply decimal(38,4), max_supply decimal(38,4), ath decimal(38,8), ath_date timestamp, atl decimal(38,8), atl_date timestamp, "
-    "price_change_pct_24h decimal(18,8), price_change_pct_7d decimal(18,8), price_change_pct_30d decimal(18,8)"
-)
-POSITION = _schema("user_id long, asset_symbol string, quantity decimal(38,18), purchase_value_usd decimal(38,18), current_value_usd decimal(38,18)")
-ANALYSIS = _schema("id long, asset_symbol string, analysis_type string, status string, result string")
-NEWS = _schema("title string, url string, source string, published_at timestamp, sentiment string, relevance_score double")
 
 #: Output columns, in order.
 ASSET_CONTRACT = ["id", "symbol", "name", "current_price", "market_cap", "volume_24h", "price_change_24h", "is_bullish_24h", "coingecko_id", "logo_url", "asset_address", "decimals"]
 CANDLE_CONTRACT = ["open_time", "open", "high", "low", "close", "volume"]
-ONCHAIN_CONTRACT = ["metric", "symbol", "timestamp", "value", "source"]
 NEWS_CONTRACT = ["title", "url", "source", "published_at", "sentiment", "relevance_score"]
 OVERVIEW_CONTRACT = ["total_market_cap_usd", "total_volume_24h_usd", "btc_dominance_pct", "fear_greed_index", "updated_at"]
-ANALYSIS_CONTRACT = ["id", "asset_symbol", "analysis_type", "status", "result"]
