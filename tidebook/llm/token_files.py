@@ -218,6 +218,12 @@ def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark takes it: one without a scheme is on the default file system."""
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
+    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) or default.startswith("file:") else default.rstrip("/") + path
+
+
 class FileWriter:
     """Appends documents to one file; close() returns documents and IDs written."""
 
@@ -358,6 +364,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
         columns = zip(*done, strict=True) if done else ((),) * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
+    folder = qualified(docs.sparkSession, folder)
     fs, top = open_fs(folder)
     fs.create_dir(top, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).orderBy("doc_id", F.xxhash64("text"))
@@ -372,6 +379,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, dige
 
     A file is read by one task, frame by frame. Starts come from a running sum over the manifest: one row for each file.
     """
+    folder = qualified(spark, folder)
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.withColumn("begin", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long"))).select("name", "begin")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
