@@ -29,22 +29,19 @@ POWER = 0.7
 HASH_BITS = 52
 SEED = "mix-"
 
-#: Topics are told by the form of the text, the first that fits, from shares of its lines or characters on.
-SYMBOLS, DIGITS, CAPITALS = "#*$%&<>{}[]=+_~^\\/@", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MOST_LINES, MANY_SYMBOLS, MANY_DIGITS, MANY_CAPITALS = 0.5, 0.05, 0.2, 0.3
-LIST_LINE, SPACES = "(^|\\n) *([-*]|[0-9]+[.)]) ", " \t\n\x0b\x0c\r"
+#: Topics are told by the form of the text, the first that fits, from shares of its lines or of its characters on.
+SYMBOLS, DIGITS, CAPITALS = "[#*$%&<>{}=+_~/@]", "[0-9]", "[A-Z]"
+MOST_LINES, MANY_SYMBOLS, MANY_DIGITS, MANY_CAPITALS = 0.5, 0.05, 0.2, 0.25
+LIST_LINE = "(^|\\n) *([-*]|[0-9]+[.)]) "
 TOPICS = ["tables", "lists", "symbols", "numbers", "capitals", "prose"]
 
 
 def topic_of(text: Column) -> Column:
-    lines = F.regexp_count(text, F.lit("\n")) + 1
-    among = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
-    chars = F.length(F.translate(text, SPACES, ""))
-    letters = among(CAPITALS + CAPITALS.lower())
+    chars, lines = F.length(text), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     ruled = F.size(F.filter(F.split(text, "\n"), lambda x: x.contains("|") | x.contains("\t")))
-    out = F.when(ruled >= MOST_LINES * lines, "tables").when(F.regexp_count(text, F.lit(LIST_LINE)) >= MOST_LINES * lines, "lists")
-    out = out.when((chars > 0) & (among(SYMBOLS) >= MANY_SYMBOLS * chars), "symbols").when((chars > 0) & (among(DIGITS) >= MANY_DIGITS * chars), "numbers")
-    return out.when((letters > 0) & (among(CAPITALS) >= MANY_CAPITALS * letters), "capitals").otherwise("prose")
+    many = lambda pattern, share: (chars > 0) & (F.regexp_count(text, F.lit(pattern)) >= share * chars)
+    out = F.when((text.contains("|") | text.contains("\t")) & (ruled >= MOST_LINES * lines), "tables").when(F.regexp_count(text, F.lit(LIST_LINE)) >= MOST_LINES * lines, "lists")
+    return out.when(many(SYMBOLS, MANY_SYMBOLS), "symbols").when(many(DIGITS, MANY_DIGITS), "numbers").when(many(CAPITALS, MANY_CAPITALS), "capitals").otherwise("prose")
 
 
 def token_count(text: Column) -> Column:
@@ -208,14 +205,11 @@ def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None,
 def oracle_sql(sweeps: int = 40) -> str:
     """The same in DuckDB's SQL, for the default targets: each step of the raking is a common table expression, and there are more sweeps than the tolerance takes."""
     split = "[^\\x20\\x09-\\x0D]+"
-    quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    among = lambda chars: f"(len(t) - len(translate(t, {quoted(chars)}, '')))"
-    spaces = "concat(" + ", ".join(f"chr({ord(c)})" for c in SPACES) + ")"
-    lines, chars, letters = "(len(t) - len(replace(t, chr(10), '')) + 1)", f"len(translate(t, {spaces}, ''))", among(CAPITALS + CAPITALS.lower())
-    of_lines = lambda pattern: f"len(regexp_extract_all(t, {quoted(pattern)})) >= {MOST_LINES} * {lines}"
+    lines, count = "(len(t) - len(replace(t, chr(10), '')) + 1)", lambda pattern: f"len(regexp_extract_all(t, '{pattern}'))"
+    many = lambda pattern, share: f"len(t) > 0 AND {count(pattern)} >= {share} * len(t)"
     ruled = "len([x for x in string_split(t, chr(10)) if contains(x, '|') OR contains(x, chr(9))])"
-    topic = f"""CASE WHEN {ruled} >= {MOST_LINES} * {lines} THEN 'tables' WHEN {of_lines(LIST_LINE)} THEN 'lists' WHEN {chars} > 0 AND {among(SYMBOLS)} >= {MANY_SYMBOLS} * {chars} THEN 'symbols'
-WHEN {chars} > 0 AND {among(DIGITS)} >= {MANY_DIGITS} * {chars} THEN 'numbers' WHEN {letters} > 0 AND {among(CAPITALS)} >= {MANY_CAPITALS} * {letters} THEN 'capitals' ELSE 'prose' END"""
+    topic = f"""CASE WHEN {ruled} >= {MOST_LINES} * {lines} THEN 'tables' WHEN {count(LIST_LINE)} >= {MOST_LINES} * {lines} THEN 'lists' WHEN {many(SYMBOLS, MANY_SYMBOLS)} THEN 'symbols'
+WHEN {many(DIGITS, MANY_DIGITS)} THEN 'numbers' WHEN {many(CAPITALS, MANY_CAPITALS)} THEN 'capitals' ELSE 'prose' END"""
     parts = [
         "base AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents)",
         f"rows AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST(len(regexp_extract_all(t, '{split}')) AS BIGINT) AS n_tokens FROM base)",
