@@ -16,6 +16,7 @@ from tidebook.llm.sharding import shard_documents
 from tidebook.llm.simhash import near_duplicates
 from tidebook.llm.suffixes import removals
 from tidebook.llm.token_files import token_digests
+from tidebook.llm.whitening import whitening_report
 
 
 def tokenizer_path() -> str:
@@ -64,7 +65,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup)
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup, op12_whitening)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
