@@ -12,6 +12,7 @@ from tidebook.llm.html_text import extract
 from tidebook.llm.ngram_filter import lm_scores
 from tidebook.llm.ordinal import classify
 from tidebook.llm.quality_rules import quality_report
+from tidebook.llm.secrets import secret_report
 from tidebook.llm.sharding import shard_documents
 from tidebook.llm.simhash import near_duplicates
 from tidebook.llm.suffixes import removals
@@ -69,7 +70,11 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(table(spark, sf_dir, "embeddings"))
 
 
-ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup, op12_whitening)
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup, op12_whitening, op13_secret_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
