@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -82,14 +83,15 @@ def test_deviation_past_64_bits(spark):
     rows = [(0, [large, 0.0]), (1, [-large, 0.0]), (2, [0.0, 0.0])]
     found = {r.vec_id: r.deviation for r in whitening_report(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert found == {0: None, 1: None, 2: 0}
-    near = [(0, [2.0**19, 0.0]), (1, [-(2.0**19), 0.0])]
-    vectors, of = whiten(spark.createDataFrame(near, SCHEMA))
-    assert {r[0] for r in vectors.select(whitening.deviation(of)).collect()} == {2**60}
-    assert {r[0] for r in vectors.select(whitening.deviation(whitening.Whitening(of.n, of.sums, of.least, (1 << 40, 0), of.values, of.vectors, of.trace))).collect()} == {2**60}
+    rows = [(i, [2.0**k, 0.0]) for i, k in enumerate((18, 19, 20))]
+    vectors, of = whiten(spark.createDataFrame(rows, SCHEMA))
+    wide = replace(of, greatest=(1 << 40, 0))
+    x = np.array([r[0] for r in vectors.select("_x").collect()])
+    assert whitening.deviations(x, of) == whitening.deviations(x, wide) == [sum((3 * a - s) ** 2 for a, s in zip(v, of.sums)) for v in x.tolist()]
 
 
-def test_pairs_in_several_passes(spark, monkeypatch):
+def test_every_pair_of_dimensions(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, rng.normal(size=6).tolist()) for i in range(50)]
-    monkeypatch.setattr(whitening, "PAIRS", 4)
-    held(whitening_report(spark.createDataFrame(rows, SCHEMA)).collect(), plain(rows))
+    for d in (1, 2, 3, 6, 9):
+        rows = [(i, (rng.normal(size=d) * range(1, d + 1)).tolist()) for i in range(50)]
+        held(whitening_report(spark.createDataFrame(rows, SCHEMA)).collect(), plain(rows))

@@ -1,18 +1,21 @@
 """Embedding whitening: principal components from one aggregation over all pairs of dimensions.
 
 Vectors become whole numbers first, so that counts and sums are exact. A first aggregation has the number of vectors and each dimension's sum; a
-second one is a generated list of Spark SQL expressions, a sum of centred products for each pair of dimensions in the upper triangle. Both combine before the shuffle, so
-what travels is one row for each task, and what comes to the driver is one row, whatever the number of vectors. There the row becomes the covariance,
-and LAPACK's symmetric eigensolver gives its components. Projections are generated expressions again.
+second one has generated Spark SQL expressions that sum the centred products of every pair of dimensions in the upper triangle. Both combine before the shuffle, so
+what travels from a task is the size of the covariance, and so is what comes to the driver, whatever the number of vectors. There it is assembled,
+and LAPACK's symmetric eigensolver gives its components; the vectors are projected where they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidebook.llm.common import replacing
 
@@ -21,8 +24,6 @@ SCALE, SHIFT = 1024, 100_000
 COMPONENTS = 8
 #: Entries of this magnitude or more are no whole number of 64 bits once scaled; a vector with one is dropped like one with an infinite entry.
 TOO_LARGE = float(1 << 52)
-#: Pairs of dimensions in one aggregation: all of them up to 90 dimensions; the pairs of wider vectors take several passes.
-PAIRS = 4096
 #: A component whose share of the largest eigenvalue is not above this has no spread but rounding.
 NO_SPREAD = 1e-12
 
@@ -60,21 +61,21 @@ def common_length(rows: DataFrame, column: str = "_x") -> int:
     return most["size"] if most else 0
 
 
-def _centred(rows: DataFrame, sums: tuple[int, ...], n: int) -> DataFrame:
-    """Columns _d0, _d1 ...: each dimension less its mean."""
-    return rows.select(*(F.expr(f"get(_x, {i}) - {s / n!r}D").alias(f"_d{i}") for i, s in enumerate(sums)))
-
-
 def covariance(rows: DataFrame, sums: tuple[int, ...], n: int) -> np.ndarray:
-    """The covariance (divisor n) of the column _x, of rows whose sums and number are given."""
+    """The covariance (divisor n) of the column _x, of rows whose sums and number are given.
+
+    Turned by o places, a centred vector stands beside itself so that dimension i meets i + o (modulo their number): turns up to the half bring every pair together. So all pairs are
+    one aggregation by turn, with a generated sum for each dimension, and the plan grows with the dimensions, not with their square.
+    """
     d = len(sums)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    found: list[float] = []
-    for at in range(0, len(pairs), PAIRS):
-        found += _centred(rows, sums, n).selectExpr(*(f"sum(_d{i} * _d{j}) AS _{i}_{j}" for i, j in pairs[at : at + PAIRS])).first()
+    centred = rows.select(F.expr(f"array({', '.join(f'coalesce(get(_x, {i}), 0L) - {s / n!r}D' for i, s in enumerate(sums))})").alias("_d"))
+    turned = centred.select("_d", F.explode(F.sequence(F.lit(0), F.lit(d // 2))).alias("_o")).withColumn("_r", F.expr(f"concat(slice(_d, _o + 1, {d} - _o), slice(_d, 1, _o))"))
+    found = turned.groupBy("_o").agg(*(F.expr(f"sum(_d[{i}] * _r[{i}])").alias(f"_{i}") for i in range(d))).collect()
     out = np.zeros((d, d))
-    for (i, j), v in zip(pairs, found, strict=True):
-        out[i, j] = out[j, i] = v / n
+    for row in found:
+        i = np.arange(d)
+        j = (i + row["_o"]) % d
+        out[i, j] = out[j, i] = np.array(row[1:]) / n
     return out
 
 
@@ -90,27 +91,29 @@ def fit(vectors: DataFrame) -> Whitening | None:
     return Whitening(n, sums, least, greatest, np.maximum(values[::-1], 0.0), columns.T[::-1], float(np.trace(cov)))
 
 
-def deviation(of: Whitening) -> Column:
-    """The sum over dimensions of (n * x - S)^2, exact; null where it passes 64 bits. The fit's own bounds tell whether 64 bits are enough for every row."""
+def deviations(x: np.ndarray, of: Whitening) -> list[int | None]:
+    """Of each whole vector the sum over dimensions of (n * x - S)^2, exact; None where it passes 64 bits. The fit's own bounds tell whether 64 bits are enough for every row."""
     reach = sum(max(of.n * hi - s, s - of.n * lo) ** 2 for s, lo, hi in zip(of.sums, of.least, of.greatest, strict=True))
     if reach < 1 << 63:
-        off = [f"({of.n}L * get(_x, {i}) - {s}L)" for i, s in enumerate(of.sums)]
-        return F.expr(" + ".join(f"{o} * {o}" for o in off))
-    off = [f"CAST({of.n} * CAST(get(_x, {i}) AS DECIMAL(19,0)) - {s} AS DECIMAL(19,0))" for i, s in enumerate(of.sums)]
-    return F.expr(f"try_cast({' + '.join(f'CAST({o} * {o} AS DECIMAL(38,0))' for o in off)} AS BIGINT)")
+        return ((of.n * x - np.array(of.sums, np.int64)) ** 2).sum(axis=1).tolist()
+    exact = ((of.n * x.astype(object) - np.array(of.sums, object)) ** 2).sum(axis=1)
+    return [v if v < 1 << 63 else None for v in exact.tolist()]
 
 
-def projection(of: Whitening, k: int) -> Column:
-    """The centred vector on component k (from 0), over the root of its eigenvalue; null for a component without spread."""
-    if not of.spread(k):
-        return F.lit(None).cast("double")
-    weights = of.vectors[k] / np.sqrt(of.values[k])
-    return F.expr(" + ".join(f"(get(_x, {i}) - {s / of.n!r}D) * {float(w)!r}D" for i, (s, w) in enumerate(zip(of.sums, weights, strict=True))))
+def whitened(vectors: DataFrame, of: Whitening, components: int = COMPONENTS, column: str = "whitened") -> DataFrame:
+    """vectors (with _x) with an array of their first components, each the centred vector's projection over the root of the eigenvalue (null for a component without spread), and _deviation."""
+    ks = [k for k in range(min(components, of.dimensions)) if of.spread(k)]
+    mean = np.array([s / of.n for s in of.sums])
+    weights = (of.vectors[ks] / np.sqrt(of.values[ks])[:, None]).T
+    rest = [None] * (min(components, of.dimensions) - len(ks))  # eigenvalues fall: what has no spread comes last
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy().reshape(-1, of.dimensions)
+            projected = pa.array([v + rest for v in ((x - mean) @ weights).tolist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, projected, pa.array(deviations(x, of), pa.int64())], names=[*batch.schema.names, column, "_deviation"])
 
-def whitened(vectors: DataFrame, of: Whitening, components: int = COMPONENTS, column: str = "whitened") -> DataFrame:
-    """vectors (with _x) with an array of their first components, whitened."""
-    return vectors.withColumn(column, F.array(*(projection(of, k) for k in range(min(components, of.dimensions)))))
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields, StructField(column, ArrayType(DoubleType())), StructField("_deviation", LongType())]))
 
 
 def identity_error(white: DataFrame, of: Whitening, components: int = COMPONENTS, column: str = "whitened") -> float | None:
@@ -124,14 +127,14 @@ def identity_error(white: DataFrame, of: Whitening, components: int = COMPONENTS
 
 
 def whiten(rows: DataFrame, vector: str = "embedding", components: int = COMPONENTS) -> tuple[DataFrame, Whitening | None]:
-    """rows with _x and whitened, an array of their first components, and the fit. Rows with a null, not finite or too large entry are dropped, and so are those whose
-    vector has not the length of most; a repeated row counts as often as it occurs. Other columns stay, but for ones of these two names."""
-    vectors = whole_vectors(replacing(rows, "_x", "whitened"), vector)
+    """rows with _x, whitened (an array of their first components) and _deviation, and the fit. Rows with a null, not finite or too large entry are dropped, and so are those whose
+    vector has not the length of most; a repeated row counts as often as it occurs. Other columns stay, but for ones of these names."""
+    vectors = whole_vectors(replacing(rows, "_x", "whitened", "_deviation"), vector)
     d = common_length(vectors)
     vectors = vectors.where(F.size("_x") == d) if d else vectors.limit(0)
     of = fit(vectors)
     if of is None:
-        return vectors.withColumn("whitened", F.array().cast("array<double>")), None
+        return vectors.withColumns({"whitened": F.array().cast("array<double>"), "_deviation": F.lit(None).cast("long")}), None
     return whitened(vectors, of, components), of
 
 
@@ -149,5 +152,5 @@ def whitening_report(rows: DataFrame, components: int = COMPONENTS) -> DataFrame
         return white.select("vec_id", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in kinds.split(", "))))
     shares = F.array(*(F.lit(float(v / of.trace) if of.trace > 0 else None).cast("double") for v in of.values[: min(components, of.dimensions)]))
     error = F.lit(identity_error(white, of, components)).cast("double")
-    each = white.select("vec_id", deviation(of).alias("deviation"), F.posexplode("whitened").alias("_k", "whitened"))
+    each = white.select("vec_id", F.col("_deviation").alias("deviation"), F.posexplode("whitened").alias("_k", "whitened"))
     return each.select("vec_id", (F.col("_k") + 1).alias("component"), F.lit(of.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("_k")).alias("explained"), error.alias("identity_error"))
