@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebook.llm import decontamination, mixing
+from tidebook.llm import collocations, decontamination, mixing
 from tidebook.llm.common import table
 from tidebook.llm.html_text import extract
 from tidebook.llm.ngram_filter import lm_scores
@@ -66,6 +66,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening_report(table(spark, sf_dir, "embeddings"))
 
@@ -74,7 +78,7 @@ def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup, op12_whitening, op13_secret_scans)
+ALL = (op1_sharding, op2_quality_rules, op3_simhash_near_dedup, op4_quality_classifier, op5_decontamination, op6_token_files, op7_mixing, op8_html_extraction, op9_lm_scoring, op10_suffix_dedup, op11_collocations, op12_whitening, op13_secret_scans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -82,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontamination.oracle_sql(), "op7_mixing": mixing.oracle_sql()}
+    return {"op5_decontamination": decontamination.oracle_sql(), "op7_mixing": mixing.oracle_sql(), "op11_collocations": collocations.oracle_sql()}
