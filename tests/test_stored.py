@@ -1,0 +1,88 @@
+from datetime import datetime
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from tidebook.operators import mutations
+from tidebook.sources.stored import StoredTable
+
+
+def files(path) -> dict[str, set[str]]:
+    return {d.name: {f.name for f in d.glob("*.parquet")} for d in Path(path).glob("_bucket=*")}
+
+
+def test_only_touched_folders_are_written(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("S"), "id").alias("symbol"), F.col("id").alias("price"))
+    table = StoredTable.create(rows, str(tmp_path / "t"), "symbol", 16)
+    before = files(tmp_path / "t")
+    assert len(before) == 16 and all(len(f) == 1 for f in before.values())
+    table = StoredTable(spark, str(tmp_path / "t"))  # as a later run opens it
+    changes = spark.createDataFrame([("S7", 70, 2), ("S7", 71, 1), ("NEW", 1, 1)], "symbol string, price long, seq int")
+    table.upsert(changes, "seq")
+    after = files(tmp_path / "t")
+    touched = {d for d in after if after[d] != before.get(d)}
+    assert 1 <= len(touched) <= 2
+    wanted = mutations.upsert(rows, changes, "symbol", "seq")
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, wanted.collect()))
+    table.upsert(changes, "seq")  # again: the same rows
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, wanted.collect()))
+    assert [tuple(r) for r in table.find("S7").collect()] == [("S7", 70)] and table.find("none").count() == 0
+    table.upsert(changes.limit(0), "seq")
+    assert table.read().count() == 401
+
+
+def test_a_find_reads_one_folder(spark, tmp_path, capsys):
+    table = StoredTable.create(spark.range(100).withColumn("v", F.col("id")), str(tmp_path / "t"), "id", 8)
+    table.find(42).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(_bucket" in plan and "EqualTo(id,42)" in plan
+    assert table.find(42).first() == (42, 42)
+
+
+def test_newest_rows_stay(spark, tmp_path):
+    table = StoredTable.create(spark.createDataFrame([], "symbol string, at long, price long"), str(tmp_path / "t"), "symbol", 4)
+    assert table.read().count() == 0
+    first = spark.createDataFrame([("A", 1, 10), ("A", 3, 30), ("B", 2, 20), (None, 1, 1)], "symbol string, at long, price long")
+    second = spark.createDataFrame([("A", 2, 99), ("B", 5, 50)], "symbol string, at long, price long")
+    for rows in (first, second, second, first, first):
+        table.merge_newest(rows, ["at"])
+        if rows is second:
+            assert sorted(map(tuple, table.read().collect())) == [("A", 3, 30), ("B", 5, 50)]
+    assert sorted(map(tuple, table.read().collect())) == [("A", 3, 30), ("B", 5, 50)]
+
+
+def test_a_change_without_a_key_is_refused(spark, tmp_path):
+    table = StoredTable.create(spark.createDataFrame([("A", datetime(2024, 1, 1))], "symbol string, at timestamp"), str(tmp_path / "t"), "symbol", 2)
+    with pytest.raises(Exception, match="a change without a key"):
+        table.upsert(spark.createDataFrame([(None, None, 1)], "symbol string, at timestamp, seq int"), "seq")
+    assert table.read().count() == 1
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_new_users_all_get_a_number(spark, tmp_path, adaptive):
+    """Many wide new rows, whose sort spreads over many tasks: none is lost, and keys are distinct and gapless."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        n = 300_000
+        users = spark.range(1, 11).select("id", F.concat(F.lit("old"), "id").alias("email"), F.lit("x").alias("bio"))
+        fresh = spark.range(n).select(F.lit(None).cast("long").alias("id"), F.concat(F.lpad(F.hash("id").cast("string"), 12, "0"), F.lit("-"), "id").alias("email"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("bio"))
+        fresh.write.parquet(str(tmp_path / "fresh"))
+        mutations.upsert_or_insert(users, spark.read.parquet(str(tmp_path / "fresh")), "id", "email").write.parquet(str(tmp_path / "out"))
+        out = spark.read.parquet(str(tmp_path / "out"))
+        assert out.agg(F.count("*"), F.count_distinct("id"), F.min("id"), F.max("id")).first() == (n + 10, n + 10, 1, n + 10)
+        assert out.agg(F.count_distinct("email")).first()[0] == n + 10
+        new = out.where("id > 10").withColumn("before", F.expr("lag(email) OVER (ORDER BY id)"))
+        assert new.where("before >= email").count() == 0  # numbered in the order of the natural key
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_two_changes_of_one_user(spark):
+    users = spark.createDataFrame([(1, "a"), (2, "b")], "id long, email string")
+    changes = spark.createDataFrame([(1, "z", 1), (1, "c", 2), (7, "q", 1), (None, "n", 1)], "id long, email string, seq int")
+    assert sorted(map(tuple, mutations.upsert_or_insert(users, changes, "id", "email", "seq").collect())) == [(1, "c"), (2, "b"), (7, "q"), (8, "n")]
+    assert sorted(map(tuple, mutations.upsert_or_insert(users, changes.drop("seq"), "id", "email").collect())) == [(1, "z"), (2, "b"), (7, "q"), (8, "n")]

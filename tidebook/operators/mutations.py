@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.sources.market import materialize
+
 
 def upsert(table: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
     """table with the changes: for each key the change of the highest order replaces the row, or is a new row."""
@@ -19,20 +21,32 @@ def upsert_by_symbol(table: DataFrame, changes: DataFrame, order: str) -> DataFr
     return upsert(upper(table), upper(changes), "symbol", order)
 
 
-def upsert_or_insert(table: DataFrame, changes: DataFrame, key: str, natural: str) -> DataFrame:
+def numbered(df: DataFrame, order: list[str], column: str) -> DataFrame:
+    """df with a gapless number from 1 in the order of some columns, whatever its size.
+
+    A range sort spreads the rows over tasks. They are written once in that order, as a sort that is computed twice need not split alike; then a task's first number comes from the counts of
+    the tasks before it, one row for each task.
+    """
+    rows = materialize(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_task", F.shiftright("_at", 33))
+    counts = rows.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    firsts = counts.select(F.col("_task").alias("_of"), "_first", before.alias("_before"))
+    placed = rows.join(F.broadcast(firsts), F.col("_task") == F.col("_of"), "left")
+    number = F.coalesce(F.col("_before") + 1 + F.col("_at") - F.col("_first"), F.raise_error(F.lit("a row without its task")).cast("long"))
+    return placed.select(*df.columns, number.alias(column))
+
+
+def upsert_or_insert(table: DataFrame, changes: DataFrame, key: str, natural: str, order: str | None = None) -> DataFrame:
     """table with the changes: rows with a key replace the row of that key, rows without one are new and get the next keys, in the order of a natural key.
 
-    Changes with a key are one for each key; those whose key the table lacks are added under it.
+    Of several changes of one key that of the highest `order` (a column of the changes) counts, without one that of the greatest natural key. Keys that the table lacks are added as they are; new keys go on
+    from the greatest of both.
     """
-    known = changes.where(F.col(key).isNotNull())
-    fresh = changes.where(F.col(key).isNull())
-    # numbers by a range sort: the rows of earlier tasks come from their counts, one row for each task
-    ranked = fresh.orderBy(natural).withColumn("_at", F.monotonically_increasing_id()).withColumn("_task", F.shiftright("_at", 33))
-    counts = ranked.groupBy("_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))).drop("_n").withColumnRenamed("_task", "_of")
-    most = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("_most"))
-    rows = ranked.join(F.broadcast(before), F.col("_task") == F.col("_of")).crossJoin(F.broadcast(most))  # one row
-    new = rows.withColumn(key, F.col("_most") + 1 + F.col("_before") + F.col("_at") - F.col("_first")).select(*table.columns)
+    last = F.max_by(F.struct(*table.columns), F.col(order) if order else F.struct(natural, *table.columns)).alias("_last")
+    known = changes.where(F.col(key).isNotNull()).groupBy(key).agg(last).select("_last.*")
+    most = table.select(key).union(known.select(key)).agg(F.coalesce(F.max(key), F.lit(0)).alias("_most"))
+    fresh = changes.where(F.col(key).isNull()).select(*table.columns)
+    new = numbered(fresh, [natural], "_number").crossJoin(F.broadcast(most)).withColumn(key, F.col("_most") + F.col("_number")).select(*table.columns)  # most: one row
     return table.join(known.select(key), key, "left_anti").select(*table.columns).unionByName(known).unionByName(new)
 
 

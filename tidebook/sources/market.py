@@ -28,6 +28,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write df to the shared folder and read it back: it is computed once, whatever reads it, and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, symbol, ts, price, volume: one row for each event; event_id breaks ties of ts."""
     volume = F.get_json_object("props", "$.k").cast("long")
