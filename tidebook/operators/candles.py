@@ -21,6 +21,24 @@ def candles(ticks: DataFrame, interval: str = "1h") -> DataFrame:
     return ticks.groupBy("symbol", bucket.alias("open_time")).agg(*candle_measures())
 
 
+def gapless(candles: DataFrame, interval: str = "1h") -> DataFrame:
+    """candles of one interval with a row for each interval from a symbol's first candle to its last: where there was no tick, all prices are the close before, and the volume is 0.
+
+    Each candle is repeated up to the next one. Within a day's slice of a symbol a window finds that; the last candle of a slice takes the first of the next slice, one row for
+    each symbol and day. So no task needs a symbol's candles together.
+    """
+    step = f"INTERVAL {INTERVAL_MINUTES[one_of(interval, INTERVAL_MINUTES, 'interval')]} MINUTES"
+    sliced = candles.withColumn("_day", F.date_trunc("day", "open_time").cast("timestamp_ntz"))
+    firsts = sliced.groupBy(F.col("symbol").alias("_s"), F.col("_day").alias("_d")).agg(F.min("open_time").alias("_first"))
+    nexts = firsts.select("_s", "_d", F.lead("_first").over(Window.partitionBy("_s").orderBy("_d")).alias("_next"))
+    rows = sliced.withColumn("_until", F.lead("open_time").over(Window.partitionBy("symbol", "_day").orderBy("open_time")))
+    rows = rows.join(nexts, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_day") == F.col("_d"))).withColumn("_until", F.coalesce("_until", "_next"))
+    each = rows.withColumn("_at", F.explode(F.expr(f"sequence(open_time, coalesce(_until - {step}, open_time), {step})")))
+    own = F.col("_at") == F.col("open_time")
+    prices = [F.when(own, F.col(c)).otherwise(F.col("close")).alias(c) for c in ("open", "high", "low", "close")]
+    return each.select("symbol", F.col("_at").alias("open_time"), *prices, F.when(own, F.col("volume")).otherwise(F.lit(0)).cast("long").alias("volume"))
+
+
 def last_candles(candles: DataFrame, limit: int | None = None) -> DataFrame:
     """The last candles of each symbol. Candles are few for each symbol: their number is bounded by time, not by ticks."""
     limit = within(limit, CANDLES, "limit")
