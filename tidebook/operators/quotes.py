@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,14 @@ def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str) -> DataF
     return joined.select(*columns, F.coalesce("_found", "_close").alias(out))
 
 
+def change_pct(price: Column, earlier: Column) -> Column:
+    return F.round(100 * F.try_divide(price - earlier, earlier), 6)
+
+
 def change(ticks: DataFrame, hours: int) -> DataFrame:
     """event_id, symbol, ts, price, earlier (the price so many hours before, null before the first) and change_pct."""
     probes = ticks.select("event_id", "symbol", "ts", "price", (F.col("ts") - F.expr(f"interval {hours} hours")).alias("_then"))
-    pct = F.round(100 * F.try_divide(F.col("price") - F.col("earlier"), F.col("earlier")), 6)
-    return as_of(probes, ticks, "_then", "earlier").drop("_then").withColumn("change_pct", pct)
+    return as_of(probes, ticks, "_then", "earlier").drop("_then").withColumn("change_pct", change_pct(F.col("price"), F.col("earlier")))
 
 
 def extremes(ticks: DataFrame) -> DataFrame:

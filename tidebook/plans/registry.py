@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from tidebook.functions import columns as C
 from tidebook.functions.params import INTERVAL_MINUTES
 from tidebook.operators import candles as candle
-from tidebook.operators import catalogue, indicators, mutations, portfolio, quotes
+from tidebook.operators import catalogue, indicators, intervals, mutations, portfolio, quotes, sketches
 from tidebook.operators import news as feed
 from tidebook.sources import market
+from tidebook.sources.stored import StoredTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -544,3 +545,103 @@ def stream_candles_1h(spark, sf_dir):
     out = market.scratch_path(spark, "candles")
     prices.run_to_parquet(prices.live_candles(prices.tick_stream(spark, sf_dir, "events.parquet")), out, f"{out}-state")
     return spark.read.schema("symbol string, open_time timestamp_ntz, open double, high double, low double, close double, volume long").parquet(out)
+
+
+def _tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidebook.streaming import prices
+
+    return prices.tick_stream(prices.with_rocksdb(spark), sf_dir, "events.parquet")
+
+
+@register(
+    "stream_change_alerts",
+    f"""WITH {TICKS}, {change_sql(24)}, mark AS (SELECT date_trunc('hour', max(ts) - INTERVAL '10 minutes') AS mark FROM events)
+SELECT event_id, symbol, price, change_pct, CASE WHEN price >= 300 THEN 'target' ELSE 'change' END AS reason FROM changes, mark WHERE (abs(change_pct) >= 500 OR price >= 300) AND ts < mark""",
+)
+def stream_change_alerts(spark, sf_dir):
+    """price_alerts by the streaming path: of the ticks whose hour the watermark has passed."""
+    from tidebook.streaming import prices
+
+    out = market.scratch_path(spark, "alerts")
+    prices.run_to_parquet(prices.change_alerts(_tick_stream(spark, sf_dir), 24, 500, 300), out, f"{out}-state")
+    return spark.read.schema("event_id long, symbol string, price double, change_pct double, reason string").parquet(out)
+
+
+@register("stream_latest_quotes", f"WITH {TICKS} SELECT symbol, max(ts) AS ts, arg_max(price, ts) AS price, arg_max(volume, ts) AS volume FROM ticks GROUP BY 1")
+def stream_latest_quotes(spark, sf_dir):
+    """latest_quote by the streaming path, kept in a stored table."""
+    from tidebook.streaming import prices
+
+    path = market.scratch_path(spark, "quotes")
+    table = StoredTable.create(spark.createDataFrame([], prices.QUOTES), path, "symbol", 8)
+    prices.latest_quotes(prices.tick_stream(spark, sf_dir, "events.parquet"), table, f"{path}-state")
+    return table.read().select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "price", "volume")
+
+
+@register("stored_upsert", ORACLE_SQL["upsert_by_symbol"])
+def stored_upsert(spark, sf_dir):
+    """upsert_by_symbol into a stored table, in two changes."""
+    rows = market.assets(spark, sf_dir)
+    table = StoredTable.create(rows.select("symbol", "name", "current_price"), market.scratch_path(spark, "assets"), "symbol", 16)
+    priced = lambda df, k: df.select("symbol", "name", F.round(F.col("current_price") * k, 2).alias("current_price"), F.lit(k).alias("seq"))
+    old, new = rows.where("id % 3 = 0"), rows.where("id % 7 = 0").withColumn("symbol", F.concat(F.lit("N"), F.col("id").cast("string")))
+    table.upsert(priced(old, 1).union(priced(old, 2)), "seq")
+    table.upsert(priced(new, 1).union(priced(new, 2)), "seq")
+    return table.read()
+
+
+@register(
+    "candles_gapless_15m",
+    f"""WITH {TICKS}, candles AS ({candles_sql('15m')}), axis AS (SELECT symbol, unnest(generate_series(min(open_time), max(open_time), INTERVAL '15 minutes')) AS open_time FROM candles GROUP BY 1),
+filled AS (SELECT a.symbol, a.open_time, c.open, c.high, c.low, c.volume, last_value(c.close IGNORE NULLS) OVER (PARTITION BY a.symbol ORDER BY a.open_time) AS close, c.open_time IS NOT NULL AS own
+  FROM axis a LEFT JOIN candles c ON a.symbol = c.symbol AND a.open_time = c.open_time)
+SELECT symbol, open_time, CASE WHEN own THEN open ELSE close END AS open, CASE WHEN own THEN high ELSE close END AS high, CASE WHEN own THEN low ELSE close END AS low, close, CASE WHEN own THEN volume ELSE 0 END AS volume FROM filled""",
+)
+def candles_gapless_15m(spark, sf_dir):
+    return candle.gapless(_candles(spark, sf_dir, "15m"), "15m")
+
+
+@register(
+    "price_bands",
+    f"""WITH {TICKS}, bands AS (SELECT s_suppkey AS band, abs(s_acctbal) / 25 AS lo, abs(s_acctbal) / 25 + 1 + 2 * s_nationkey AS hi FROM supplier)
+SELECT band, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM ticks JOIN bands ON price >= lo AND price < hi GROUP BY 1""",
+)
+def price_bands(spark, sf_dir):
+    """Ticks and volume of price bands that overlap and differ in width."""
+    low = F.abs("s_acctbal") / 25
+    bands = market.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("band"), low.alias("lo"), (low + 1 + 2 * F.col("s_nationkey")).alias("hi"))
+    pairs = intervals.within_spans(market.ticks(spark, sf_dir), "price", bands, "lo", "hi")
+    return pairs.groupBy("band").agg(F.count("*").alias("n"), F.sum("volume").alias("volume"))
+
+
+@register(
+    "overlapping_holdings",
+    """WITH held AS (SELECT l_partkey AS asset_id, l_orderkey, l_linenumber, l_returnflag, l_shipdate AS a, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS b FROM lineitem)
+SELECT x.asset_id, x.l_orderkey AS order_x, x.l_linenumber AS line_x, y.l_orderkey AS order_y, y.l_linenumber AS line_y FROM held x JOIN held y
+ON x.asset_id = y.asset_id AND x.l_returnflag = 'R' AND y.l_returnflag = 'A' AND x.a < y.b AND y.a < x.b""",
+)
+def overlapping_holdings(spark, sf_dir):
+    """Returned lots and accepted ones of an asset that were held at the same time; a lot is held a day for each piece."""
+    line = market.table(spark, sf_dir, "lineitem")
+    held = lambda flag, x: line.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("asset_id"), F.col("l_orderkey").alias(f"order_{x}"), F.col("l_linenumber").alias(f"line_{x}"), F.col("l_shipdate").alias(f"from_{x}"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_quantity").cast("int"))).alias(f"to_{x}"))
+    pairs = intervals.overlapping(held("R", "x"), held("A", "y"), ("from_x", "to_x"), ("from_y", "to_y"), ["asset_id"])
+    return pairs.select("asset_id", "order_x", "line_x", "order_y", "line_y")
+
+
+@register(
+    "sketched_span",
+    "SELECT upper(event_type) AS symbol, count(*) AS n, true AS users_close, true AS median_close, true AS p90_close FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-21' GROUP BY 1",
+)
+def sketched_span(spark, sf_dir):
+    """Distinct users and prices over 16 days from stored sketches by day, held against the exact ones: users within 5 %, ranks within 0.03."""
+    ticks = market.ticks(spark, sf_dir).join(market.table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    path = market.scratch_path(spark, "sketches")
+    sketches.append_daily(sketches.daily(ticks), path)
+    span = spark.read.parquet(path).where("day BETWEEN DATE'2024-01-05' AND DATE'2024-01-20'")
+    about = sketches.estimates(sketches.merged(span, ["symbol"]), {"median": 0.5, "p90": 0.9}).withColumnsRenamed({"symbol": "_s", "users": "_users"})
+    exact = ticks.where("to_date(ts) BETWEEN DATE'2024-01-05' AND DATE'2024-01-20'").join(F.broadcast(about), F.col("symbol") == F.col("_s"))  # a row for each symbol
+    share = lambda c: F.count_if(F.col("price") <= F.col(c)) / F.count("*")
+    below = lambda c: F.count_if(F.col("price") < F.col(c)) / F.count("*")
+    close = lambda c, q: ((share(c) >= q - 0.03) & (below(c) <= q + 0.03)).alias(f"{c}_close")
+    users = F.count_distinct("user_id")
+    return exact.groupBy("symbol").agg(F.max("n").alias("n"), (F.abs(F.max("_users") - users) <= 0.05 * users).alias("users_close"), close("median", 0.5), close("p90", 0.9))
