@@ -80,8 +80,9 @@ def test_a_crowded_bitmap_changes_nothing():
     shard = C.Shard(texts, langs)
     every = np.full(C.BITS // 64, np.uint64(2**64 - 1))
     got = Counter()
-    for b in shard.phrase_counts(3, every):
-        got.update({(r["lang"], r["phrase"]): r["n"] for r in b.to_pylist()})
+    for m in (2, 3):
+        for b in shard.phrase_counts(m, [every] * (m - 1)):
+            got.update({(r["lang"], r["phrase"]): r["n"] for r in b.to_pylist()})
     f = Counter()
     for text, lang in zip(texts, langs):
         for piece in text.decode().split("\n"):
@@ -90,7 +91,8 @@ def test_a_crowded_bitmap_changes_nothing():
             for m in (2, 3):
                 f.update((lang, " ".join(ws[i : i + m])) for i in range(len(ws) - m + 1))
     assert got == f
-    assert list(shard.phrase_counts(3, np.zeros_like(every))) == []
+    assert list(shard.phrase_counts(2, [np.zeros_like(every)])) == []
+    assert not sum(b.num_rows for b in shard.phrase_counts(3, [every, np.zeros_like(every)]))
 
 
 def test_cut_texts():

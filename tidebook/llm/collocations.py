@@ -1,12 +1,12 @@
 """Phrase collocations: word sequences that occur together more often than their parts would.
 
 Counts come from suffix arrays over word ids (Manber and Myers, 1993). Each shard, some megabytes of text, gives its words ids, sorts its suffixes by prefix doubling up
-to the longest phrase asked for, and takes the longest common prefixes of neighbours: an interval of suffixes that share m words is a phrase of m words, and its width the
+to the phrases' length, and takes the longest common prefixes of neighbours: an interval of suffixes that share m words is a phrase of m words, and its width the
 count. A shard so hands on each of its phrases once, however often it has it, and the shards' counts are summed by language and phrase.
 
-No phrase is more frequent than its words (Agrawal and Srikant, 1994). So words are counted first, and those too rare for any candidate end a piece when phrases are counted: most
-phrases of a corpus occur once, and most of these have a rare word. Workers know the frequent words by a bitmap of fixed size; a rare word that it takes for frequent
-costs some rows and changes no result.
+No phrase is more frequent than its parts (Agrawal and Srikant, 1994). So words are counted first, then phrases of two words, and so on: words too rare for any candidate end a piece, and
+phrases with a part too rare aren't handed on. Most phrases of a corpus occur once, and most of these have a rare part. Workers know the frequent ones by bitmaps of fixed size; a rare one that they
+take for frequent costs a row and changes no result.
 
 Scores are whole numbers, exact beyond 64 bits. All joins are by language and phrase; the counts of frequent phrases are broadcast if they are few.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import as_bytes, materialize, sized, slices
 
 #: Bytes of text in a shard.
-SHARD = 16 << 20
+SHARD = 4 << 20
 #: Rows of a batch that a shard hands on.
 ROWS = 1 << 16
 #: Candidates: their number of words, and of occurrences.
@@ -35,7 +35,7 @@ ABSORBED = 50
 TOP = 2000
 SCALE = 1_000_000
 UNKNOWN = "und"
-#: Size of the bitmap of frequent words: 4 MB.
+#: Size of a bitmap of frequent phrases: 4 MB.
 BITS = 1 << 25
 #: Tasks that rank parts of a language, before the first of each are ranked together.
 SALTS = 64
@@ -110,24 +110,29 @@ class Shard:
         self.lang = np.array([number[x] for x in langs], np.int64)[owner]
         _, self.first, self.ids, self.times = np.unique(self.lang * len(self.names) + self.index, return_index=True, return_inverse=True, return_counts=True)
 
+    def phrases(self, words: int, places: np.ndarray) -> pa.Array:
+        parts = [self.names.take(pa.array(self.index[places + i])) for i in range(words)]
+        return pc.binary_join_element_wise(*parts, " ") if words > 1 else parts[0]
+
     def rows(self, words: int, places: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of COUNTS of the phrases of so many words from these places on."""
         told = pa.array(self.kinds, pa.string())
         for k in range(0, len(places), ROWS):
             at, n = places[k : k + ROWS], counts[k : k + ROWS]
-            parts = [self.names.take(pa.array(self.index[at + i])) for i in range(words)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if words > 1 else parts[0]
-            yield pa.RecordBatch.from_arrays([told.take(pa.array(self.lang[at])), pa.array(np.full(len(at), words, np.int32)), phrase, pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays([told.take(pa.array(self.lang[at])), pa.array(np.full(len(at), words, np.int32)), self.phrases(words, at), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     def word_counts(self) -> Iterator[pa.RecordBatch]:
         yield from self.rows(1, self.first, self.times)
 
-    def phrase_counts(self, most: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Every phrase of 2 to `most` words that the bitmap takes for frequent."""
+    def _frequent(self, words: int, places: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+        """Whether the bitmap has the phrases of so many words from these places on."""
         seeds = [xxhash.xxh64_intdigest(k, 42) for k in self.kinds]
-        names = self.names.take(pa.array(self.index[self.first])).to_pylist()
-        bits = np.array([xxhash.xxh64_intdigest(w, seeds[x]) & (BITS - 1) for w, x in zip(names, self.lang[self.first].tolist(), strict=True)], np.int64)
-        kept = np.flatnonzero(((frequent[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1))[self.ids] > 0)
+        bits = np.fromiter((xxhash.xxh64_intdigest(w, seeds[x]) & (BITS - 1) for w, x in zip(self.phrases(words, places).to_pylist(), self.lang[places].tolist(), strict=True)), np.int64, len(places))
+        return (bitmap[bits >> 6] >> (bits & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def phrase_counts(self, words: int, bitmaps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Every phrase of so many words whose words, and whose parts one word shorter, are frequent by the first and the last bitmap."""
+        kept = np.flatnonzero(self._frequent(1, self.first, bitmaps[0])[self.ids])
         if not len(kept):
             return
         # a word left out ends the piece before it
@@ -135,11 +140,18 @@ class Shard:
         ends = np.flatnonzero(~together) + 1
         left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(kept))
         ids = self.ids[kept]
-        suffixes = suffix_array(ids, left, most)
-        shared = common_prefixes(ids, left, suffixes, most)
-        for m in range(2, most + 1):
-            places, counts = intervals(left, suffixes, shared, m)
-            yield from self.rows(m, kept[places], counts)
+        suffixes = suffix_array(ids, left, words)
+        shared = common_prefixes(ids, left, suffixes, words)
+        places, counts = intervals(left, suffixes, shared, words)
+        if words > 2:
+            heads = np.flatnonzero(shared < words - 1)
+            told = left[suffixes[heads]] >= words - 1
+            told[told] = self._frequent(words - 1, kept[suffixes[heads[told]]], bitmaps[-1])
+            known = np.empty(len(kept), bool)
+            known[suffixes] = np.repeat(told, np.diff(np.append(heads, len(suffixes))))
+            some = known[places] & known[places + 1]
+            places, counts = places[some], counts[some]
+        yield from self.rows(words, kept[places], counts)
 
 
 def _cut(texts: list[bytes], langs: list[str]) -> Iterator[tuple[list[bytes], list[str]]]:
@@ -173,28 +185,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
 
 
-def word_bitmap(words: DataFrame) -> np.ndarray:
-    """BITS bits, of which each word's (by its language and its hash) is set. What comes to the driver is bounded by the bits."""
+def bitmap_of(phrases: DataFrame) -> np.ndarray:
+    """BITS bits, of which each phrase's (by its language and its hash) is set. What comes to the driver is bounded by the bits."""
     bit = F.xxhash64("lang", "phrase").bitwiseAND(F.lit(BITS - 1))
-    set_ = words.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(lang, phrase) & 63 AS INT))")).alias("bits")).toArrow()
+    told = phrases.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(xxhash64(lang, phrase) & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
-    out[set_.column("at").to_numpy()] = set_.column("bits").to_numpy().view(np.uint64)
+    out[told.column("at").to_numpy()] = told.column("bits").to_numpy().view(np.uint64)
     return out
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = WORDS[1]) -> tuple[DataFrame, DataFrame]:
-    """Two tables (lang, words, phrase, n): of every word; and of each phrase of 1 to `most` words that occurs `least` times or more within pieces. docs: lang, text."""
-    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
-    words = materialize(word_counts(docs), "words")
-    frequent = words.where(F.col("n") >= least)
-    bitmap = docs.sparkSession.sparkContext.broadcast(word_bitmap(frequent))
-
+def _longer(docs: DataFrame, words: int, bitmaps: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches):
-            yield from shard.phrase_counts(most, bitmap.value)
+            yield from shard.phrase_counts(words, [b.value for b in bitmaps])
 
-    phrases = docs.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return words, materialize(frequent.union(phrases), "phrases")
+    return docs.mapInArrow(run, COUNTS).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = WORDS[1]) -> tuple[DataFrame, DataFrame]:
+    """Two tables (lang, words, phrase, n): of every word; and of each phrase of 1 to `most` words that occurs `least` times or more within pieces. docs: lang, text, which is read once for each length."""
+    docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("string").alias("text"))
+    words = materialize(word_counts(docs), "words")
+    every = frequent = words.where(F.col("n") >= least)
+    bitmaps: list = []
+    for m in range(2, most + 1):
+        bitmaps.append(docs.sparkSession.sparkContext.broadcast(bitmap_of(frequent)))
+        frequent = materialize(_longer(docs, m, bitmaps).where(F.col("n") >= least), "phrases")
+        every = every.union(frequent)
+    return words, every
 
 
 def score(a: Column, left: Column, right: Column) -> Column:
