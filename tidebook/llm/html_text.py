@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tidebook.llm.common import materialize, slices
 
-#: Pages of a host from which its wrapper tells the content; pages with a slot from which a text that most of them share in it is template.
-MIN_PAGES, MIN_TEXT_PAGES = 3, 8
+#: Pages of a host from which its wrapper tells the content.
+MIN_PAGES = 3
 #: Share of a slot's pages from which a text is template, and the share that a count may be too small by, as rare texts and nodes are forgotten.
 MOST_PAGES, FORGOTTEN = 0.9, 0.1
 #: A slot with a greater share of text in links is navigation.
@@ -50,12 +50,12 @@ BROADCAST_BYTES = 32 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol "
-    "option p pre search section select summary table tbody td tfoot th thead title tr ul script style noscript template textarea button iframe svg object audio video canvas math".split()
+    "option p pre search section select summary table tbody td tfoot th thead title tr ul script style noscript template textarea button iframe svg object audio video canvas".split()
 )
 #: A start tag of the second kind ends an open element of the first.
-CLOSES = {"p": BLOCK - {"button", "iframe", "svg", "object", "audio", "video", "canvas", "math", "script", "style", "template"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+CLOSES = {"p": BLOCK - {"button", "iframe", "svg", "object", "audio", "video", "canvas", "script", "style", "template"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
 SCOPES = frozenset("table ul ol dl article section div body main blockquote td th".split())
-SILENT_TAGS = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe svg object audio video canvas math menu dialog search fieldset legend".split())
+SILENT_TAGS = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe svg object audio video canvas menu dialog search fieldset legend".split())
 SILENT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 SILENT_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr login menu menus modal "
@@ -64,6 +64,10 @@ SILENT_NAMES = frozenset(
 )
 #: Words that a name may have beside those, without which it would still name the same.
 PLAIN_WORDS = frozenset("area bar block box button buttons content container footer form global group head header inner item items left link links list main module outer page panel post posts right row section site thread top bottom text title wrap wrapper".split())
+#: Of SILENT_NAMES, those that a section of an article may be about: inside the content they need evidence beside the name.
+TOPIC_NAMES = frozenset("search share sharing social menu menus navigation widget widgets skip login subscription respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PROSE = HEADINGS | {"p", "blockquote", "pre"}
 CONTAINERS = frozenset("html body div section article main center table tbody tr td ul ol dl header hgroup details".split())
 #: Text blocks that a name alone doesn't silence.
 TEXT_BLOCKS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre li td th dt dd tr tbody caption figcaption".split())
@@ -73,10 +77,10 @@ TEXT = "#text"
 
 
 class Element:
-    __slots__ = ("tag", "label", "silent", "noise", "main", "has_main", "children", "node")
+    __slots__ = ("tag", "label", "silent", "noise", "main", "topic", "has_main", "children", "node")
 
-    def __init__(self, tag: str, label: str, silent: bool, noise: bool, main: bool):
-        self.tag, self.label, self.silent, self.noise, self.main, self.has_main = tag, label, silent, noise, main, False
+    def __init__(self, tag: str, label: str, silent: bool, noise: bool, main: bool, topic: bool = False):
+        self.tag, self.label, self.silent, self.noise, self.main, self.topic, self.has_main = tag, label, silent, noise, main, topic, False
         self.children: list[Element | Block] = []
         self.node: Wrapper | None = None
 
@@ -101,11 +105,17 @@ def _noise(name: str) -> bool:
 
 
 @lru_cache(65_536)
-def _kind(tag: str, cls: str, name: str, role: str, hidden: bool) -> tuple[str, bool, bool, bool]:
-    """Label, silence, telling name and main role of an element. Numbers in classes are dropped, as they tell items of one kind apart; ids tell pages apart."""
+def _topic(name: str) -> bool:
+    return not _words(name) & (SILENT_NAMES - TOPIC_NAMES)
+
+
+@lru_cache(65_536)
+def _kind(tag: str, cls: str, name: str, role: str, hidden: bool) -> tuple[str, bool, bool, bool, bool]:
+    """Label, silence, telling name, main role of an element, and whether the name may be a topic. Numbers in classes are dropped, as they tell items of one kind apart; ids tell pages apart."""
     silent = tag in SILENT_TAGS or role in SILENT_ROLES or hidden
     main = not silent and (tag in MAIN_TAGS or role in MAIN_ROLES)
-    return tag + "".join("." + w for w in sorted(_words(cls))), silent, not main and any(map(_noise, (*cls.split(), name))), main
+    telling = [n for n in (*cls.split(), name) if _noise(n)]
+    return tag + "".join("." + w for w in sorted(_words(cls))), silent, not main and bool(telling), main, all(map(_topic, telling))
 
 
 class _Builder(HTMLParser):
@@ -162,8 +172,8 @@ class _Builder(HTMLParser):
             return
         self.flush()
         got = {k: v or "" for k, v in attrs}
-        label, silent, noise, main = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden") == "true")
-        new = Element(tag, label, silent, noise, main)
+        label, silent, noise, main, topic = _kind(tag, got.get("class", ""), got.get("id", ""), got.get("role", "").lower(), "hidden" in got or got.get("aria-hidden") == "true")
+        new = Element(tag, label, silent, noise, main, topic)
         if main:
             for e in self.blocks:
                 e.has_main = True
@@ -359,16 +369,43 @@ def _align(page: Wrapper, wrapper: Wrapper, pairs: Pairs) -> None:
 
 
 class Found(NamedTuple):
-    """A block of a page: whether it is in a main element, in the wrapper's region, a varying first heading, constant in its slot, and in a slot of links."""
+    """A block of a page: whether it is in a main element and in the wrapper's region, its element's tag, whether it is constant in its slot, and in a slot of links."""
 
     text: str
     main: bool
     region: bool
-    title: bool
+    tag: str
     constant: bool
     linked: bool
 
 
+def _text_of(e: Element) -> Iterator[tuple[str, Block]]:
+    """The tag and the block of each text in an element that isn't silent."""
+    for child in e.children:
+        if isinstance(child, Block):
+            yield e.tag, child
+        elif not child.silent:
+            yield from _text_of(child)
+
+
+def _linked(e: Element) -> bool:
+    blocks = [b for _, b in _text_of(e)]
+    return sum(b.linked for b in blocks) > MOST_LINKED * sum(len(b.text) for b in blocks)
+
+
+def _about(e: Element) -> bool:
+    """Whether an element with a telling name is prose about what it names: paragraphs or headings that aren't mostly links, and nothing to fill in or press."""
+    return e.topic and not _linked(e) and any(tag in PROSE for tag, _ in _text_of(e)) and not any(isinstance(c, Element) and c.tag in ("form", "button", "select") for c in e.children)
+
+
+def _heads(header: Element, parent: Element) -> bool:
+    """Whether a header is that of the text beside it, not the page's: below the body, with a heading that is no link, and with a text block after it."""
+    if parent.tag in ("", "html", "body") or not any(tag in HEADINGS for tag, _ in _text_of(header)) or _linked(header):
+        return False
+    after = parent.children[parent.children.index(header) + 1 :]
+    return any(isinstance(c, Element) and c.tag in PROSE for c in after)
+
+
 def _blocks(page: Element, wrapper: Wrapper | None) -> list[Found]:
     own = wrapper_of([page])
     if wrapper is not None:
@@ -382,33 +419,42 @@ def _blocks(page: Element, wrapper: Wrapper | None) -> list[Found]:
                 of = child.node.mate if child.node else None
                 inside = region or bool(of and of.inside)
                 leads = child.has_main or bool(of and of.inside is not False)  # never silenced by a name
-                quiet = child.silent or child.tag == "header" and not (main or inside or child.main or child.has_main) or child.noise and not leads
+                quiet = child.silent or child.tag == "header" and not (main or inside or child.main or child.has_main or _heads(child, e)) or child.noise and not leads
                 if region or main:
-                    quiet = child.silent or child.noise and child.tag not in TEXT_BLOCKS and not child.has_main
+                    quiet = child.silent or child.noise and child.tag not in TEXT_BLOCKS and not child.has_main and not _about(child)
                 if not quiet:
                     visit(child, main or child.main, inside)
                 continue
-            enough = mate is not None and mate.pages >= MIN_TEXT_PAGES and 2 * (mate.pages + wrapper.error) >= wrapper.pages
-            outside = mate is not None and not main and not region and mate.pages >= MIN_PAGES and 2 * mate.pages >= wrapper.pages
-            constant = (enough or outside) and mate.constant(text_hash(child.text))
+            constant = mate is not None and mate.pages >= MIN_PAGES and 2 * (mate.pages + wrapper.error) >= wrapper.pages and mate.constant(text_hash(child.text))
             linked, chars = (mate.linked, mate.chars) if mate else (child.linked, len(child.text))
-            out.append(Found(child.text, main, region, e.tag == "h1" and not constant, constant, linked > MOST_LINKED * chars))
+            out.append(Found(child.text, main, region, e.tag, constant, linked > MOST_LINKED * chars))
 
     visit(page, False, bool(wrapper and wrapper.inside))
     return out
 
 
+def _inner(found: list[Found]) -> list[Found]:
+    """Blocks of the content without template: constant ones go in slots of links, and at the edges. Between varying blocks they stay, as a heading that all articles have does; and so do
+    such a heading before them, and prose that is in a main element by its tag."""
+    varying = [i for i, f in enumerate(found) if not f.constant]
+    if not varying:
+        return []
+    first, last = varying[0], varying[-1]
+    return [f for i, f in enumerate(found) if not f.constant or not f.linked and (i < last and (i > first or f.tag in HEADINGS) or f.main and f.tag in PROSE)]
+
+
 def content(html: str, wrapper: Wrapper | None) -> list[str]:
     """The content blocks of a page, in order; wrapper: its host's. Of a page that is a copy the constant texts stay."""
     found = _blocks(parse(html), with_region(wrapper) if wrapper else None)
     if any(f.region for f in found):
-        chosen = [f for f in found if f.region or f.title]
+        chosen = [f for f in found if f.region or f.tag == "h1" and not f.constant]
     elif any(f.main for f in found):
         chosen = [f for f in found if f.main]
     else:
         chosen = [f for f in found if not f.linked]
-    kept = [f.text for f in chosen if not f.constant]
-    return kept if sum(map(len, kept)) > COPIES * sum(len(f.text) for f in chosen) else [f.text for f in chosen]
+        chosen = [f for f in chosen if not f.constant] or chosen
+    kept = _inner(chosen)
+    return [f.text for f in (kept if sum(len(f.text) for f in kept) > COPIES * sum(len(f.text) for f in chosen) else chosen)]
 
 
 def host_of(url: Column) -> Column:
