@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidebook.llm.common import as_bytes, materialize, sized, slices
 
 #: Bytes of text in a shard.
-SHARD = 4 << 20
+SHARD = 2 << 20
 #: Rows of a batch that a shard hands on.
 ROWS = 1 << 16
 #: Candidates: their number of words, and of occurrences.
@@ -173,6 +173,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
     for batch in slices(batches, "text", SHARD):
         for texts, langs in _cut([t.translate(_PLAIN) for t in as_bytes(batch, "text")], batch.column("lang").to_pylist()):
             yield Shard(texts, langs)
+            pa.default_memory_pool().release_unused()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
