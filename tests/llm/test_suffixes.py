@@ -1,5 +1,6 @@
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -152,3 +153,30 @@ def test_windows_of_a_text(size):
     old = S.BUCKET
     for S.BUCKET in (1, 50, old):
         assert S.repeated_windows(text, at).tolist() == wanted
+
+
+def test_equal_checksums_tell_no_document(spark):
+    """Different texts of one doc_id, or of none, with one CRC-32."""
+    rng, seen, pair = random.Random(5), {}, None
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    while pair is None:
+        text = base + "".join(rng.choice("abcdefghijklmnop") for _ in range(9))
+        other = seen.setdefault(zlib.crc32(text.encode()), text)
+        pair = (other, text) if other != text else None
+    shared = next(i for i in range(130) if pair[0][: i + 1] != pair[1][: i + 1])
+    for doc_id in (7, None):
+        rows = [(doc_id, pair[0]), (doc_id, pair[1]), (3, "x" * 50)]
+        found = S.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r.n_removed for r in found) == [0, 0, shared]
+        assert [r.doc_id for r in found if r.n_removed] == [doc_id]
+    again = [(7, pair[0])] * 3 + [(7, pair[1])] * 2
+    assert sorted(r.n_removed for r in S.removals(spark.createDataFrame(again, "doc_id long, text string")).collect()) in ([0, 0, 0, shared, shared], [0, 0, shared, shared, shared])
+
+
+def test_the_greatest_doc_id_is_not_null(spark):
+    text = "".join(random.Random(6).choices("abcdefgh ", k=150))
+    rows = [(S.NO_ID, text), (None, text), (None, "short")]
+    found = {(r.doc_id, r.n_bytes): r.n_removed for r in S.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {(S.NO_ID, 150): 0, (None, 150): 150, (None, 5): 0}
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int")
+    assert sorted((r.n, r.text) for r in S.remove_repeats(docs).collect()) == [(0, text), (1, ""), (2, "short")]

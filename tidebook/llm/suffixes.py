@@ -21,7 +21,6 @@ Hashes choose buckets and nothing else: only windows equal byte by byte count as
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -29,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.common import as_bytes, materialize, slices
+from tidebook.llm.common import as_bytes, materialize, sized, slices
 from tidebook.llm.rolling import Roller, mixed
+from tidebook.llm.sharding import number_slots
 
 WINDOW, PART = 100, 32
 #: Bytes of text hashed at once; a longer text goes in overlapping pieces.
@@ -132,8 +132,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[int], lis
         yield texts, firsts, rows
 
 
-FIELDS = {"kind": pa.int8(), "bucket": pa.int64(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32(), "n": pa.int32()}
-FOUND = "kind byte, bucket long, key long, crc long, pos int, n int"
+FIELDS = {"kind": pa.int8(), "bucket": pa.int64(), "key": pa.int64(), "version": pa.int64(), "pos": pa.int32(), "n": pa.int32()}
+FOUND = "kind byte, bucket long, key long, version long, pos int, n int"
 #: A run of windows that are repeats; a context to be sorted with its bucket; one of a bucket that is split.
 REPEAT, NARROW, SPLIT = 0, 1, 2
 
@@ -161,26 +161,26 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """Contexts of each slice of the documents, and the windows that the slice itself repeats, as runs."""
     for batch in slices(batches, "text", 2 * PIECE):
         keys = batch.column("key").to_numpy().astype(np.int64)
-        crcs = np.array([zlib.crc32(t) for t in as_bytes(batch, "text")], np.int64)
+        versions = batch.column("version").to_numpy().astype(np.int64)
         for texts, firsts, rows in _pieces(batch):
             piece, start, n, bucket, periodic = _contexts(texts)
             row, sizes = np.array(rows), np.array([len(t) for t in texts], np.int64)
             shift = np.array(firsts, np.int64) - np.cumsum(sizes) + sizes  # from the buffer to the document
-            key, crc = keys[row], crcs[row]
-            order = np.lexsort((start + shift[piece], crc[piece], key[piece], bucket))
-            order = order[~_same_as_before(bucket[order], key[piece[order]], crc[piece[order]], (start + shift[piece])[order])]  # rows alike in doc_id and text are one document
+            key, version = keys[row], versions[row]
+            order = np.lexsort((start + shift[piece], version[piece], key[piece], bucket))
+            order = order[~_same_as_before(bucket[order], key[piece[order]], version[piece[order]], (start + shift[piece])[order])]  # rows alike in doc_id and text are one document
             b = bucket[order]
             alone = np.append(True, b[1:] != b[:-1]) & np.append(b[1:] != b[:-1], True)
             some = order[~alone | periodic[order]]
             buffer = np.frombuffer(b"".join(texts), np.uint8)
             repeat = np.zeros(len(buffer), bool)
             if len(some):
-                repeat[_repeats_of(buffer, some, start, n, key[piece], crc[piece], start + shift[piece])] = True
+                repeat[_repeats_of(buffer, some, start, n, key[piece], version[piece], start + shift[piece])] = True
                 own = np.repeat(np.arange(len(texts)), sizes)
                 a, z = _runs(repeat, own)
                 at = own[a]
                 spread = mixed((key[at] * 31 + a).astype(np.uint64))  # for the shuffle alone
-                yield _batch([*FIELDS], np.full(len(a), REPEAT, np.int8), spread, key[at], crc[at], a + shift[at], z - a)
+                yield _batch([*FIELDS], np.full(len(a), REPEAT, np.int8), spread, key[at], version[at], a + shift[at], z - a)
                 # what is left of the contexts
                 places = _ranges(start[order], n[order])
                 a, z = _runs(~repeat[places], np.repeat(np.arange(len(order)), n[order]))
@@ -189,7 +189,7 @@ def _find_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             else:
                 first, count = start[order], n[order]
             at = piece[order]
-            yield _batch([*FIELDS], np.full(len(order), NARROW, np.int8), bucket[order], key[at], crc[at], first + shift[at], count)
+            yield _batch([*FIELDS], np.full(len(order), NARROW, np.int8), bucket[order], key[at], version[at], first + shift[at], count)
 
 
 def _repeats_of(buffer: np.ndarray, some: np.ndarray, start: np.ndarray, n: np.ndarray, *place: np.ndarray) -> np.ndarray:
@@ -217,7 +217,7 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         if (repeats := batch.filter(told)).num_rows:
             yield repeats
         batch = batch.filter(pc.invert(told))
-        rows = [batch.column(c).to_numpy() for c in ("bucket", "key", "crc", "pos", "n")]
+        rows = [batch.column(c).to_numpy() for c in ("bucket", "key", "version", "pos", "n")]
         twice = _same_as_before(*rows)
         if len(twice):
             twice[0] = last == [r[0] for r in rows]
@@ -322,8 +322,8 @@ def _runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, stop
 
 
-SPANS = ["key", "crc", "pos", "n"]
-SPANS_TYPE = "key long, crc long, pos int, n int"
+SPANS = ["key", "version", "pos", "n"]
+SPANS_TYPE = "key long, version long, pos int, n int"
 
 
 def _equal_contexts(order: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -342,64 +342,80 @@ def _sort_buckets(rows: pa.Table) -> pa.Table:
     data = rows.column("data").to_pylist()
     order, again = _equal_contexts(order, data)
     told = _batch(SPANS, *(c[again] for c in columns))
-    key, crc, pos, n = (c[order].astype(np.int64) for c in columns)
+    key, version, pos, n = (c[order].astype(np.int64) for c in columns)
     parts = [data[k] for k in order]
     sizes = np.array([len(p) for p in parts], np.int64)
     at = _ranges(np.cumsum(sizes) - sizes, n)
     owner = np.repeat(np.arange(len(order)), n)
     own_pos = _ranges(pos, n)
-    if (_same_as_before(key, crc) & (pos < np.append(0, (pos + n)[:-1]))).any():  # rows alike may have been cut otherwise by other slices: each place once
-        by = np.lexsort((own_pos, crc[owner], key[owner]))
-        by = by[~_same_as_before(key[owner[by]], crc[owner[by]], own_pos[by])]
+    if (_same_as_before(key, version) & (pos < np.append(0, (pos + n)[:-1]))).any():  # rows alike may have been cut otherwise by other slices: each place once
+        by = np.lexsort((own_pos, version[owner], key[owner]))
+        by = by[~_same_as_before(key[owner[by]], version[owner[by]], own_pos[by])]
         at, owner, own_pos = at[by], owner[by], own_pos[by]
     start, stop = _runs(repeated_windows(np.frombuffer(b"".join(parts), np.uint8), at), owner)
-    return pa.Table.from_batches([told, _batch(SPANS, key[owner[start]], crc[owner[start]], own_pos[start], stop - start)])
+    return pa.Table.from_batches([told, _batch(SPANS, key[owner[start]], version[owner[start]], own_pos[start], stop - start)])
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """key, crc and text: what tells a document. Rows alike in both are one document; a null doc_id comes after all others."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _identified(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
+    """docs with key and version, which together tell a document, and order documents. A null doc_id has the key NO_ID and comes after all others.
+
+    The version is 0 where no other row has the key. Else the different texts of a key are numbered, those of a null doc_id last, by their checksum and digest (SHA-256): rows alike in doc_id
+    and text are one document. Such rows are few in a corpus with ids, and then the numbers are broadcast.
+    """
+    number = F.col(doc_id).cast("long")
+    rows = docs.withColumn("key", F.coalesce(number, F.lit(NO_ID)))
+    repeated = materialize(rows.groupBy("key").count().where("count > 1").select(F.col("key").alias("_repeated")), "repeated")
+    if repeated.isEmpty():
+        return rows.withColumn("version", F.lit(0).cast("long"))
+    same = F.col("key") == F.col("_repeated")
+    data = text.cast("binary")
+    told = {"_missing": number.isNull(), "_sum": F.crc32(data), "_digest": F.sha2(data, 256)}
+    some = rows.join(sized(repeated), same).drop("_repeated").withColumns(told)
+    numbers = number_slots(some.select("key", *told, F.lit(0).alias("_one")).distinct(), "_one", ["key", *told], "_number")
+    numbers = numbers.select(F.col("key").alias("_k"), F.col("_missing").alias("_m"), F.col("_digest").alias("_d"), (F.col("_number") + 1).alias("version"))
+    numbered_ = some.join(sized(numbers), (F.col("key") == F.col("_k")) & (F.col("_missing") == F.col("_m")) & (F.col("_digest") == F.col("_d")))
+    single = rows.join(sized(repeated), same, "left_anti").withColumn("version", F.lit(0).cast("long"))
+    return single.unionByName(numbered_.select(*single.columns))
 
 
 def _by_document(spans: DataFrame, *columns: str) -> DataFrame:
     """One row for each document, with its spans as arrays of equal length. A document's spans are bounded by its bytes."""
     lists = F.sort_array(F.collect_list(F.struct(*columns)))
-    return spans.groupBy("key", "crc").agg(lists.alias("_spans")).select("key", "crc", *(F.col(f"_spans.{c}").alias(c) for c in columns))
+    return spans.groupBy("key", "version").agg(lists.alias("_spans")).select("key", "version", *(F.col(f"_spans.{c}").alias(c) for c in columns))
 
 
 def _with_text(docs: DataFrame, spans: DataFrame, size: int, how: str) -> DataFrame:
-    """docs (with key, text) joined with their spans, of about `size` bytes: broadcast if those are few, else by a shuffle."""
+    """docs (with key, version) joined with their spans, of about `size` bytes: broadcast if those are few, else by a shuffle."""
     small = F.broadcast(spans) if size <= BROADCAST_BYTES else spans
-    crc = F.crc32(F.col("text").cast("binary"))
-    return docs.withColumn("_crc", crc).join(small.withColumnsRenamed({"key": "_key", "crc": "_of"}), (F.col("key") == F.col("_key")) & (F.col("_crc") == F.col("_of")), how)
+    return docs.join(small.withColumnsRenamed({"key": "_key", "version": "_of"}), (F.col("key") == F.col("_key")) & (F.col("version") == F.col("_of")), how)
 
 
 def _asked(texts: DataFrame, contexts: DataFrame, total: int) -> DataFrame:
     """Documents with the contexts asked for."""
-    return _with_text(texts, _by_document(contexts, "pos", "n", "bucket"), 150 * total, "inner").select("key", "_crc", "text", "pos", "n", "bucket")
+    return _with_text(texts, _by_document(contexts, "pos", "n", "bucket"), 150 * total, "inner").select("key", "version", "text", "pos", "n", "bucket")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of each context asked for."""
-    names = {"bucket": pa.int64(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "data": pa.binary()}
+    names = {"bucket": pa.int64(), "key": pa.int64(), "version": pa.int64(), "pos": pa.int32(), "n": pa.int32(), "data": pa.binary()}
     for batch in slices(batches, "text", PIECE):
-        lists = (batch.column(c).to_pylist() for c in ("key", "_crc", "pos", "n", "bucket"))
-        rows = [(b, key, crc, pos, n, text[pos : pos + n + WINDOW - 1]) for text, key, crc, *asked in zip(as_bytes(batch, "text"), *lists, strict=True) for pos, n, b in zip(*asked, strict=True)]
+        lists = (batch.column(c).to_pylist() for c in ("key", "version", "pos", "n", "bucket"))
+        rows = [(b, key, version, pos, n, text[pos : pos + n + WINDOW - 1]) for text, key, version, *asked in zip(as_bytes(batch, "text"), *lists, strict=True) for pos, n, b in zip(*asked, strict=True)]
         for k in range(0, len(rows), SORTED):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + SORTED], strict=True), names.values(), strict=True)], names=[*names])
 
 
-PLACED = {"window": pa.binary(), "key": pa.int64(), "crc": pa.int64(), "pos": pa.int32()}
+PLACED = {"window": pa.binary(), "key": pa.int64(), "version": pa.int64(), "pos": pa.int32()}
 
 
 def _cut_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The single windows of the contexts asked for."""
     for batch in slices(batches, "text", PIECE):
         rows: list[tuple] = []
-        lists = (batch.column(c).to_pylist() for c in ("key", "_crc", "pos", "n"))
-        for text, key, crc, *asked in zip(as_bytes(batch, "text"), *lists, strict=True):
+        lists = (batch.column(c).to_pylist() for c in ("key", "version", "pos", "n"))
+        for text, key, version, *asked in zip(as_bytes(batch, "text"), *lists, strict=True):
             for pos, n in zip(*asked, strict=True):
-                rows += [(text[at : at + WINDOW], key, crc, at) for at in range(pos, pos + n)]
+                rows += [(text[at : at + WINDOW], key, version, at) for at in range(pos, pos + n)]
                 if len(rows) >= SORTED:
                     yield _placed(rows)
                     rows = []
@@ -410,7 +426,7 @@ def _placed(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 4, PLACED.values(), strict=True)], names=[*PLACED])
 
 
-MARKED = "task int, edge binary, key long, crc long, pos int, n int, final boolean"
+MARKED = "task int, edge binary, key long, version long, pos int, n int, final boolean"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -418,7 +434,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, last = TaskContext.get().partitionId(), None
 
     def out(windows: list, rows: pa.RecordBatch, final: bool) -> pa.RecordBatch:
-        columns = [pa.array([task] * len(windows), pa.int32()), pa.array(windows, pa.binary()), *(rows.column(c) for c in ("key", "crc", "pos")), pa.array([1] * len(windows), pa.int32()), pa.array([final] * len(windows), pa.bool_())]
+        columns = [pa.array([task] * len(windows), pa.int32()), pa.array(windows, pa.binary()), *(rows.column(c) for c in ("key", "version", "pos")), pa.array([1] * len(windows), pa.int32()), pa.array([final] * len(windows), pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in MARKED.split(", ")])
 
     for batch in batches:
@@ -443,8 +459,8 @@ def _split_repeats(windows: DataFrame) -> DataFrame:
 
     A task knows all repeats but its first row's, which is held against the last window of the task before: two rows for each task.
     """
-    marked = materialize(windows.orderBy("window", "key", "crc", "pos").mapInArrow(_mark, MARKED), "sorted-windows")
-    place = F.struct("key", "crc", "pos")
+    marked = materialize(windows.orderBy("window", "key", "version", "pos").mapInArrow(_mark, MARKED), "sorted-windows")
+    place = F.struct("key", "version", "pos")
     before = F.lag(F.struct("edge", place.alias("place"))).over(Window.orderBy("task", "final"))
     first = marked.where("edge is not null").withColumn("_before", before).where(~F.col("final") & (F.col("edge") == F.col("_before.edge")) & (place != F.col("_before.place")))
     return marked.where("edge is null").select(*SPANS).union(first.select(*SPANS))
@@ -461,28 +477,27 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(a[new].tolist())
             stops.append(reach[np.append(new[1:], True)].tolist())
         lists = [pa.array(x, pa.list_(pa.int32())) for x in (starts, stops)]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("crc"), *lists], names=["key", "crc", "start", "stop"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("version"), *lists], names=["key", "version", "start", "stop"])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """key, crc, start, stop: for each document with repeats, its maximal spans [start, stop) of bytes to remove, as two arrays."""
-    texts = _identified(docs)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.mapInArrow(_find_contexts, FOUND).repartition("bucket").sortWithinPartitions("bucket", "key", "crc", "pos", "n")
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """key, version, start, stop: for each document with repeats, its maximal spans [start, stop) of bytes to remove, as two arrays. texts: key, version, text."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = texts.mapInArrow(_find_contexts, FOUND).repartition("bucket").sortWithinPartitions("bucket", "key", "version", "pos", "n")
     found = materialize(dealt.mapInArrow(_sorted_buckets, FOUND), "contexts")
     counts = dict(found.groupBy("kind").count().collect())
     spans = [found.where(F.col("kind") == REPEAT).select(*SPANS)]
     if total := counts.get(NARROW, 0):
-        cut = _asked(texts, found.where(F.col("kind") == NARROW), total).mapInArrow(_cut, "bucket long, key long, crc long, pos int, n int, data binary")
+        cut = _asked(texts, found.where(F.col("kind") == NARROW), total).mapInArrow(_cut, "bucket long, key long, version long, pos int, n int, data binary")
         tasks = max(4 * partitions, -(-total // SORTED))
         spans.append(cut.groupBy(F.pmod(F.xxhash64("bucket"), F.lit(tasks))).applyInArrow(_sort_buckets, SPANS_TYPE))
     if total := counts.get(SPLIT, 0):
-        windows = _asked(texts, found.where(F.col("kind") == SPLIT), total).mapInArrow(_cut_windows, "window binary, key long, crc long, pos int")
+        windows = _asked(texts, found.where(F.col("kind") == SPLIT), total).mapInArrow(_cut_windows, "window binary, key long, version long, pos int")
         spans.append(_split_repeats(materialize(windows, "windows")))
     every = spans[0]
     for x in spans[1:]:
         every = every.union(x)
-    return _by_document(every, "pos", "n").mapInArrow(_merge, "key long, crc long, start array<int>, stop array<int>")
+    return _by_document(every, "pos", "n").mapInArrow(_merge, "key long, version long, start array<int>, stop array<int>")
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,8 +527,9 @@ def removals(docs: DataFrame) -> DataFrame:
     A null text is empty; rows alike in doc_id and text are one document and get the same digest; rows alike in doc_id only are
     ordered by their checksum; a null doc_id comes last. Texts under 100 bytes have no window. Other columns are ignored.
     """
-    rows = _identified(docs)
-    joined = _joined(rows, repeated_spans(docs)).select(F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "text", "start", "stop")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = _identified(rows, "doc_id", F.col("text"))
+    joined = _joined(texts, repeated_spans(texts.select("key", "version", "text"))).select("doc_id", "text", "start", "stop")
     return joined.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -530,6 +546,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     of its bytes to a span becomes U+FFFD. All other columns stay as they are, whatever their names, and so do rows. An empty table stays empty."""
     names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
     plain = docs.toDF(*names).withColumn("text", F.col("text").cast("string"))
-    key = F.coalesce(F.col(names[docs.columns.index("doc_id")]).cast("long"), F.lit(NO_ID))
-    joined = _joined(plain.withColumn("key", key), repeated_spans(docs)).select(*names, "start", "stop")
+    whole = F.coalesce(F.col("text"), F.lit(""))
+    told = _identified(plain, names[docs.columns.index("doc_id")], whole)
+    joined = _joined(told, repeated_spans(told.select("key", "version", whole.alias("text")))).select(*names, "start", "stop")
     return joined.mapInArrow(_shortened, plain.schema).toDF(*docs.columns)
