@@ -124,6 +124,16 @@ def test_targets_that_contradict_each_other_end(spark):
     assert rated.count() == 2
 
 
+def test_targets_that_are_not_met_raise(spark, monkeypatch):
+    """Where all lists are English, there is no sample of lists alone and German alone."""
+    monkeypatch.setattr(mixing, "LEAST", 0.9)
+    monkeypatch.setattr(mixing, "STALLED", 1)
+    rows = spark.createDataFrame([("s", ("en", "de")[i % 2], "lists" if i % 10 == 0 else "prose", 20) for i in range(100)], "source string, lang string, topic string, n_tokens long")
+    frame = lambda value: spark.createDataFrame([(value, 1.0)], "value string, share double")
+    with pytest.raises(mixing.TargetsNotMet, match="of the sample for a target of"), pytest.warns(UserWarning, match="can't be met with"):
+        mixing.cell_rates(rows, {"topic": frame("lists"), "lang": frame("de")})
+
+
 def test_many_cells_as_few(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     cells = mixing.cells_of(docs.select(*(v.alias(k) for k, v in mixing._plain(docs).items())))

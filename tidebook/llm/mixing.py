@@ -12,6 +12,7 @@ sums over the cells of each value: by a window where the cells are few, else by
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ KEYS = ["source", "lang", "topic"]
 SHARE, SLACK = 0.6, 0.98
 #: A marginal is met if no value is off by more than this share of the sample; sweeps without progress after which fewer tokens are asked for, how many fewer, and the share of the first goal at which it ends.
 TOLERANCE, STALLED, FEWER, LEAST = 1e-9, 5, 0.75, 0.05
+#: Targets that were given must be met up to this share of the sample.
+MOST_OFF = 0.01
 #: Without targets a marginal's share is its share of tokens to this power: large values weigh less, small ones more.
 POWER = 0.7
 HASH_BITS = 52
@@ -128,7 +131,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share:
     """Cells with rate, the probability of each of their documents, and off, by how much the sample misses a target of theirs; and key, value, tokens, share and target of each value: what was wanted, and what of it can be had.
 
     targets: key -> (value, share). Values without a target, or with a target of 0, get rate 0. The goal is `share` of all tokens; targets beyond a value's tokens are lowered to
-    these (column target), and the goal is lowered while the marginals can't be met together with it. If that doesn't help (targets that contradict each
+    these (column target), and the goal is lowered, with a warning, while the marginals can't be met together with it. If that doesn't help (targets that contradict each
     other), the sweeps end, and `off` tells.
     """
     cells = materialize(cells, "cells")
@@ -148,6 +151,8 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame] | None = None, share:
         if len(history) > STALLED and history[-1] > 0.5 * history[-1 - STALLED]:
             goal, history = goal * FEWER, []
             targeted, now = _started(cells, shares, goal, total, small)
+    if goal < first:
+        warnings.warn(f"the targets can't be met with {share:.1%} of all tokens: {share * goal / first:.1%} are asked for", stacklevel=2)
     rate = F.least(reduce(lambda a, x: a * F.col(f"f_{x}"), KEYS, F.lit(1.0)), F.lit(1.0))
     return now.select(*KEYS, "tokens", rate.alias("rate"), "off"), targeted
 
@@ -166,21 +171,30 @@ def _plain(docs: DataFrame, topic: str | None = None) -> dict[str, Column]:
     return {"source": none("source"), "lang": none("lang"), "topic": none(topic) if topic else topic_of(none("text")), "n_tokens": token_count(none("text"))}
 
 
-def cell_rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE) -> DataFrame:
-    """_source, _lang, _topic and _rate of each cell of rows (source, lang, topic, n_tokens)."""
-    rated = materialize(raked(cells_of(rows), targets, share)[0], "rates")
+class TargetsNotMet(ValueError):
+    """No sample of the documents meets the targets; the message tells the values that miss theirs."""
+
+
+def cell_rates(rows: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, most_off: float | None = MOST_OFF) -> DataFrame:
+    """_source, _lang, _topic and _rate of each cell of rows (source, lang, topic, n_tokens). Given targets that are missed by more than most_off raise TargetsNotMet, unless that is None."""
+    rated, wanted = raked(cells_of(rows), targets, share)
+    rated = materialize(rated, "rates")
+    if targets and most_off is not None and (rated.agg(F.max("off")).first()[0] or 0.0) > most_off:
+        gap = F.abs(F.col("share") - F.col("target"))
+        missed = reached(rated, wanted).orderBy(gap.desc(), "key", "value").limit(10).collect()
+        raise TargetsNotMet("; ".join(f"{r.key} {r.value!r}: {r.share:.4f} of the sample for a target of {r.target:.4f}" for r in missed))
     return rated.select(*(F.col(k).alias(f"_{k}") for k in KEYS), F.col("rate").alias("_rate"))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None, most_off: float | None = MOST_OFF) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, rate and sampled of every row of docs.
 
-    targets: key -> (value, share) for any of source, lang and topic; the others are tempered. topic: a column that has the topics. Null texts have no tokens; documents without
+    targets: key -> (value, share) for any of source, lang and topic; the others are tempered. If a given one can't be met up to most_off of the sample, TargetsNotMet is raised. topic: a column that has the topics. Null texts have no tokens; documents without
     tokens are in no cell's total and get the rate of their cell, or 0 where it has none. Null sources, languages and topics are the value "". Rows that repeat a doc_id are
     sampled by the same number. Other columns are ignored. An empty table gives no rows.
     """
     rows = materialize(docs.select("doc_id", *(v.alias(k) for k, v in _plain(docs, topic).items())), "tokens")
-    rated = cell_rates(rows, targets, share)
+    rated = cell_rates(rows, targets, share, most_off)
     joined = rows.join(sized(rated), [F.col(k) == F.col(f"_{k}") for k in KEYS], "left")
     rate = F.coalesce("_rate", F.lit(0.0))
     return joined.select("doc_id", *KEYS, "n_tokens", rate.alias("rate"), (uniform(F.col("doc_id"), seed) < rate).alias("sampled"))
@@ -191,10 +205,10 @@ def mixture_report(docs: DataFrame) -> DataFrame:
     return mix(docs).withColumn("rate", F.round("rate", 6))
 
 
-def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None) -> DataFrame:
+def sample_mixture(docs: DataFrame, targets: dict[str, DataFrame] | None = None, share: float = SHARE, seed: str = SEED, topic: str | None = None, most_off: float | None = MOST_OFF) -> DataFrame:
     """docs with the rows that mix() samples; columns stay as they are, whatever their names. An empty table stays empty. Cells are joined to the documents, so there is no list of documents."""
     plain = _plain(docs, topic)
-    rated = cell_rates(materialize(docs.select(*(v.alias(k) for k, v in plain.items())), "tokens"), targets, share)
+    rated = cell_rates(materialize(docs.select(*(v.alias(k) for k, v in plain.items())), "tokens"), targets, share, most_off)
     rows, name = numbered(docs)
     own = _plain(rows.select("*", *(F.col(name[c]).alias(c) for c in ("source", "lang", "text"))), name[topic] if topic else None)
     marked = rows.select("*", *(F.col(name[c]).alias(c) for c in ("source", "lang", "text"))).select(*rows.columns, uniform(F.col(name["doc_id"]), seed).alias("_u"), *(own[k].alias(k) for k in KEYS))
