@@ -73,6 +73,40 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(assets: DataFrame, limit: int, field: str = "marketCap", direction: str = "desc", after: tuple[object, str, int] | None = None) -> DataFrame:
+    """The rows of sort() that follow one, given by its key (with 0 for null), symbol and id: the first page without it. Only rows beyond it are sorted, so a late page costs no more than an early one."""
+    if field not in SORTS or direction not in ("asc", "desc"):
+        raise ValueError(f"no such order: {field!r} {direction!r}")
+    if after is not None:
+        value, symbol, id_ = after
+        key = F.col(SORTS[field]) if field == "symbol" else F.coalesce(F.col(SORTS[field]), F.lit(0))
+        beyond = key > F.lit(value) if direction == "asc" else key < F.lit(value)
+        assets = assets.where(beyond | (key == F.lit(value)) & ((F.col("symbol") > symbol) | (F.col("symbol") == symbol) & (F.col("id") > id_)))
+    return sort(assets, field, direction).limit(limit)
+
+
+def last_of(page: DataFrame, field: str = "marketCap") -> tuple[object, str, int] | None:
+    """What page_after() needs to go on behind a page, which is at most its limit of rows; None for an empty one."""
+    rows = page.collect()
+    return (rows[-1][SORTS[field]] or (0 if field != "symbol" else ""), rows[-1]["symbol"], rows[-1]["id"]) if rows else None
+
+
+#: A collation that takes letters of either case and with or without accents as one, in the order of the root locale.
+LOCALE = "UNICODE_CI_AI"
+
+
+def search_locale(assets: DataFrame, query: str, collation: str = LOCALE) -> DataFrame:
+    """search() by a collation: "resume" finds "Résumé"."""
+    q = query.strip()
+    wanted = F.collate(F.lit(q), collation)
+    return assets.where(F.contains(F.collate("symbol", collation), wanted) | F.contains(F.collate("name", collation), wanted)) if q else assets
+
+
+def sort_locale(assets: DataFrame, column: str = "symbol", collation: str = "UNICODE") -> DataFrame:
+    """By a text column in the order of a locale: a, A, á, b; ties by the column's bytes, then id."""
+    return assets.orderBy(F.collate(column, collation), column, "id")
+
+
 def counts(assets: DataFrame) -> DataFrame:
     """total, bullish and bearish assets; null and 0 count as bearish."""
     up = C.is_bullish(F.col("price_change_24h"))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidebook.functions import columns as C
 from tidebook.functions.params import INTERVAL_MINUTES
 from tidebook.operators import candles as candle
-from tidebook.operators import catalogue, indicators, intervals, mutations, portfolio, quotes, sketches
+from tidebook.operators import catalogue, indicators, intervals, jobs, mutations, portfolio, quotes, sketches
 from tidebook.operators import news as feed
-from tidebook.sources import market
+from tidebook.sources import files, market
 from tidebook.sources.stored import StoredTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,7 +396,17 @@ def rsi_14(spark, sf_dir):
     return indicators.rsi(_candles(spark, sf_dir))
 
 
-@register("analysis_runs")
+# The last values of every symbol as JSON, of each kind of analysis.
+ANALYSES = f"""{RECURSION}, w20 AS (SELECT symbol, open_time, avg(close) {LAST_20} AS m, stddev_pop(close) {LAST_20} AS s FROM candles),
+ends AS (SELECT symbol, max(open_time) AS open_time FROM candles GROUP BY 1),
+analyses AS (SELECT symbol, 'RSI' AS analysis_type, CAST(to_json({{'rsi': round(CASE WHEN loss = 0 THEN 100 ELSE 100 - 100 / (1 + gain / loss) END, 6)}}) AS VARCHAR) AS result FROM r JOIN ends USING (symbol, open_time)
+UNION ALL SELECT symbol, 'MACD', CAST(to_json({{'macd': round(e12 - e26, 6), 'signal': round(signal, 6), 'histogram': round(e12 - e26 - signal, 6)}}) AS VARCHAR) FROM r JOIN ends USING (symbol, open_time)
+UNION ALL SELECT symbol, 'EMA', CAST(to_json({{'ema': round(e12, 6)}}) AS VARCHAR) FROM r JOIN ends USING (symbol, open_time)
+UNION ALL SELECT symbol, 'SMA', CAST(to_json({{'sma': round(m, 6)}}) AS VARCHAR) FROM w20 JOIN ends USING (symbol, open_time)
+UNION ALL SELECT symbol, 'BOLLINGER', CAST(to_json({{'lower_band': round(m - 2 * s, 6), 'middle_band': round(m, 6), 'upper_band': round(m + 2 * s, 6)}}) AS VARCHAR) FROM w20 JOIN ends USING (symbol, open_time))"""
+
+
+@register("analysis_runs", f"{ANALYSES} SELECT CAST(0 AS BIGINT) AS id, 'click' AS asset_symbol, analysis_type, 'completed' AS status, result FROM analyses WHERE symbol = 'CLICK'")
 def analysis_runs(spark, sf_dir):
     """A job record of every kind of analysis for one symbol."""
     candles = _candles(spark, sf_dir)
@@ -645,3 +655,85 @@ def sketched_span(spark, sf_dir):
     close = lambda c, q: ((share(c) >= q - 0.03) & (below(c) <= q + 0.03)).alias(f"{c}_close")
     users = F.count_distinct("user_id")
     return exact.groupBy("symbol").agg(F.max("n").alias("n"), (F.abs(F.max("_users") - users) <= 0.05 * users).alias("users_close"), close("median", 0.5), close("p90", 0.9))
+
+
+@register(
+    "analysis_log",
+    f"""{ANALYSES} SELECT row_number() OVER (ORDER BY symbol <> 'CLICK', analysis_type) AS job_id, 'completed' AS status, result FROM analyses WHERE symbol IN ('CLICK', 'VIEW')""",
+)
+def analysis_log(spark, sf_dir):
+    """The states of the jobs of two runs of all analyses, appended one after the other."""
+    path = market.scratch_path(spark, "jobs")
+    jobs.create_log(spark, path)
+    candles = market.materialize(_candles(spark, sf_dir), "candles")
+    for symbol in ("click", "view"):
+        first, *rest = (indicators.run_analysis(candles, symbol, kind) for kind in indicators.INDICATORS)
+        for row in rest:
+            first = first.union(row)
+        jobs.append_runs(first, path)
+    return mutations.job_states(jobs.read_log(spark, path).withColumnRenamed("step", "order"))
+
+
+@register(
+    "csv_accepted",
+    "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0",
+)
+def csv_accepted(spark, sf_dir):
+    return _customers_as_csv(spark, sf_dir)[0]
+
+
+@register(
+    "csv_rejected",
+    "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'malformed' ELSE 'incomplete' END AS reason FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 11 = 0) GROUP BY 1",
+)
+def csv_rejected(spark, sf_dir):
+    return _customers_as_csv(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def _customers_as_csv(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers written as CSV, some with a word for their balance and some without one, and read again by their schema."""
+    rows = market.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    k = F.col("c_custkey")
+    path = market.scratch_path(spark, "csv")
+    rows.withColumn("c_acctbal", F.when(k % 7 == 0, "n/a").when(k % 11 != 0, F.col("c_acctbal").cast("string"))).write.csv(path)
+    return files.read_checked(spark, path, rows.schema, "csv", ("c_custkey", "c_acctbal"))
+
+
+@register("market_page_by_key", f"WITH {ASSETS} SELECT * FROM assets ORDER BY coalesce(market_cap, 0) DESC, symbol, id LIMIT 25 OFFSET 50")
+def market_page_by_key(spark, sf_dir):
+    """The third page, each found from the last row of the one before."""
+    assets, after = market.assets(spark, sf_dir), None
+    for _ in range(2):
+        after = catalogue.last_of(catalogue.page_after(assets, 25, after=after))
+    return catalogue.page_after(assets, 25, after=after)
+
+
+@register("market_search_locale", f"WITH {ASSETS} SELECT * FROM assets WHERE contains(strip_accents(lower(symbol)), 'red') OR contains(strip_accents(lower(name)), 'red')")
+def market_search_locale(spark, sf_dir):
+    return catalogue.search_locale(market.assets(spark, sf_dir), " RÉD ")
+
+
+SESSIONS = """edges AS (SELECT symbol, ts, volume, CASE WHEN ts >= lag(ts) OVER w + INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, event_id)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM edges),
+sessions AS (SELECT symbol, min(ts) AS began, max(ts) + INTERVAL '30 minutes' AS ended, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM runs GROUP BY symbol, run)"""
+
+
+@register("stream_sessions", f"WITH {TICKS}, {SESSIONS}, late AS (SELECT max(ts) - INTERVAL '10 minutes' AS mark FROM events) SELECT sessions.* FROM sessions, late WHERE ended <= mark")
+def stream_sessions(spark, sf_dir):
+    """Runs of ticks by the streaming path: those whose end the watermark has passed."""
+    from tidebook.streaming import prices
+
+    out = market.scratch_path(spark, "sessions")
+    prices.run_to_parquet(prices.sessions(prices.tick_stream(spark, sf_dir, "events.parquet")), out, f"{out}-state")
+    return spark.read.schema("symbol string, began timestamp_ntz, ended timestamp_ntz, n long, volume long").parquet(out)
+
+
+@register(
+    "sliding_volume",
+    f"""WITH {TICKS}, placed AS (SELECT symbol, volume, time_bucket(INTERVAL '15 minutes', ts) - to_minutes(CAST(15 * k AS BIGINT)) AS began FROM ticks, range(4) t(k))
+SELECT symbol, began, began + INTERVAL '1 hour' AS ended, count(*) AS n, CAST(sum(volume) AS BIGINT) AS volume FROM placed GROUP BY 1, 2""",
+)
+def sliding_volume(spark, sf_dir):
+    from tidebook.streaming import prices
+
+    return prices.sliding_volume(market.ticks(spark, sf_dir), late=None)

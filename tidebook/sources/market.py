@@ -96,6 +96,11 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str, bounds: tuple
     return spark.read.format("jdbc").options(url=url, dbtable=name, partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, **options).load()
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, partitions: int = 8, mode: str = "append", **options: str) -> None:
+    """df into a table of a relational database, by at most so many connections at once."""
+    df.coalesce(partitions).write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
 def synthetic_candles(spark: SparkSession, symbol: str, interval: str, limit: int | None, as_of: datetime) -> DataFrame:
     """Generated candles that end at as_of, oldest first; an unknown interval counts as an hour, and any symbol but BTC has the lower base."""
     limit = within(limit, CANDLES, "limit")
