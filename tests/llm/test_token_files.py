@@ -1,3 +1,4 @@
+import random
 import io
 import zlib
 
@@ -7,6 +8,7 @@ import zstandard
 
 from tests.llm import cases
 from tidebook.llm.queries import tokenizer_path
+from tidebook.llm import token_files
 from tidebook.llm.token_files import FRAME_IDS, Encoder, FileReader, FileWriter, open_fs, read_token_files, token_digests, write_token_files
 
 SPACES = ["a \n\nb", "a  b   c\n\n d", " lead", "trail  ", "<|endoftext|> x<|endoftext|>y", "!\x1c! x", "a\xa0 b\xa0\n\nc", "a\t\tb\r\n c", "it's we'll  'tis", "日本 語　x", "a\x85b \x0b c"]
@@ -131,3 +133,32 @@ def test_a_text_of_several_parts_through_spark(spark):
     found = sorted(token_digests(spark.createDataFrame([(2, long), (1, "a b")], "doc_id long, text string"), tokenizer_path()).collect())
     ids = [np.array(plain(t), "<u4") for t in ("a b", long)]
     assert [tuple(r) for r in found] == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]
+
+
+def test_paths_of_clusters(spark):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS", "file:///")
+    try:
+        conf.set("fs.defaultFS", "hdfs://nn:8020/")
+        assert token_files.qualified(spark, "/shared/x") == "hdfs://nn:8020/shared/x"
+        assert token_files.qualified(spark, "s3a://b/x") == "s3a://b/x"
+        conf.set("fs.defaultFS", "file:///")
+        assert token_files.qualified(spark, "/shared/x") == "/shared/x"
+    finally:
+        conf.set("fs.defaultFS", was)
+    assert [token_files.located(p) for p in ("s3a://b/x", "s3n://b/x", "s3://b/x", "abfss://c@a/x", "dbfs:/mnt/x", "hdfs://nn/x", "/x", "file:///x")] == ["s3://b/x", "s3://b/x", "s3://b/x", "abfs://c@a/x", "/dbfs/mnt/x", "hdfs://nn/x", "/x", "file:///x"]
+    fs, top = token_files.open_fs("dbfs:/mnt/x")
+    assert (fs.type_name, top) == ("local", "/dbfs/mnt/x")
+
+
+def test_long_texts_with_other_spaces_are_cut(monkeypatch):
+    encoder = Encoder.of(tokenizer_path())
+    rng = random.Random(8)
+    text = "".join(rng.choice(["word", "Other", "x1", "\u00a0", " ", " ", "  ", "\n", "\u3000 ", "é", ".", "\u00a0 "]) for _ in range(4000))
+    whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    sizes = []
+    plain = Encoder._whole
+    monkeypatch.setattr(token_files, "PART", 500)
+    monkeypatch.setattr(Encoder, "_whole", lambda self, texts: sizes.extend(map(len, texts)) or plain(self, texts))
+    assert encoder.encode([text])[0].tolist() == whole
+    assert len(sizes) > 10

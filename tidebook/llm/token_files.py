@@ -61,6 +61,8 @@ class Encoder:
     IS_SPACE = np.isin(np.arange(256), list(SPACE))
     BETWEEN = re.compile(r"[^ \t\n\r\f\v](?=[ \t\n\r\f\v])")
     OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+    #: A boundary of pieces whatever spaces the text has elsewhere.
+    BETWEEN_WORDS = re.compile(r"[A-Za-z](?= [A-Za-z])")
     known: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
@@ -185,10 +187,10 @@ class Encoder:
             self.memory = [x[by_hash] for x in self.memory]
         return place[kind], count[kind], every
 
-    def _cut(self, text: str) -> Iterator[str]:
+    def _cut(self, text: str, between: re.Pattern[str] = BETWEEN) -> Iterator[str]:
         """A text in parts of about PART characters, cut between pieces."""
         at = 0
-        while len(text) - at > PART and (cut := self.BETWEEN.search(text, at + PART)):
+        while len(text) - at > PART and (cut := between.search(text, at + PART)):
             yield text[at : cut.end()]
             at = cut.end()
         yield text[at:]
@@ -198,7 +200,8 @@ class Encoder:
         parts, owners, held = [], [], 0
         for i, text in enumerate(texts):
             if self.OTHER_SPACE.search(text):
-                out[i] = self._whole([text])
+                for part in self._cut(text, self.BETWEEN_WORDS):
+                    out[i] += self._whole([part])
                 continue
             for part in self._cut(text):
                 if held and held + len(part) > PART:
@@ -213,15 +216,31 @@ class Encoder:
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
 
+#: Schemes of Hadoop's file systems, and what pyarrow calls the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs"}
+_SCHEME = re.compile(r"([a-z][a-z0-9+.-]*):")
+
+
+def located(path: str) -> str:
+    """A path or URI of Hadoop's as pyarrow takes it. dbfs:/ is a mount of every machine."""
+    scheme = _SCHEME.match(path)
+    if not scheme:
+        return path
+    if scheme[1] == "dbfs":
+        return "/dbfs/" + path[scheme.end() :].lstrip("/")
+    return SCHEMES.get(scheme[1], scheme[1]) + path[scheme.end() - 1 :]
+
+
 def open_fs(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path, or of a URI of any scheme that pyarrow knows, and the path in it."""
-    return pafs.FileSystem.from_uri(path) if re.match(r"[a-z][a-z0-9+.-]*:", path) else (pafs.LocalFileSystem(), path)
+    """The file system of a path, or of a URI of any scheme that pyarrow or SCHEMES knows, and the path in it."""
+    path = located(path)
+    return pafs.FileSystem.from_uri(path) if _SCHEME.match(path) else (pafs.LocalFileSystem(), path)
 
 
 def qualified(spark: SparkSession, path: str) -> str:
-    """A path as Spark takes it: one without a scheme is on the default file system."""
-    default = spark.conf.get("spark.hadoop.fs.defaultFS", "file:///")
-    return path if re.match(r"[a-z][a-z0-9+.-]*:", path) or default.startswith("file:") else default.rstrip("/") + path
+    """A path as Spark takes it: one without a scheme is on the default file system, as the cluster's files or the session set it."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return path if _SCHEME.match(path) or default.startswith("file:") else default.rstrip("/") + "/" + path.lstrip("/")
 
 
 class FileWriter:
