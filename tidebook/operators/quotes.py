@@ -12,24 +12,25 @@ def latest(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(last).select("symbol", "last.ts", "last.price", "last.volume")
 
 
-def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str) -> DataFrame:
+def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str, slice_: str = "hour") -> DataFrame:
     """probes (symbol, probe_ts and others) with the price of the last tick at or before probe_ts.
 
-    Probes and ticks meet in slices of a symbol and a day, so a symbol that holds most of the rows is spread over its days; what
-    a slice needs from earlier days is one closing row for each symbol and day.
+    Probes and ticks meet in slices of a symbol and an hour (or another unit of time), so a symbol that holds most of the rows, or a busy day of it, is spread over its slices; what
+    a slice needs from earlier ones is one closing row for each symbol and slice, of which the last before it is found among these rows alone.
     """
-    day = lambda c: F.date_trunc("day", F.col(c)).cast("timestamp_ntz")
+    of = lambda c: F.date_trunc(slice_, F.col(c)).cast("timestamp_ntz")
     columns = probes.columns
-    marks = probes.select(*columns, day(probe_ts).alias("_day"), F.col(probe_ts).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast("double").alias("_price"), F.lit(None).cast("long").alias("_id"))
-    rows = ticks.select("symbol", day("ts").alias("_day"), F.col("ts").alias("_at"), F.lit(0).alias("_probe"), F.col("price").alias("_price"), F.col("event_id").alias("_id"))
-    within_day = Window.partitionBy("symbol", "_day").orderBy("_at", "_probe", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = marks.unionByName(rows, allowMissingColumns=True).withColumn("_found", F.last("_price", ignorenulls=True).over(within_day)).where("_probe = 1")
-    closes = ticks.groupBy("symbol", day("ts").alias("_from")).agg(F.max_by("price", F.struct("ts", "event_id")).alias("_close"))
-    reach = closes.withColumn("_until", F.lead("_from").over(Window.partitionBy("symbol").orderBy("_from")))
-    # each day's probes get the last close of an earlier day: few rows, found once for each symbol and day asked for
-    asked = both.where("_found is null").select(F.col("symbol").alias("_s"), F.col("_day").alias("_d")).distinct()
-    carried = asked.join(reach, (F.col("_s") == F.col("symbol")) & (F.col("_from") < F.col("_d")) & (F.coalesce("_until", F.col("_d")) >= F.col("_d"))).select("_s", "_d", "_close")
-    joined = both.join(carried, (F.col("symbol") == F.col("_s")) & (F.col("_day") == F.col("_d")), "left")
+    marks = probes.select(*columns, of(probe_ts).alias("_slice"), F.col(probe_ts).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast("double").alias("_price"), F.lit(None).cast("long").alias("_id"))
+    rows = ticks.select("symbol", of("ts").alias("_slice"), F.col("ts").alias("_at"), F.lit(0).alias("_probe"), F.col("price").alias("_price"), F.col("event_id").alias("_id"))
+    within = Window.partitionBy("symbol", "_slice").orderBy("_at", "_probe", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = marks.unionByName(rows, allowMissingColumns=True).withColumn("_found", F.last("_price", ignorenulls=True).over(within)).where("_probe = 1")
+    closes = ticks.groupBy(F.col("symbol").alias("_s"), of("ts").alias("_t")).agg(F.max_by("price", F.struct("ts", "event_id")).alias("_close"))
+    asked = probes.select(F.col("symbol").alias("_s"), of(probe_ts).alias("_t")).distinct().withColumn("_close", F.lit(None).cast("double"))
+    # a slice asks before it closes, as it wants what earlier slices closed with
+    before = Window.partitionBy("_s").orderBy("_t", F.col("_ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    ends = asked.withColumn("_ask", F.lit(1)).unionByName(closes.withColumn("_ask", F.lit(0)))
+    carried = ends.withColumn("_close", F.last("_close", ignorenulls=True).over(before)).where("_ask = 1").drop("_ask")
+    joined = both.join(carried, (F.col("symbol") == F.col("_s")) & (F.col("_slice") == F.col("_t")), "left")
     return joined.select(*columns, F.coalesce("_found", "_close").alias(out))
 
 
