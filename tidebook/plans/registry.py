@@ -737,3 +737,16 @@ def sliding_volume(spark, sf_dir):
     from tidebook.streaming import prices
 
     return prices.sliding_volume(market.ticks(spark, sf_dir), late=None)
+
+
+@register("market_toggled_page", f"WITH {ASSETS} SELECT * FROM assets ORDER BY coalesce(current_price, 0) ASC, symbol, id LIMIT 20")
+def market_toggled_page(spark, sf_dir):
+    """The first page after the same field is chosen twice: upwards."""
+    field, direction = catalogue.toggled(*catalogue.toggled("marketCap", "desc", "price"), "price")
+    return catalogue.page_after(market.assets(spark, sf_dir), 20, field, direction)
+
+
+@register("asset_candles_default", f"WITH {TICKS} SELECT open_time, open, high, low, close, volume FROM ({candles_sql('1h')}) WHERE symbol = 'VIEW' ORDER BY open_time DESC LIMIT 120")
+def asset_candles_default(spark, sf_dir):
+    """With the interval and the limit that hold where none are asked for."""
+    return candle.asset_candles(market.ticks(spark, sf_dir), "view")
