@@ -13,29 +13,38 @@ def latest(ticks: DataFrame) -> DataFrame:
 
 
 def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str, slice_: str = "hour") -> DataFrame:
-    """probes (symbol, probe_ts and others) with the price of the last tick at or before probe_ts.
+    """probes (symbol, probe_ts and others) with the price of the last tick at or before probe_ts, which is null if that tick has none.
 
     Probes and ticks meet in slices of a symbol and an hour (or another unit of time), so a symbol that holds most of the rows, or a busy day of it, is spread over its slices; what
     a slice needs from earlier ones is one closing row for each symbol and slice, of which the last before it is found among these rows alone.
     """
     of = lambda c: F.date_trunc(slice_, F.col(c)).cast("timestamp_ntz")
     columns = probes.columns
-    marks = probes.select(*columns, of(probe_ts).alias("_slice"), F.col(probe_ts).alias("_at"), F.lit(1).alias("_probe"), F.lit(None).cast("double").alias("_price"), F.lit(None).cast("long").alias("_id"))
-    rows = ticks.select("symbol", of("ts").alias("_slice"), F.col("ts").alias("_at"), F.lit(0).alias("_probe"), F.col("price").alias("_price"), F.col("event_id").alias("_id"))
+    priced = F.struct(F.col("price").cast("double").alias("price"))  # not null, so a tick without a price still counts as the last one
+    nothing = F.lit(None).cast("struct<price:double>")
+    marks = probes.select(*columns, of(probe_ts).alias("_slice"), F.col(probe_ts).alias("_at"), F.lit(1).alias("_probe"), nothing.alias("_price"), F.lit(None).cast("long").alias("_id"))
+    rows = ticks.select("symbol", of("ts").alias("_slice"), F.col("ts").alias("_at"), F.lit(0).alias("_probe"), priced.alias("_price"), F.col("event_id").alias("_id"))
     within = Window.partitionBy("symbol", "_slice").orderBy("_at", "_probe", "_id").rowsBetween(Window.unboundedPreceding, 0)
     both = marks.unionByName(rows, allowMissingColumns=True).withColumn("_found", F.last("_price", ignorenulls=True).over(within)).where("_probe = 1")
-    closes = ticks.groupBy(F.col("symbol").alias("_s"), of("ts").alias("_t")).agg(F.max_by("price", F.struct("ts", "event_id")).alias("_close"))
-    asked = probes.select(F.col("symbol").alias("_s"), of(probe_ts).alias("_t")).distinct().withColumn("_close", F.lit(None).cast("double"))
+    closes = ticks.groupBy(F.col("symbol").alias("_s"), of("ts").alias("_t")).agg(F.max_by(priced, F.struct("ts", "event_id")).alias("_close"))
+    asked = probes.select(F.col("symbol").alias("_s"), of(probe_ts).alias("_t")).distinct().withColumn("_close", nothing)
     # a slice asks before it closes, as it wants what earlier slices closed with
     before = Window.partitionBy("_s").orderBy("_t", F.col("_ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ends = asked.withColumn("_ask", F.lit(1)).unionByName(closes.withColumn("_ask", F.lit(0)))
     carried = ends.withColumn("_close", F.last("_close", ignorenulls=True).over(before)).where("_ask = 1").drop("_ask")
     joined = both.join(carried, (F.col("symbol") == F.col("_s")) & (F.col("_slice") == F.col("_t")), "left")
-    return joined.select(*columns, F.coalesce("_found", "_close").alias(out))
+    return joined.select(*columns, F.coalesce("_found", "_close")["price"].alias(out))
 
 
 def change_pct(price: Column, earlier: Column) -> Column:
-    return F.round(100 * F.try_divide(price - earlier, earlier), 6)
+    """100 * (price - earlier) / earlier in this order, rounded to six places; from a price of 0 it is infinite, or NaN if there is no move.
+
+    The rounding is that of binary numbers (halves of the scaled double go away from zero); F.round(x, 6) rounds the shortest decimal that prints x, which differs at halves.
+    """
+    moved = 100 * (price - earlier)
+    pct = F.coalesce(F.try_divide(moved, earlier), moved * F.pow(earlier, F.lit(-1.0)))  # the power of a zero is infinite
+    scaled = pct * 1e6
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 1e6).otherwise(pct)
 
 
 def change(ticks: DataFrame, hours: int) -> DataFrame:
@@ -60,7 +69,7 @@ def snapshots(candles: DataFrame) -> DataFrame:
     spans = {"24h": 24, "7d": 168, "30d": 720}
     for name, hours in spans.items():
         before = F.expr(f"last(close) OVER (PARTITION BY symbol ORDER BY open_time RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {hours} HOURS PRECEDING)")
-        rows = rows.withColumn(f"price_change_pct_{name}", F.round(100 * F.try_divide(F.col("close") - before, before), 6))
+        rows = rows.withColumn(f"price_change_pct_{name}", change_pct(F.col("close"), before))
     return rows.select("symbol", F.col("open_time").alias("timestamp"), F.col("close").alias("price"), "volume", "ath", "atl", *(f"price_change_pct_{n}" for n in spans))
 
 
