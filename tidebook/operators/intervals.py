@@ -3,14 +3,18 @@
 A span's level is the power of two just above its length; at that level it lies in one bin or two. A point, or a shorter span, is put into its bins at each level that the
 other side has (they are few: powers of two). So pairs meet by equality, and spans of seconds and of years don't spoil each other's bins. Each pair is kept in one agreed
 bin alone. Rows with a null bound, and spans that end before they begin or where they begin, are in no pair.
+
+Where only counts and sums of the points in a span are asked for, totals_in_spans() has them without any pair.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidebook.sources.market import materialize
+
 #: Levels that are told apart; lengths beyond are put into the last ones.
 LOWEST, HIGHEST = -40, 80
 
@@ -66,6 +70,41 @@ def within_spans(points: DataFrame, at: str, spans: DataFrame, start: str, stop:
     return pairs.select(*points.columns, *(F.col(f"s_{c}").alias(c) for c in kept))
 
 
+def _sums_below(values: DataFrame, names: list[str]) -> DataFrame:
+    """values, which has a row for each _x, with each of these columns summed over the rows of a lesser _x.
+
+    One range sort, written once: running sums within each range, and before them those of the ranges themselves, one row for each.
+    """
+    ranged = materialize(values.repartitionByRange("_x").withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges, within = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (Window.orderBy("_range"), Window.partitionBy("_range").orderBy("_x")))
+    summed = lambda c, over: F.coalesce(F.sum(c).over(over), F.lit(0))
+    totals = ranged.groupBy("_range").agg(*(F.sum(c).alias(c) for c in names)).select("_range", *(summed(c, ranges).alias(f"_before{c}") for c in names))
+    return ranged.withColumns({c: summed(c, within) for c in names}).join(F.broadcast(totals), "_range").withColumns({c: F.col(c) + F.col(f"_before{c}") for c in names}).select(*values.columns)
+
+
+def totals_in_spans(points: DataFrame, at: str, spans: DataFrame, start: str, stop: str, column: str) -> DataFrame:
+    """spans with n, the number of points that have start <= at < stop, and the sum of a column of theirs (whole numbers; null if none has one). Spans that hold no moment are left out.
+
+    That is what lies below stop, less what lies below start. Points of one place and equal bounds are one row each before they are sorted, so the work grows with points and
+    spans, not with their pairs, however many spans a point is in.
+    """
+    if not isinstance(points.schema[column].dataType, T.IntegralType):
+        raise TypeError(f"{column} must have whole numbers: differences of other sums aren't exact")
+    rows = spans.withColumns({"_a": _number(spans, start), "_b": _number(spans, stop)}).where("_a < _b")
+    placed = points.withColumn("_x", _number(points, at)).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+    value = F.col(column).cast("decimal(20,0)")  # the sum over all points may pass a long where no span's does
+    valued = placed.groupBy("_x").agg(F.count("*").alias("_n"), F.count(column).alias("_known"), F.sum(value).alias("_sum"), F.lit(False).alias("_bound"))
+    nothing = F.lit(0).cast("long")
+    bounds = rows.select(F.explode(F.array("_a", "_b")).alias("_x")).distinct().select("_x", nothing.alias("_n"), nothing.alias("_known"), nothing.cast("decimal(30,0)").alias("_sum"), F.lit(True).alias("_bound"))
+    sums = ["_n", "_known", "_sum"]
+    places = valued.unionByName(bounds).groupBy("_x").agg(*(F.sum(c).alias(c) for c in sums), F.bool_or("_bound").alias("_bound"))
+    below = _sums_below(places, sums).where("_bound").drop("_bound")
+    from_, to = _side(below, "from"), _side(below, "to")
+    both = rows.join(from_, F.col("_a") == F.col("from_x")).join(to, F.col("_b") == F.col("to_x"))
+    n, known, total = (F.col(f"to{c}") - F.col(f"from{c}") for c in sums)
+    return both.select(*spans.columns, n.alias("n"), F.when(known > 0, total.cast("long")).alias(column))
+
+
 def _longer_first(long: DataFrame, short: DataFrame, on: list[str], strict: bool) -> DataFrame:
     """Overlapping pairs whose first span has the higher level (or the same, unless strict); columns of long with l_, of short with s_."""
     levels = F.array(*map(F.lit, _levels(long))).cast("array<int>")
