@@ -2,6 +2,7 @@ from itertools import combinations
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm import cases
 from tidebook.llm.simhash import drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates
@@ -55,6 +56,14 @@ def test_links_of_planted_fingerprints(spark):
         fingerprint_links(spark.createDataFrame(signed, "id long, fp long"), 3)
 
 
+def test_cells_are_not_broadcast(spark):
+    links = fingerprint_links(spark.range(200).select("id", F.xxhash64("id").alias("fp")))  # far below Spark's size for a broadcast
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
+
+
 def test_one_of_each_group_stays(spark):
     docs = cases.documents(spark)
     kept = drop_near_duplicates(docs)

@@ -85,7 +85,8 @@ def fingerprint_links(prints: DataFrame, most_bits: int = 2) -> DataFrame:
         | ((role_a > 0) & (role_b < 0) & (role_a <= -role_b))  # two up
     )
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= most_bits
-    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & meets & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    # never broadcast: Spark sizes exploded rows like the fingerprints that they come from, 33 times too low
+    return a.hint("merge").join(b, (F.col("a.cell") == F.col("b.cell")) & meets & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, most_bits: int = 2) -> DataFrame:
