@@ -17,6 +17,8 @@ def latest(ticks: DataFrame) -> DataFrame:
 def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str, slice_: str = "hour") -> DataFrame:
     """probes (symbol, probe_ts and others) with the price of the last tick at or before probe_ts, which is null if that tick has none.
 
+    No symbol (null) is a symbol of its own. A tick without a time is known only to probes without one, which know no other.
+
     Probes and ticks meet in slices of a symbol and an hour (or another unit of time), so a symbol that holds most of the rows, or a busy day of it, is spread over its slices; what
     a slice needs from earlier ones is one closing row for each symbol and slice, of which the last before it is found among these rows alone.
     """
@@ -28,26 +30,26 @@ def as_of(probes: DataFrame, ticks: DataFrame, probe_ts: str, out: str, slice_:
     rows = ticks.select("symbol", of("ts").alias("_slice"), F.col("ts").alias("_at"), F.lit(0).alias("_probe"), priced.alias("_price"), F.col("event_id").alias("_id"))
     within = Window.partitionBy("symbol", "_slice").orderBy("_at", "_probe", "_id").rowsBetween(Window.unboundedPreceding, 0)
     both = marks.unionByName(rows, allowMissingColumns=True).withColumn("_found", F.last("_price", ignorenulls=True).over(within)).where("_probe = 1")
-    closes = ticks.groupBy(F.col("symbol").alias("_s"), of("ts").alias("_t")).agg(F.max_by(priced, F.struct("ts", "event_id")).alias("_close"))
+    closes = ticks.where("ts is not null").groupBy(F.col("symbol").alias("_s"), of("ts").alias("_t")).agg(F.max_by(priced, F.struct("ts", "event_id")).alias("_close"))
     asked = probes.select(F.col("symbol").alias("_s"), of(probe_ts).alias("_t")).distinct().withColumn("_close", nothing)
     # a slice asks before it closes, as it wants what earlier slices closed with
     before = Window.partitionBy("_s").orderBy("_t", F.col("_ask").desc()).rowsBetween(Window.unboundedPreceding, 0)
     ends = asked.withColumn("_ask", F.lit(1)).unionByName(closes.withColumn("_ask", F.lit(0)))
     carried = ends.withColumn("_close", F.last("_close", ignorenulls=True).over(before)).where("_ask = 1").drop("_ask")
-    joined = both.join(carried, (F.col("symbol") == F.col("_s")) & (F.col("_slice") == F.col("_t")), "left")
+    joined = both.join(carried, F.col("symbol").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_t")), "left")
     return joined.select(*columns, F.coalesce("_found", "_close")["price"].alias(out))
 
 
 def change_pct(price: Column, earlier: Column, unmoved: float | None = None) -> Column:
     """100 * (price - earlier) / earlier in this order, rounded to six places; from 0 to another price it is infinite, and from 0 to 0 it is `unmoved` (null; SQL's division has NaN).
 
-    The rounding is that of binary numbers (halves of the scaled double go away from zero); F.round(x, 6) rounds the shortest decimal that prints x, which differs at halves.
+    The rounding is that of binary numbers (halves of the scaled double go away from zero, and what is below 0 and rounds to it is -0.0); F.round(x, 6) rounds the shortest decimal that prints x, which differs at halves.
     """
     moved = 100 * (price - earlier)
     pct = F.coalesce(F.try_divide(moved, earlier), moved * F.pow(earlier, F.lit(-1.0)))  # the power of a zero is infinite
     pct = F.when((earlier == 0) & (moved == 0), F.lit(unmoved).cast("double")).otherwise(pct)
     scaled = pct * 1e6
-    return F.when(F.abs(scaled) < float("inf"), F.round(scaled, 0) / 1e6).otherwise(pct)
+    return F.when(F.abs(scaled) < float("inf"), F.signum(scaled) * F.round(F.abs(scaled), 0) / 1e6).otherwise(pct)
 
 
 def change(ticks: DataFrame, hours: int, unmoved: float | None = None) -> DataFrame:
